@@ -75,11 +75,12 @@ def text_slices(
             start = stop
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of each document's first word.
 
-    The third array has one more entry than there are documents."""
-    inside = ~SPACE[data]
+    The third array has one more entry than there are documents.  ``space``
+    flags the bytes that separate words."""
+    inside = ~space[data]
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdance.llm import line_dedup, packing, quality_rules, token_output, url_filter
+from verdance.llm import line_dedup, packing, quality_classifier, quality_rules, token_output, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,9 @@ def queries() -> dict[str, Query]:
         "op2_url_filter": url_filter.op2,
         "op3_packing": packing.op3,
         "op6_quality_rules": quality_rules.op6,
+        "op7_toxicity": toxicity.op7,
         "op8_line_dedup": line_dedup.op8,
+        "op9_quality_classifier": quality_classifier.op9,
         "op10_token_output": token_output.op10,
     }
 

@@ -64,7 +64,7 @@ class Encoder:
 
     Each cache holds about ``words`` words of at most 64 characters."""
 
-    def __init__(self, path: str, words: int = 600_000):
+    def __init__(self, path: str, words: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -6,15 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdance.llm import line_dedup, packing, quality_classifier, quality_rules, token_output, toxicity, url_filter
+from verdance.llm import (
+    decontamination,
+    line_dedup,
+    ngram_jaccard,
+    packing,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    token_output,
+    toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard": ngram_jaccard.op1,
         "op2_url_filter": url_filter.op2,
         "op3_packing": packing.op3,
+        "op4_decontamination": decontamination.op4,
+        "op5_suffix_dedup": suffix_dedup.op5,
         "op6_quality_rules": quality_rules.op6,
         "op7_toxicity": toxicity.op7,
         "op8_line_dedup": line_dedup.op8,

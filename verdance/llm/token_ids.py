@@ -62,16 +62,16 @@ def encoded_rows(own: Encoder, batch: pa.RecordBatch, limit: int = 1 << 20) -> I
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers.
 
-    Each cache holds about ``words`` words of at most 64 characters."""
+    The cache holds about ``words`` words of at most 64 characters."""
 
-    def __init__(self, path: str, words: int = 1_200_000):
+    def __init__(self, path: str, words: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = words
         self.cache: dict[str, bytes] = {}
-        self.seen: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -79,45 +79,58 @@ class Encoder:
 
     def _segments(self, word: str) -> list[str]:
         """What a word with its space is made of, cut where tokens always end:
-        at single line ends, and before a closing mark that follows a letter."""
-        if word.isalnum() or any(c.isspace() and c != "\n" for c in word) or "\n\n" in word or word[-1:] == "\n":
-            return [" " + word]
+        at single line ends, and before a closing mark that follows a letter.
+        Only the first segment has the space, which is left out here."""
+        if any(c.isspace() and c != "\n" for c in word) or "\n\n" in word or word[-1:] == "\n" or word[:1] == "\n":
+            return [word]
         out = []
-        for k, line in enumerate((" " + word).split("\n")):
+        for k, line in enumerate(word.split("\n")):
             if k:
                 out.append("\n")
             if len(line) > 1 and line[-1] in _MARKS and line[-2].isalpha():
                 out += [line[:-1], line[-1]]
-            elif line:
+            else:
                 out.append(line)
         return out
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of words that the cache lacks."""
-        made = {word: self._segments(word) for word in new}
-        seen = self.seen
-        wanted = [s for s in {s for own in made.values() for s in own} if s not in seen]
-        seen.update(zip(wanted, self.whole(wanted)))
-        found = {w: seen[own[0]] if len(own) == 1 else b"".join([seen[s] for s in own]) for w, own in made.items()}
-        for s in wanted:
+    def _learn(self, new: list[str]) -> list[str]:
+        """Puts the ids of words that the cache lacks into it; returns the long ones."""
+        cache, bare = self.cache, self.bare
+        made: dict[str, list[str]] = {}
+        spaced, other = set(), set()
+        for word in new:
+            if word.isalnum():
+                spaced.add(word)
+                continue
+            own = [word[:-1], word[-1]] if word[-1] in _MARKS and word[:-1].isalpha() else self._segments(word)
+            if own[0] not in cache:
+                spaced.add(own[0])
+            if len(own) > 1:
+                made[word] = own
+                other.update(own[1:])
+        words = list(spaced)
+        cache.update(zip(words, self.whole([" " + w for w in words])))
+        marks = [w for w in other if w not in bare]
+        bare.update(zip(marks, self.whole(marks)))
+        for word, own in made.items():
+            cache[word] = cache[own[0]] + b"".join([bare[s] for s in own[1:]])
+        for s in marks:
             if len(s) > 64:
-                del seen[s]
-        return found
+                del bare[s]
+        return [w for w in (*words, *made) if len(w) > 64]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if max(len(self.cache), len(self.seen)) > self.words:
+        if len(self.cache) + len(self.bare) > self.words:
             self.cache.clear()
-            self.seen.clear()
+            self.bare.clear()
         parts = [[t] if _SPECIAL in t else _cuts(t) for t in texts]
         heads = self.whole([p.pop(0) for p in parts])
         cache = self.cache
-        found = self._learn([w for w in set().union(*parts) if w not in cache])
-        cache.update(found)
+        long_words = self._learn([w for w in set().union(*parts) if w not in cache])
         get = cache.__getitem__
         out = [head + b"".join(map(get, p)) for head, p in zip(heads, parts)]
-        for w in found:
-            if len(w) > 64:
-                del cache[w]
+        for w in long_words:
+            del cache[w]
         return out
 
     def encode(self, text: str) -> bytes:

@@ -44,6 +44,7 @@ from verdance.llm.components import components
 SHARE = 1 / 2000
 SALTS = 16
 LARGEST_LIGHT = 16
+FILTER_BITS = 24
 _FLUSH = 400_000
 
 
@@ -282,28 +283,63 @@ def _lists(postings: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, salt long, node long, n long, place long, p_node long, p_n long, p_place long")
 
 
-def _possible(n: str, place: str, m: str, other: str, boundary: int) -> Column:
-    """Whether sizes and the key's places allow a link.  Entries of subsets
-    (place -1) meet only each other; a pair of light sets is left to them."""
+def _sizes(n: str, place: str, m: str, other: str, boundary: int) -> Column:
+    """Whether two entries of a list may belong to a link, by their sizes.
+
+    Entries of subsets (place -1) meet only each other; a pair of light sets is
+    left to them."""
     a, b, p, q = F.col(n), F.col(m), F.col(place), F.col(other)
     subset = (p < 0) & (q < 0)
     lists = (p >= 0) & (q >= 0) & (F.greatest(a, b) > boundary)
+    return (subset | lists) & (5 * F.least(a, b) >= 4 * F.greatest(a, b))
+
+
+def _room(n: str, place: str, m: str, other: str) -> Column:
+    """Whether enough shingles follow, if this key is the first that both share."""
+    a, b, p, q = F.col(n), F.col(m), F.col(place), F.col(other)
     room = F.least(a - F.greatest(p, F.lit(0)), b - F.greatest(q, F.lit(0)))
-    return (subset | lists) & (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (9 * room >= 4 * (a + b))
+    return 9 * room >= 4 * (a + b)
+
+
+def _possible(n: str, place: str, m: str, other: str, boundary: int) -> Column:
+    return _sizes(n, place, m, other, boundary) & _room(n, place, m, other)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the hashed ids in column ``bit``, of ``2 ** FILTER_BITS`` bits.
+
+    It lets all ``ids`` pass and few others; when ids outnumber its bits it lets
+    more pass, and the exact join behind does more of the work."""
+    mask = F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")
+    words = ids.groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(mask).alias("m"))
+    rows = words.toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    bits[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).astype(np.uint32)
+    return bits
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that link, by their whole sets."""
+    """The (a, b) of ``pairs`` that link, by their whole sets.
+
+    Sets are made where the documents are read, behind a filter of fixed size,
+    so the texts themselves are never shuffled."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = tables.written(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi"), "wanted")
-    texts = docs.join(ids.select("doc_id", "node"), "doc_id").select("node", "text")
+    ids = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
+    ids = tables.written(ids.select("node", "doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).alias("bit")), "wanted")
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in K.text_slices(batches):
-            bodies = [s.tobytes() for s in K.shingle_sets(data, offsets)]
-            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(bodies, pa.binary())], ["node", "body"])
+        bits = shared.value
+        for batch in batches:
+            at = batch.column("bit").to_numpy()
+            some = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
+            for rows, data, offsets in K.text_slices(iter([some])):
+                bodies = [s.tobytes() for s in K.shingle_sets(data, offsets)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([node_of(np.frombuffer(x, np.uint64)) for x in bodies], pa.int64()), pa.array(bodies, pa.binary())], ["doc_id", "node", "body"])
 
-    bodies = tables.written(texts.mapInArrow(sets, "node long, body binary").dropDuplicates(["node"]), "sets")
+    marked = docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).alias("bit"))
+    made = marked.mapInArrow(sets, "doc_id long, node long, body binary")
+    bodies = tables.written(made.join(ids.select("doc_id", "node"), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "body"), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,8 +395,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans = tables.written(spans.select("key", "subset"), "spans")
     open_ = tables.written(entries.join(spans, ["key", "subset"], "left_semi"), "open")
     other = open_.select("key", "subset", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("component").alias("c2"))
-    more = open_.join(other, ["key", "subset"]).where("node < b AND component != c2").where(_possible("n", "place", "m", "other", boundary))
-    more = more.select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = open_.join(other, ["key", "subset"]).where("node < b AND component != c2")
+    more = more.where(_sizes("n", "place", "m", "other", boundary))
+    # Two nodes of different components share exactly the keys counted here;
+    # beyond its prefix a set has ceil(0.8 n) - 1 shingles left to share.
+    rest = F.floor((4 * F.greatest("n", "m") + 4) / 5) - 1
+    more = more.groupBy(F.col("node").alias("a"), "b", "n", "m", "subset").agg(
+        F.count("*").alias("shared"), F.max(_room("n", "place", "m", "other")).alias("room")
+    )
+    more = more.where("room").where(F.col("subset") | (9 * (F.col("shared") + rest) >= 4 * (F.col("n") + F.col("m"))))
+    more = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = tables.written(more, "more")
     links = tables.written(links.unionByName(verified(more, docs, nodes)), "links")
     return _labelled(nodes, components(links))

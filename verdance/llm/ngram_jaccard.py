@@ -11,15 +11,15 @@ n - ceil(0.8 n) + 1.  Light nodes that a heavy one may link stand in the lists
 too.  The boundary is where the estimated keys of both ways cost least, from
 the sizes of all sets and how often shingles recur.
 
-Which shingles are frequent is counted over all documents in two levels: a
-shingle of share ``s`` of all documents has at least that share in some task, so
-tasks report only those.  At most 1/s times the mean set size are frequent, and
-that many hashes are broadcast; they only order the lists, and any order gives
-the same result.
+Which shingles are frequent is counted over all documents in two levels: tasks
+report the shingles they see twice or more, and the reports are summed.  Of the
+sums, those that reach a least count are broadcast as hashes, at most
+``MOST_FREQUENT`` of them (the least count rises until they fit).  They only
+order the lists, and any order gives the same result.
 
 A list never emits all its pairs.  First each entry meets the list's least
-node (frequent shingles' lists are salted, and the salts' least nodes meet),
-what passes the size and position bounds is verified on the whole sets, and
+node, and in long lists a few more by other orders (frequent shingles' lists are
+salted, and the salts' least nodes meet); what passes the size and position bounds is verified on the whole sets, and
 components are formed.  Then only lists that still span two components are
 joined with themselves, for pairs across components.  So no link between two
 components is lost, and a group of near copies costs a star.
@@ -41,8 +41,10 @@ from verdance.llm import kernels as K
 from verdance.llm import tables
 from verdance.llm.components import components
 
-SHARE = 1 / 2000
+MOST_FREQUENT = 1_000_000
 SALTS = 16
+#: Lists of at least LONG entries have CENTRES nodes that all others meet.
+LONG, CENTRES = 12, 4
 LARGEST_LIGHT = 16
 FILTER_BITS = 24
 _FLUSH = 400_000
@@ -114,13 +116,13 @@ def document_nodes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def frequent_shingles(docs: DataFrame, total: int, share: float = SHARE) -> tuple[np.ndarray, float]:
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, float]:
     """Frequent shingles, rarest first, and the mean list length beyond one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         counts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        n_docs = n_shingles = size = 0
+        n_shingles = size = 0
 
         def fold() -> None:
             nonlocal counts, held, size
@@ -135,23 +137,26 @@ def frequent_shingles(docs: DataFrame, total: int, share: float = SHARE) -> tupl
             for s in K.shingle_sets(data, offsets):
                 held.append(s)
                 size += len(s)
-                n_docs += 1
                 n_shingles += len(s)
             if size > 8_000_000:
                 fold()
         fold()
-        keep = counts[1] >= max(2, int(np.ceil(share * n_docs)))
-        keys = np.concatenate([counts[0][keep], np.zeros(1, np.uint64)])
+        keys = np.concatenate([counts[0], np.zeros(1, np.uint64)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(K.signed(keys)), pa.array(np.append(counts[1][keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), n_shingles))],
+            [pa.array(K.signed(keys)), pa.array(np.append(counts[1], 0)), pa.array(np.append(np.zeros(len(keys) - 1, np.int64), n_shingles))],
             ["shingle", "n", "shingles"],
         )
 
     found = docs.mapInArrow(run, "shingle long, n long, shingles long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
-    least = max(2, int(np.ceil(share * total)))
-    rows = found.where((F.col("n") >= least) | (F.col("shingles") > 0)).toPandas()
-    shingles = max(1, int(rows["shingles"].sum()))
-    often = rows[rows["n"] >= least].sort_values(["n", "shingle"])
+    found = tables.written(found, "frequent")
+    shingles = max(1, found.agg(F.sum("shingles")).first()[0] or 0)
+    steps = found.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()  # at most 10,000 rows
+    least, size = 10_001, 0
+    for r in sorted(steps, key=lambda r: -r["n"]):
+        if r["n"] < 3 or size + r["count"] > MOST_FREQUENT:
+            break
+        least, size = r["n"], size + r["count"]
+    often = found.where(F.col("n") >= least).select("shingle", "n").toPandas().sort_values(["n", "shingle"])
     n = often["n"].to_numpy(np.float64)
     return often["shingle"].to_numpy(np.int64).view(np.uint64), float((n * n).sum() / shingles)
 
@@ -243,6 +248,20 @@ def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
     return key, node, size, place
 
 
+_LIST_NAMES = ["key", "salt", "node", "n", "place", "p_node", "p_n", "p_place"]
+
+
+def _stars(key: np.ndarray, salt: np.ndarray, hot: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, lengths: np.ndarray, k: int) -> pa.RecordBatch:
+    """Entries of long lists with the list's least node by the k-th order; salt is -1 there."""
+    group = np.repeat(np.arange(len(lengths)), lengths)
+    by = np.lexsort((K.mix(node.view(np.uint64) + np.uint64(k)), group))
+    centre = np.repeat(by[np.cumsum(lengths) - lengths], lengths)
+    use = (np.repeat(lengths, lengths) >= LONG) & (np.arange(len(node)) != centre)
+    at, to = np.flatnonzero(use), centre[use]
+    columns = [key.view(np.int64)[at], np.full(len(at), -1, np.int64), node[at], size[at].astype(np.int64), place[at].astype(np.int64), node[to], size[to].astype(np.int64), place[to].astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _LIST_NAMES)
+
+
 def _lists(postings: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
     """Entries on lists of at least two nodes, each with its list's least node.
 
@@ -276,8 +295,10 @@ def _lists(postings: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
             lengths = np.diff(np.append(at, len(key)))
             pivot = np.repeat(at, lengths)
             keep = (np.repeat(lengths, lengths) > 1) | hot
+            for k in range(1, CENTRES):
+                yield _stars(key, salt, hot, node, size, place, lengths, k)
             columns = [key.view(np.int64), np.where(hot, salt, 255).astype(np.int64), node, size.astype(np.int64), place.astype(np.int64), node[pivot], size[pivot].astype(np.int64), place[pivot].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "salt", "node", "n", "place", "p_node", "p_n", "p_place"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], _LIST_NAMES)
 
     dealt = postings.repartition(tables.partitions(postings.sparkSession), "bucket")
     return dealt.mapInArrow(run, "key long, salt long, node long, n long, place long, p_node long, p_n long, p_place long")
@@ -367,28 +388,28 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = _named(docs, id_col, text_col).where("doc_id IS NOT NULL")
     nodes = tables.written(document_nodes(docs), "nodes")
-    total = nodes.count()
     small = nodes.where(F.col("n_shingles").between(1, LARGEST_LIGHT + LARGEST_LIGHT // 4)).groupBy("n_shingles").count()
     sizes = {r["n_shingles"]: r["count"] for r in small.collect()}
-    often, recurrence = frequent_shingles(docs, total)
+    often, recurrence = frequent_shingles(docs)
     boundary = chosen_boundary(sizes, recurrence)
     buckets = 4 * tables.partitions(spark)
     lists = tables.written(_lists(_postings(docs, often, boundary, buckets), often, buckets), "lists")
 
     star = lists.where("node != p_node").where(_possible("n", "place", "p_n", "p_place", boundary))
-    star = star.select(F.col("p_node").alias("a"), F.col("node").alias("b"))
-    heads = lists.where("salt < 255").select("key", F.struct("p_node", "p_n", "p_place").alias("p")).distinct()
+    star = star.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b"))
+    heads = lists.where("salt BETWEEN 0 AND 254").select("key", F.struct("p_node", "p_n", "p_place").alias("p")).distinct()
     least = tables.written(heads.groupBy("key").agg(F.min("p").alias("q")), "heads")
     across = heads.join(least, "key").select(
         F.col("p.p_node").alias("b"), F.col("p.p_n").alias("n"), F.col("p.p_place").alias("place"),
         F.col("q.p_node").alias("a"), F.col("q.p_n").alias("m"), F.col("q.p_place").alias("other"),
     )
-    across = across.where("a != b").where(_possible("n", "place", "m", "other", boundary)).select("a", "b")
+    across = across.where("a != b").where(_possible("n", "place", "m", "other", boundary))
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = tables.written(star.unionByName(across).distinct(), "pairs")
     links = tables.written(verified(pairs, docs, nodes), "links")
     found = tables.written(components(links), "found")
 
-    entries = lists.select("key", (F.col("place") < 0).alias("subset"), "node", "n", "place")
+    entries = lists.where("salt >= 0").select("key", (F.col("place") < 0).alias("subset"), "node", "n", "place")
     entries = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     entries = tables.written(entries, "entries")
     spans = entries.groupBy("key", "subset").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")

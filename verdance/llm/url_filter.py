@@ -166,9 +166,9 @@ def url_filter(
     for r in reversed(ranked):
         rule = F.when(fits(r), F.lit(r[1] + r[2])).otherwise(rule)
         action = F.when(fits(r), F.lit(r[0])).otherwise(action)
-    named = with_host_and_path(pages.select(*[F.col(f"`{c}`") for c in keep]), url_col)
-    named = named.withColumn("rule", rule).withColumn("_action", action)
-    named = named.withColumn("_url", tables.ascii_lower(F.coalesce(F.col(url_col), F.lit(""))))
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{url_col}`").alias("url"))
+    named = with_host_and_path(base).withColumn("rule", rule).withColumn("_action", action)
+    named = named.withColumn("_url", tables.ascii_lower(F.coalesce(F.col("url"), F.lit("")))).drop("url")
     urls = named.groupBy(F.col("_url").alias("url")).agg(
         F.max("_action").alias("label"), F.count("*").alias("n")
     )
@@ -178,10 +178,10 @@ def url_filter(
     cut = calibrated_cut(known)
     both = known.agg(F.count_if(F.col("label") == "allow") > 0, F.count_if(F.col("label") == "block") > 0).first()
     lm = F.col("score") >= cut if all(both) else F.lit(True)
-    out = named.join(scores.withColumnRenamed("url", "_url"), "_url", "left")
+    out = named.join(scores.select(F.col("url").alias("_url"), "score"), "_url", "left")
     verdict = F.coalesce(F.col("_action"), F.when(lm, "allow").otherwise("block"))
     return out.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col("_row").getField(c).alias(c) for c in keep],
         "host",
         "path",
         "rule",

@@ -132,8 +132,8 @@ def measured_order(
 ) -> tuple[list[int], dict[str, tuple[float, float]]]:
     """Rule indexes by rejection per cost, and (seconds per row, share rejected).
 
-    The sample is the first ``sample_rows`` rows Spark returns, cut to 64 MB of
-    text on the executor side by nothing but that row bound; it only orders."""
+    The sample is ``sample_rows`` rows with their texts cut to 20,000 characters,
+    which bounds what reaches the driver; it sets the order and no verdict."""
     rows = docs.select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 20000).alias("text")).limit(sample_rows)
     table = rows.toArrow()
     cost, hit, seen = np.zeros(len(rules)), np.zeros(len(rules)), 0

@@ -287,3 +287,13 @@ def test_slices_hold_whole_documents():
     batch = pa.record_batch({"text": pa.array(["a" * 50, None, "b" * 500, ""], pa.string())})
     parts = list(kernels.text_slices(iter([batch]), limit=100))
     assert sum(p[0].num_rows for p in parts) == 4 and b"".join(p[1].tobytes() for p in parts) == b"a" * 50 + b"b" * 500
+
+
+def test_bitmaps_never_bound_above_the_difference():
+    rng = np.random.default_rng(7)
+    for n, m, both in [(1, 1, 0), (5, 4, 4), (64, 80, 60), (700, 650, 600), (3000, 2500, 2400), (40_000, 33_000, 32_000)]:
+        pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+        s, t = pool[:n], np.concatenate([pool[:both], pool[n : n + m - both]])
+        d = ngram_jaccard.least_difference(ngram_jaccard.parity_bitmap(s), ngram_jaccard.parity_bitmap(t))
+        assert d <= n + m - 2 * both
+    assert ngram_jaccard.parity_bitmap(pool[:0]) == bytes(8)

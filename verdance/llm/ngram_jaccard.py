@@ -47,6 +47,9 @@ SALTS = 16
 LONG, CENTRES = 12, 4
 LARGEST_LIGHT = 16
 FILTER_BITS = 24
+#: Bits of a set's parity bitmap: the power of two from its size on, within these.
+LEAST_BITS, MOST_BITS = 64, 1 << 14
+NEAREST = 2
 _FLUSH = 400_000
 
 
@@ -98,22 +101,39 @@ def node_of(s: np.ndarray) -> int:
         return int(K.mix(x ^ K.mix(x[[1, 2, 0]])).sum().view(np.int64))
 
 
+def parity_bitmap(s: np.ndarray) -> bytes:
+    """Whether each bit is the hash of an odd number of the set's shingles."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, len(s) - 1).bit_length()))
+    at = (K.mix(s) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the shingles in one of two sets alone, from their bitmaps."""
+    least = min(len(x), len(y))
+    p, q = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, least)) for z in (x, y))
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def document_nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of each row of (doc_id, text)."""
+    """(doc_id, n_shingles, node, bitmap) of each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in K.text_slices(batches):
             sets = list(K.shingle_sets(data, offsets))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())],
-                ["doc_id", "n_shingles", "node"],
+                [
+                    rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([node_of(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()),
+                ],
+                ["doc_id", "n_shingles", "node", "bitmap"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bitmap binary")
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, float]:
@@ -339,6 +359,44 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, apart) of the ``pairs`` that may link by their bitmaps.
+
+    ``apart`` is the least share of shingles in one set alone, in millionths."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    maps = nodes.select("node", "n_shingles", "bitmap").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    maps = tables.written(maps, "bitmaps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
+            d = np.array([least_difference(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], np.int64)
+            may = total - d >= 2 * ((4 * total + 8) // 9)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(pa.array(may)), batch.column("b").filter(pa.array(may)), pa.array((1_000_000 * d // np.maximum(total, 1))[may])],
+                ["a", "b", "apart"],
+            )
+
+    joined = pairs.join(maps.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("bitmap").alias("x")), "a")
+    joined = joined.join(maps.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("bitmap").alias("y")), "b")
+    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, apart long")
+
+
+def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``pairs`` of two components, with these as ca and cb."""
+    ends = {side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in "ab"}
+    both = pairs.join(ends["a"], "a", "left").join(ends["b"], "b", "left")
+    both = both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    return both.where("ca != cb").select(*pairs.columns, "ca", "cb")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """The (a, b) nearest to each component's other side, ties by their names."""
+    row = F.struct("apart", "a", "b").alias("p")
+    ends = pairs.select(F.col("ca").alias("c"), row).unionByName(pairs.select(F.col("cb").alias("c"), row))
+    return ends.groupBy("c").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` that link, by their whole sets.
 
@@ -399,14 +457,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = star.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b"))
     heads = lists.where("salt BETWEEN 0 AND 254").select("key", F.struct("p_node", "p_n", "p_place").alias("p")).distinct()
     least = tables.written(heads.groupBy("key").agg(F.min("p").alias("q")), "heads")
-    across = heads.join(least, "key").select(
+    heads = heads.join(least, "key").select(
         F.col("p.p_node").alias("b"), F.col("p.p_n").alias("n"), F.col("p.p_place").alias("place"),
         F.col("q.p_node").alias("a"), F.col("q.p_n").alias("m"), F.col("q.p_place").alias("other"),
     )
-    across = across.where("a != b").where(_possible("n", "place", "m", "other", boundary))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = tables.written(star.unionByName(across).distinct(), "pairs")
-    links = tables.written(verified(pairs, docs, nodes), "links")
+    heads = heads.where("a != b").where(_possible("n", "place", "m", "other", boundary))
+    heads = heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = tables.written(star.unionByName(heads).distinct(), "pairs")
+    near = tables.written(bounded(pairs, nodes), "near")
+    links = tables.written(verified(near, docs, nodes), "links")
     found = tables.written(components(links), "found")
 
     entries = lists.where("salt >= 0").select("key", (F.col("place") < 0).alias("subset"), "node", "n", "place")
@@ -426,7 +485,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     more = more.where("room").where(F.col("subset") | (9 * (F.col("shared") + rest) >= 4 * (F.col("n") + F.col("m"))))
     more = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = tables.written(more, "more")
+    more = tables.written(bounded(tables.written(more, "more"), nodes), "near")
+    for _ in range(NEAREST):
+        more = tables.written(across(more, found), "across")
+        tried = tables.written(nearest(more), "nearest")
+        links = tables.written(links.unionByName(verified(tried, docs, nodes)), "links")
+        more = more.select("a", "b", "apart").join(tried, ["a", "b"], "left_anti")
+        found = tables.written(components(links), "found")
+    more = tables.written(across(more, found), "across")
     links = tables.written(links.unionByName(verified(more, docs, nodes)), "links")
     return _labelled(nodes, components(links))
 

@@ -34,7 +34,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdance.llm import kernels as K
@@ -50,6 +50,8 @@ FILTER_BITS = 24
 #: Bits of a set's parity bitmap: the power of two from its size on, within these.
 LEAST_BITS, MOST_BITS = 64, 1 << 14
 NEAREST = 2
+#: Longer lists are chained in parts of about this many entries.
+CHAIN = 4096
 _FLUSH = 400_000
 
 
@@ -434,6 +436,37 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def spanning(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``entries`` of lists that hold two components, with these and the list's length."""
+    entries = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    entries = tables.written(entries, "entries")
+    spans = entries.groupBy("key", "subset").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
+    spans = tables.written(spans.where("lo < hi").select("key", "subset", "length"), "spans")
+    return tables.written(entries.join(spans, ["key", "subset"]), "open")
+
+
+def chained(entries: DataFrame, boundary: int) -> DataFrame:
+    """(a, b) of entries of two components that are neighbours in an order of their list."""
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / CHAIN))
+    order = Window.partitionBy("key", "subset", "part").orderBy(F.xxhash64("node", "key"), "node")
+    after = F.lead(F.struct("node", "n", "place", "component")).over(order).alias("after")
+    pairs = entries.withColumn("part", part).select("node", "n", "place", "component", after).where("after.component != component")
+    pairs = pairs.select("node", "n", "place", F.col("after.node").alias("next"), F.col("after.n").alias("m"), F.col("after.place").alias("other"))
+    pairs = pairs.where(_possible("n", "place", "m", "other", boundary))
+    return pairs.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
+
+
+def grown(pairs: DataFrame, links: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``links`` and components after ``NEAREST`` rounds, and the pairs not yet verified."""
+    for _ in range(NEAREST):
+        pairs = tables.written(across(pairs, found), "across")
+        tried = tables.written(nearest(pairs), "nearest")
+        links = tables.written(links.unionByName(verified(tried, docs, nodes)), "links")
+        pairs = pairs.select("a", "b", "apart").join(tried, ["a", "b"], "left_anti")
+        found = tables.written(components(links), "found")
+    return links, found, pairs
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``.
 
@@ -469,11 +502,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = tables.written(components(links), "found")
 
     entries = lists.where("salt >= 0").select("key", (F.col("place") < 0).alias("subset"), "node", "n", "place")
-    entries = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    entries = tables.written(entries, "entries")
-    spans = entries.groupBy("key", "subset").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    spans = tables.written(spans.select("key", "subset"), "spans")
-    open_ = tables.written(entries.join(spans, ["key", "subset"], "left_semi"), "open")
+    open_ = spanning(entries, found)
+    chains = tables.written(bounded(tables.written(chained(open_, boundary), "chains"), nodes), "near")
+    links, found, _ = grown(chains, links, found, docs, nodes)
+    open_ = spanning(open_.select(*entries.columns), found)
     other = open_.select("key", "subset", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("component").alias("c2"))
     more = open_.join(other, ["key", "subset"]).where("node < b AND component != c2")
     more = more.where(_sizes("n", "place", "m", "other", boundary))
@@ -486,12 +518,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = more.where("room").where(F.col("subset") | (9 * (F.col("shared") + rest) >= 4 * (F.col("n") + F.col("m"))))
     more = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = tables.written(bounded(tables.written(more, "more"), nodes), "near")
-    for _ in range(NEAREST):
-        more = tables.written(across(more, found), "across")
-        tried = tables.written(nearest(more), "nearest")
-        links = tables.written(links.unionByName(verified(tried, docs, nodes)), "links")
-        more = more.select("a", "b", "apart").join(tried, ["a", "b"], "left_anti")
-        found = tables.written(components(links), "found")
+    links, found, more = grown(more, links, found, docs, nodes)
     more = tables.written(across(more, found), "across")
     links = tables.written(links.unionByName(verified(more, docs, nodes)), "links")
     return _labelled(nodes, components(links))

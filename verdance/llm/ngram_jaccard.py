@@ -179,6 +179,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, float]:
             break
         least, size = r["n"], size + r["count"]
     often = found.where(F.col("n") >= least).select("shingle", "n").toPandas().sort_values(["n", "shingle"])
+    tables.drop(found)
     n = often["n"].to_numpy(np.float64)
     return often["shingle"].to_numpy(np.int64).view(np.uint64), float((n * n).sum() / shingles)
 
@@ -381,7 +382,9 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     joined = pairs.join(maps.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("bitmap").alias("x")), "a")
     joined = joined.join(maps.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("bitmap").alias("y")), "b")
-    return joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, apart long")
+    near = tables.written(joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, apart long"), "near")
+    tables.drop(maps)
+    return near
 
 
 def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -433,7 +436,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     joined = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
     joined = joined.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    links = tables.written(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
+    tables.drop(ids, bodies)
+    return links
 
 
 def spanning(entries: DataFrame, found: DataFrame) -> DataFrame:
@@ -442,7 +447,9 @@ def spanning(entries: DataFrame, found: DataFrame) -> DataFrame:
     entries = tables.written(entries, "entries")
     spans = entries.groupBy("key", "subset").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
     spans = tables.written(spans.where("lo < hi").select("key", "subset", "length"), "spans")
-    return tables.written(entries.join(spans, ["key", "subset"]), "open")
+    open_ = tables.written(entries.join(spans, ["key", "subset"]), "open")
+    tables.drop(entries, spans)
+    return open_
 
 
 def chained(entries: DataFrame, boundary: int) -> DataFrame:
@@ -456,15 +463,27 @@ def chained(entries: DataFrame, boundary: int) -> DataFrame:
     return pairs.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
 
 
-def grown(pairs: DataFrame, links: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``links`` and components after ``NEAREST`` rounds, and the pairs not yet verified."""
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` after more ``links``.  Both tables are dropped."""
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    more = components(stars.unionByName(links.select("a", "b")))
+    tables.drop(found, links)
+    return more
+
+
+def grown(pairs: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components after ``NEAREST`` rounds over the written ``pairs``, and the pairs not yet verified."""
+    spent = [pairs]
     for _ in range(NEAREST):
-        pairs = tables.written(across(pairs, found), "across")
-        tried = tables.written(nearest(pairs), "nearest")
-        links = tables.written(links.unionByName(verified(tried, docs, nodes)), "links")
-        pairs = pairs.select("a", "b", "apart").join(tried, ["a", "b"], "left_anti")
-        found = tables.written(components(links), "found")
-    return links, found, pairs
+        crossing = tables.written(across(pairs, found), "across")
+        tables.drop(*spent)
+        tried = tables.written(nearest(crossing), "nearest")
+        found = joined(found, verified(tried, docs, nodes))
+        pairs = crossing.select("a", "b", "apart").join(tried, ["a", "b"], "left_anti")
+        spent = [crossing, tried]
+    rest = tables.written(across(pairs, found), "across")
+    tables.drop(*spent)
+    return found, rest
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -497,15 +516,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = heads.where("a != b").where(_possible("n", "place", "m", "other", boundary))
     heads = heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = tables.written(star.unionByName(heads).distinct(), "pairs")
-    near = tables.written(bounded(pairs, nodes), "near")
-    links = tables.written(verified(near, docs, nodes), "links")
-    found = tables.written(components(links), "found")
+    near = bounded(pairs, nodes)
+    links = verified(near, docs, nodes)
+    found = components(links)
+    tables.drop(least, near, links)
 
     entries = lists.where("salt >= 0").select("key", (F.col("place") < 0).alias("subset"), "node", "n", "place")
-    open_ = spanning(entries, found)
-    chains = tables.written(bounded(tables.written(chained(open_, boundary), "chains"), nodes), "near")
-    links, found, _ = grown(chains, links, found, docs, nodes)
-    open_ = spanning(open_.select(*entries.columns), found)
+    first = spanning(entries, found)
+    tables.drop(lists)
+    chains = tables.written(chained(first, boundary), "chains")
+    near = bounded(chains, nodes)
+    found, rest = grown(near, found, docs, nodes)
+    open_ = spanning(first.select(*entries.columns), found)
+    tables.drop(first, chains, rest)
     other = open_.select("key", "subset", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("component").alias("c2"))
     more = open_.join(other, ["key", "subset"]).where("node < b AND component != c2")
     more = more.where(_sizes("n", "place", "m", "other", boundary))
@@ -517,18 +540,20 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     more = more.where("room").where(F.col("subset") | (9 * (F.col("shared") + rest) >= 4 * (F.col("n") + F.col("m"))))
     more = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = tables.written(bounded(tables.written(more, "more"), nodes), "near")
-    links, found, more = grown(more, links, found, docs, nodes)
-    more = tables.written(across(more, found), "across")
-    links = tables.written(links.unionByName(verified(more, docs, nodes)), "links")
-    return _labelled(nodes, components(links))
+    more = tables.written(more, "more")
+    near = bounded(more, nodes)
+    tables.drop(open_, pairs, more)
+    found, rest = grown(near, found, docs, nodes)
+    found = joined(found, verified(rest, docs, nodes))
+    tables.drop(rest)
+    return _labelled(nodes, found)
 
 
 def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Puts the smallest document id of each component on its documents."""
-    found = tables.written(found, "found")
     named = nodes.where("n_shingles > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = tables.written(named, "named")
+    tables.drop(found)
     firsts = tables.written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "firsts")
     linked = named.join(firsts, "component").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

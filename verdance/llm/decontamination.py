@@ -1,11 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Each test item is cut into word n-grams.  In how many documents each occurs is
-counted over the whole corpus; an item's *seeds* are the rarer half of its
-n-grams.  Wherever a seed stands in a document, the passage around it, as long
-as the item and some slack, is aligned with the item word by word, so changed,
-added and left-out words cost a little each and do not hide a copy.  The score
-is the best local alignment over that of the item with itself.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+The score of an item and a document is their best local alignment, word by
+word, over that of the item with itself: changed, added and left-out words cost
+a little each and do not hide a copy.  Seeds only spare alignments that cannot
+reach the threshold; the result is that of aligning every item with every
+document.
+
+An alignment of a matches and e edits scores at most a - e/2.  To reach t times
+the m words of the item it has e <= 2(1-t)m edits, and, as e edits leave e + 1
+runs of matches at most, a - e - 1 >= (2t-1)m - 1 pairs of neighbouring words in
+common with the item.  So an item's *grams* are its word pairs, of which so many
+must stand in a document within so many diagonals.  Where that demands no pair
+(few words or a low threshold), single words take their place: a >= tm of them.
+In how many documents each gram occurs is counted over the whole corpus; the
+commonest of an item are no seeds, and each lowers the demand by one.  Passages
+that meet it are aligned in batches, and those that reach the threshold once
+more for the place.
 
 Documents are only scanned, twice, and never shuffled.  The items are taken in
 blocks of bounded size, each broadcast, so the table of items may be of any
@@ -26,9 +36,9 @@ from verdance.llm import kernels as K
 from verdance.llm import tables
 from verdance.llm.toxicity import _BREAK
 
-GRAM = 3
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 BLOCK_CHARS = 8 << 20
+BATCH_CELLS = 1 << 14
 
 
 @dataclass
@@ -37,6 +47,8 @@ class Items:
 
     ids: np.ndarray
     words: list[np.ndarray]
+    width: np.ndarray  # of each item's n-grams
+    need: np.ndarray  # how many of them every good alignment holds
     gram: np.ndarray  # sorted, distinct
     first: np.ndarray  # of each gram's places; one more than grams
     item: np.ndarray
@@ -49,30 +61,37 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return K.word_hashes(data, starts, ends), first
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    """An item shorter than an n-gram has its whole as the one n-gram."""
-    return K.windows(words, min(GRAM, len(words))) if len(words) else np.zeros(0, np.uint64)
+def edits(m: np.ndarray, threshold: float) -> np.ndarray:
+    """The most edits that a good alignment with an item of ``m`` words has."""
+    return np.maximum(0, np.floor(2 * (1 - threshold) * m + 1e-9)).astype(np.int64)
+
 
+def _demand(m: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(width, need): the n-grams to take of an item, and how many a good alignment holds."""
+    pairs = np.ceil((2 * threshold - 1) * m - 1 - 1e-9).astype(np.int64)
+    singles = np.ceil(threshold * m - 1e-9).astype(np.int64)
+    return np.where(pairs > 0, 2, 1), np.maximum(1, np.where(pairs > 0, pairs, singles))
 
-def block(ids: list[int], texts: list[str]) -> Items:
+
+def block(ids: list[int], texts: list[str], threshold: float, least_words: int) -> Items:
     words: list[np.ndarray] = []
     for _, data, offsets in K.text_slices(iter([pa.record_batch({"text": pa.array(texts, pa.large_string())})])):
         hashes, first = words_of(data, offsets)
         words += [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-    grams = [_grams(w) for w in words]
+    width, need = _demand(np.array([len(w) for w in words], np.int64), threshold)
+    grams = [K.windows(w, k) if len(w) >= least_words else np.zeros(0, np.uint64) for w, k in zip(words, width.tolist())]
     flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
     item = np.repeat(np.arange(len(words)), [len(g) for g in grams])
     place = np.concatenate([*[np.arange(len(g)) for g in grams], np.zeros(0, np.int64)])
     by = np.argsort(flat, kind="stable")
     gram, first = np.unique(flat[by], return_index=True)
-    return Items(np.array(ids, np.int64), words, gram, np.append(first, len(flat)), item[by], place[by].astype(np.int64))
+    return Items(np.array(ids, np.int64), words, width, need, gram, np.append(first, len(flat)), item[by], place[by].astype(np.int64))
 
 
 def _hits(items: Items, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, word, gram index) wherever an n-gram of the block stands in the slice."""
     found = []
-    widths = {min(GRAM, len(w)) for w in items.words if len(w)}
-    for width in widths:
+    for width in np.unique(items.width).tolist():
         runs = K.windows(words, width)
         if not len(runs) or not len(items.gram):
             continue
@@ -108,15 +127,49 @@ def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
 
 
 def rare_seeds(items: Items, counts: np.ndarray) -> Items:
-    """The block with only the rarer half of each item's n-grams (at least 8 of them)."""
+    """The block without the commonest grams of each item, and what is left of its demand.
+
+    Of d grams that a good alignment holds, it still holds d - k when k are
+    left out, so this loses nothing as long as one is still demanded."""
     gram_of = np.repeat(np.arange(len(items.gram)), np.diff(items.first))
+    spare = items.need // 2
+    by = np.lexsort((items.place, -counts[gram_of], items.item))
+    start = np.searchsorted(items.item[by], np.arange(len(items.words)))
     keep = np.zeros(len(gram_of), bool)
-    by = np.lexsort((items.place, counts[gram_of], items.item))
-    cuts = np.searchsorted(items.item[by], np.arange(len(items.words) + 1))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        keep[by[a : min(b, a + max(8, (b - a + 1) // 2))]] = True
+    keep[by] = np.arange(len(by)) - start[items.item[by]] >= spare[items.item[by]]
+    keep &= counts[gram_of] > 0
     gram, first = np.unique(gram_of[keep], return_index=True)
-    return Items(items.ids, items.words, items.gram[gram], np.append(first, keep.sum()), items.item[keep], items.place[keep])
+    return Items(items.ids, items.words, items.width, items.need - spare, items.gram[gram], np.append(first, keep.sum()), items.item[keep], items.place[keep])
+
+
+def passages(items: Items, words: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, start, end) of the passages that hold all good alignments whole."""
+    doc, place, gram = _hits(items, words, first)
+    repeat = items.first[gram + 1] - items.first[gram]
+    entry = np.repeat(items.first[gram], repeat) + np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+    doc, item, begin = np.repeat(doc, repeat), items.item[entry], np.repeat(place, repeat) - items.place[entry]
+    sizes = np.array([len(w) for w in items.words], np.int64)
+    most = edits(sizes, threshold)
+    pair = doc * len(sizes) + item
+    by = np.lexsort((begin, pair))
+    pair, begin = pair[by], begin[by]
+    # as many seeds as the item demands, on diagonals no further apart than edits can shift them
+    item = pair % len(sizes)
+    last = np.arange(len(pair)) + items.need[item] - 1
+    at = np.minimum(last, max(0, len(pair) - 1))
+    enough = np.flatnonzero((last < len(pair)) & (pair[at] == pair) & (begin[at] - begin <= most[item]))
+    inside = np.zeros(len(pair) + 1, np.int64)
+    np.add.at(inside, enough, 1)
+    np.add.at(inside, last[enough] + 1, -1)
+    use = np.cumsum(inside[:-1]) > 0
+    pair, begin, item = pair[use], begin[use], item[use]
+    doc = pair // len(sizes)
+    lo = np.maximum(begin - most[item], first[doc])
+    hi = np.minimum(begin + sizes[item] + most[item], first[doc + 1])
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (lo[1:] > hi[:-1])
+    starts = np.flatnonzero(new)
+    return doc[starts], item[starts], lo[starts], hi[np.append(starts[1:], len(pair))[: len(starts)] - 1]
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -138,36 +191,73 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def alignments(docs: DataFrame, items: Items, threshold: float, least_words: int) -> DataFrame:
+def best_scores(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
+    """The score of each pair as ``smith_waterman`` gives it, all pairs at once.
+
+    Scores are held doubled, as whole numbers.  Cells of one anti-diagonal do
+    not depend on each other; ids that are negative match nothing."""
+    m, n, c = max(map(len, items)), max(map(len, passages)), len(items)
+    kind = np.int16 if m < 1 << 13 else np.int32
+    word = np.full((m, c), -1, np.int32)
+    text = np.full((n + 2 * m, c), -2, np.int32)  # with m words of nothing on both sides
+    for k, (a, b) in enumerate(zip(items, passages)):
+        word[: len(a), k] = a
+        text[m : m + len(b), k] = b
+    before, last, now = (np.zeros((m + 1, c), kind) for _ in range(3))
+    best, match = np.zeros((m, c), kind), np.empty((m, c), kind)
+    hit, one, three = np.empty((m, c), bool), kind(1), kind(3)
+    for d in range(m + n - 1):
+        np.equal(word, text[d + 1 : d + m + 1][::-1], out=hit)
+        np.multiply(hit, three, out=match)
+        match += before[:-1]
+        cell = now[1:]
+        np.maximum(last[:-1], last[1:], out=cell)
+        np.maximum(cell, match, out=cell)
+        cell -= one
+        np.maximum(cell, kind(0), out=cell)
+        np.maximum(best, cell, out=best)
+        before, last, now = last, now, before
+    return best.max(axis=0) / 2
+
+
+def _batches(m: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of items and passages of like lengths, ``BATCH_CELLS`` of an anti-diagonal at once."""
+    if not len(m):
+        return
+    long, tall = np.frexp(n.astype(float))[1], np.frexp(m.astype(float))[1]
+    by = np.lexsort((n, tall, long))
+    edge = np.flatnonzero((np.diff(long[by]) != 0) | (np.diff(tall[by]) != 0)) + 1
+    for like in np.split(by, edge):
+        step = max(1, BATCH_CELLS // int(m[like].max()))
+        for k in range(0, len(like), step):
+            yield like[k : k + step]
+
+
+def alignments(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     """(doc_id, item_id, score, end_word) of each document and item that align well enough."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         sizes = np.array([len(w) for w in own.words], np.int64)
+        known = np.unique(np.concatenate(own.words))
+        item_words = [np.searchsorted(known, w).astype(np.int32) for w in own.words]
         for rows, data, offsets in K.text_slices(batches):
             words, first = words_of(data, offsets)
-            doc, place, gram = _hits(own, words, first)
-            repeat = own.first[gram + 1] - own.first[gram]
-            entry = np.repeat(own.first[gram], repeat) + np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            doc, place, item = np.repeat(doc, repeat), np.repeat(place, repeat), own.item[entry]
-            begin = place - own.place[entry]
-            use = sizes[item] >= least_words
-            doc, item, begin = doc[use], item[use], begin[use]
-            by = np.lexsort((begin, item, doc))
+            doc, item, lo, hi = passages(own, words, first, threshold)
+            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            ids = np.where(known[at] == words, at, -2).astype(np.int32)
+            good = []
+            for part in _batches(sizes[item], hi - lo):
+                scores = best_scores([item_words[i] for i in item[part]], [ids[a:b] for a, b in zip(lo[part], hi[part])])
+                good.append(part[scores / (MATCH * sizes[item[part]]) >= threshold])
             best: dict[tuple[int, int], tuple[float, int]] = {}
-            until = (-1, -1, -1)
-            for d, i, b in zip(doc[by].tolist(), item[by].tolist(), begin[by].tolist()):
-                m = int(sizes[i])
-                slack = m // 4 + 4
-                if until[:2] == (d, i) and b <= until[2]:
-                    continue  # the passage aligned last covers this seed's too
-                until = (d, i, b + slack // 2)
-                lo, hi = max(b - slack, int(first[d])), min(b + m + 2 * slack, int(first[d + 1]))
-                score, end = smith_waterman(own.words[i], words[lo:hi])
-                score /= MATCH * m
-                if score >= threshold and score > best.get((d, i), (0.0, 0))[0]:
-                    best[d, i] = (score, lo - int(first[d]) + end)
+            for k in np.sort(np.concatenate([*good, np.zeros(0, np.int64)])).tolist():
+                d, i = int(doc[k]), int(item[k])
+                score, end = smith_waterman(own.words[i], words[lo[k] : hi[k]])
+                score /= MATCH * int(sizes[i])
+                if score > best.get((d, i), (0.0, 0))[0]:
+                    best[d, i] = (score, int(lo[k] - first[d]) + end)
             keys = list(best)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -182,7 +272,7 @@ def alignments(docs: DataFrame, items: Items, threshold: float, least_words: int
     return docs.mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
 
 
-def blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[Items]:
+def blocks(items: DataFrame, item_id: str, item_text: str, threshold: float, least_words: int) -> Iterator[Items]:
     """The items in blocks of at most ``BLOCK_CHARS`` characters (or one item)."""
     picked = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     ids: list[int] = []
@@ -190,13 +280,13 @@ def blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[Items]:
     held = 0
     for row in picked.orderBy("item_id", "text").toLocalIterator():
         if ids and held + len(row["text"]) > BLOCK_CHARS:
-            yield block(ids, texts)
+            yield block(ids, texts, threshold, least_words)
             ids, texts, held = [], [], 0
         held += len(row["text"])
         ids.append(row["item_id"])
         texts.append(row["text"])
     if ids:
-        yield block(ids, texts)
+        yield block(ids, texts, threshold, least_words)
 
 
 def contaminated(
@@ -218,10 +308,10 @@ def contaminated(
     results.  Empty tables give no rows."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     out = None
-    for own in blocks(items, item_id, item_text):
+    for own in blocks(items, item_id, item_text, threshold, least_words):
         if not len(own.gram):
             continue
-        part = alignments(docs, rare_seeds(own, document_counts(docs, own)), threshold, least_words)
+        part = alignments(docs, rare_seeds(own, document_counts(docs, own)), threshold)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")

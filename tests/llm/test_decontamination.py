@@ -60,3 +60,17 @@ def test_batched_scores_equal_single_ones():
     b = [rng.integers(-1, 5, n).astype(np.int32) for n in rng.integers(1, 40, 80)]
     b = [np.where(x < 0, -2, x).astype(np.int32) for x in b]
     assert decontamination.best_scores(a, b).tolist() == [decontamination.smith_waterman(x, y)[0] for x, y in zip(a, b)]
+
+
+def test_case_folds_beyond_ascii(spark):
+    item = "Él añadió después: über große Straßen führen früh schöne Übungen, où l'été était déjà très près"
+    docs = spark.createDataFrame([(1, "before " + item.upper() + " after"), (2, item.lower()), (3, None), (4, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item), (6, item.upper())], "item_id long, text string")
+    rows = decontamination.contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in rows} == {(1, 5, 1), (1, 6, 1), (2, 5, 1), (2, 6, 1)}
+
+
+def test_bytes_that_are_no_text_stay():
+    data = np.frombuffer(b"\xff\xc3 \xc3\x89t\xc3\xa9" + b"A b" + b"\xe9", np.uint8)
+    data, offsets = decontamination.folded(data, np.array([0, 8, 11, 12]))
+    assert data.tobytes() == b"\xff\xc3 \xc3\xa9t\xc3\xa9" + b"A b" + b"\xe9" and offsets.tolist() == [0, 8, 11, 12]

@@ -55,8 +55,19 @@ class Items:
     place: np.ndarray
 
 
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slice with the case of its non-ASCII texts folded as Unicode says; bytes that are no UTF-8 stay."""
+    whole = data.tobytes()
+    if whole.isascii():
+        return data, offsets
+    parts = [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    parts = [t if t.isascii() else t.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for t in parts]
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)], dtype=np.int64)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased runs of letters and digits, and each document's first."""
+    """Hashes of the case-folded runs of letters and digits, and each document's first."""
+    data, offsets = folded(data, offsets)
     starts, ends, first = K.word_bounds(data, offsets, _BREAK)
     return K.word_hashes(data, starts, ends), first
 

@@ -74,3 +74,10 @@ def test_bytes_that_are_no_text_stay():
     data = np.frombuffer(b"\xff\xc3 \xc3\x89t\xc3\xa9" + b"A b" + b"\xe9", np.uint8)
     data, offsets = decontamination.folded(data, np.array([0, 8, 11, 12]))
     assert data.tobytes() == b"\xff\xc3 \xc3\xa9t\xc3\xa9" + b"A b" + b"\xe9" and offsets.tolist() == [0, 8, 11, 12]
+
+
+def test_short_items_match_word_for_word(spark):
+    docs = [(1, "so The answer, is 42! so"), (2, "the answer is not 42"), (3, "他说北京是中国的首都，对吗"), (4, "北京是一座城市"), (5, "Paris"), (6, "parish")]
+    items = [(10, "the answer is 42"), (11, "北京是中国的首都"), (12, "paris"), (13, "..."), (14, "中国的首都")]
+    rows = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in rows} == {(1, 10, 1), (3, 11, 1), (3, 14, 1), (5, 12, 1)}

@@ -24,6 +24,7 @@ size; a block costs one more scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +40,8 @@ from verdance.llm.toxicity import _BREAK
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 BLOCK_CHARS = 8 << 20
 BATCH_CELLS = 1 << 14
+#: Letters of scripts without spaces between words (Thai to Burmese, Khmer, kana, Chinese): each is a word of its own.
+UNSPACED = re.compile("([\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 @dataclass
@@ -49,19 +52,24 @@ class Items:
     words: list[np.ndarray]
     width: np.ndarray  # of each item's n-grams
     need: np.ndarray  # how many of them every good alignment holds
+    threshold: np.ndarray  # of each item's score
     gram: np.ndarray  # sorted, distinct
     first: np.ndarray  # of each gram's places; one more than grams
     item: np.ndarray
     place: np.ndarray
 
 
+def _folded(text: str) -> str:
+    return UNSPACED.sub(r" \1 ", text.casefold())
+
+
 def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The slice with the case of its non-ASCII texts folded as Unicode says; bytes that are no UTF-8 stay."""
+    """The slice with the case of its non-ASCII texts folded as Unicode says, and ``UNSPACED`` letters apart; bytes that are no UTF-8 stay."""
     whole = data.tobytes()
     if whole.isascii():
         return data, offsets
     parts = [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-    parts = [t if t.isascii() else t.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for t in parts]
+    parts = [t if t.isascii() else _folded(t.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape") for t in parts]
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)], dtype=np.int64)
 
 
@@ -72,12 +80,12 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return K.word_hashes(data, starts, ends), first
 
 
-def edits(m: np.ndarray, threshold: float) -> np.ndarray:
+def edits(m: np.ndarray, threshold: np.ndarray) -> np.ndarray:
     """The most edits that a good alignment with an item of ``m`` words has."""
     return np.maximum(0, np.floor(2 * (1 - threshold) * m + 1e-9)).astype(np.int64)
 
 
-def _demand(m: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _demand(m: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(width, need): the n-grams to take of an item, and how many a good alignment holds."""
     pairs = np.ceil((2 * threshold - 1) * m - 1 - 1e-9).astype(np.int64)
     singles = np.ceil(threshold * m - 1e-9).astype(np.int64)
@@ -89,14 +97,16 @@ def block(ids: list[int], texts: list[str], threshold: float, least_words: int)
     for _, data, offsets in K.text_slices(iter([pa.record_batch({"text": pa.array(texts, pa.large_string())})])):
         hashes, first = words_of(data, offsets)
         words += [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-    width, need = _demand(np.array([len(w) for w in words], np.int64), threshold)
-    grams = [K.windows(w, k) if len(w) >= least_words else np.zeros(0, np.uint64) for w, k in zip(words, width.tolist())]
+    sizes = np.array([len(w) for w in words], np.int64)
+    least = np.where(sizes < least_words, 1.0, threshold)  # short items count only as they are
+    width, need = _demand(sizes, least)
+    grams = [K.windows(w, k) for w, k in zip(words, width.tolist())]
     flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
     item = np.repeat(np.arange(len(words)), [len(g) for g in grams])
     place = np.concatenate([*[np.arange(len(g)) for g in grams], np.zeros(0, np.int64)])
     by = np.argsort(flat, kind="stable")
     gram, first = np.unique(flat[by], return_index=True)
-    return Items(np.array(ids, np.int64), words, width, need, gram, np.append(first, len(flat)), item[by], place[by].astype(np.int64))
+    return Items(np.array(ids, np.int64), words, width, need, least, gram, np.append(first, len(flat)), item[by], place[by].astype(np.int64))
 
 
 def _hits(items: Items, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,17 +160,17 @@ def rare_seeds(items: Items, counts: np.ndarray) -> Items:
     keep[by] = np.arange(len(by)) - start[items.item[by]] >= spare[items.item[by]]
     keep &= counts[gram_of] > 0
     gram, first = np.unique(gram_of[keep], return_index=True)
-    return Items(items.ids, items.words, items.width, items.need - spare, items.gram[gram], np.append(first, keep.sum()), items.item[keep], items.place[keep])
+    return Items(items.ids, items.words, items.width, items.need - spare, items.threshold, items.gram[gram], np.append(first, keep.sum()), items.item[keep], items.place[keep])
 
 
-def passages(items: Items, words: np.ndarray, first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def passages(items: Items, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, start, end) of the passages that hold all good alignments whole."""
     doc, place, gram = _hits(items, words, first)
     repeat = items.first[gram + 1] - items.first[gram]
     entry = np.repeat(items.first[gram], repeat) + np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
     doc, item, begin = np.repeat(doc, repeat), items.item[entry], np.repeat(place, repeat) - items.place[entry]
     sizes = np.array([len(w) for w in items.words], np.int64)
-    most = edits(sizes, threshold)
+    most = edits(sizes, items.threshold)
     pair = doc * len(sizes) + item
     by = np.lexsort((begin, pair))
     pair, begin = pair[by], begin[by]
@@ -244,7 +254,7 @@ def _batches(m: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
             yield like[k : k + step]
 
 
-def alignments(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+def alignments(docs: DataFrame, items: Items) -> DataFrame:
     """(doc_id, item_id, score, end_word) of each document and item that align well enough."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -255,13 +265,13 @@ def alignments(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
         item_words = [np.searchsorted(known, w).astype(np.int32) for w in own.words]
         for rows, data, offsets in K.text_slices(batches):
             words, first = words_of(data, offsets)
-            doc, item, lo, hi = passages(own, words, first, threshold)
+            doc, item, lo, hi = passages(own, words, first)
             at = np.minimum(np.searchsorted(known, words), len(known) - 1)
             ids = np.where(known[at] == words, at, -2).astype(np.int32)
             good = []
             for part in _batches(sizes[item], hi - lo):
                 scores = best_scores([item_words[i] for i in item[part]], [ids[a:b] for a, b in zip(lo[part], hi[part])])
-                good.append(part[scores / (MATCH * sizes[item[part]]) >= threshold])
+                good.append(part[scores / (MATCH * sizes[item[part]]) >= own.threshold[item[part]]])
             best: dict[tuple[int, int], tuple[float, int]] = {}
             for k in np.sort(np.concatenate([*good, np.zeros(0, np.int64)])).tolist():
                 d, i = int(doc[k]), int(item[k])
@@ -313,16 +323,16 @@ def contaminated(
     """(doc_id, item_id, score, end_word): documents that hold a test item or an edited copy.
 
     ``score`` is 1 for a whole verbatim copy; ``end_word`` is where the best
-    alignment ends, in words of the document.  Null and empty texts hold
-    nothing; items that are null, or of fewer than ``least_words`` words, match
-    nothing.  A row with a null id is left out.  Repeated rows give repeated
+    alignment ends, in words of the document.  Items of fewer than
+    ``least_words`` words match word for word only.  Null and empty texts hold
+    nothing and match nothing.  A row with a null id is left out.  Repeated rows give repeated
     results.  Empty tables give no rows."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     out = None
     for own in blocks(items, item_id, item_text, threshold, least_words):
         if not len(own.gram):
             continue
-        part = alignments(docs, rare_seeds(own, document_counts(docs, own)), threshold)
+        part = alignments(docs, rare_seeds(own, document_counts(docs, own)))
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")

@@ -407,6 +407,13 @@ def label4(spark, sf_dir):
     return R.labelled(pixels.where("v > 0.9")).groupBy("tile_ord").agg(F.count_distinct("label").alias("n_objects"), F.count("*").alias("n_pixels"))
 
 
+@query()
+def label4_foreground(spark, sf_dir):
+    """``label4`` over all of the foreground; its recursive SQL holds for v > 0.9 only."""
+    (pixels,) = load(spark, sf_dir, "fx_pixels")
+    return R.labelled(pixels.where("v > 0.3")).groupBy("tile_ord").agg(F.count_distinct("label").alias("n_objects"), F.count("*").alias("n_pixels"))
+
+
 @query()
 def label8(spark, sf_dir):
     (pixels,) = load(spark, sf_dir, "fx_pixels")

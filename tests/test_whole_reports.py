@@ -33,3 +33,12 @@ def test_label4_of_the_whole_foreground(spark):
     want = {t: (len(components(cells)), len(cells)) for t, cells in foreground(spark).items()}
     got = {r["tile_ord"]: (r["n_objects"], r["n_pixels"]) for r in reports.QUERIES["label4_foreground"](spark, SF).collect()}
     assert got == want and sum(n for _, n in want.values()) > 0
+
+
+def test_bootstrap_has_a_pointwise_band(spark):
+    band = sorted(reports.QUERIES["bootstrap_band"](spark, SF).collect(), key=lambda r: r["i"])
+    fit = {r["i"]: r["fit"] for r in reports.QUERIES["ols_grid"](spark, SF).collect()}
+    assert [r["i"] for r in band] == list(range(100)) and all(r["fit_lo"] < fit[r["i"]] < r["fit_hi"] for r in band)
+    ci = reports.QUERIES["bootstrap_ci"](spark, SF).first()
+    assert ci == reports.T.bootstrap_slope(reports._xym(spark, SF), "x", "y", 1000).first()
+    assert ci != reports.T.bootstrap_slope(reports._xym(spark, SF), "x", "y", 200).first()

@@ -570,4 +570,10 @@ def spearman_p(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return T.bootstrap_slope(_xym(spark, sf_dir), "x", "y", 200)
+    return T.bootstrap_slope(_xym(spark, sf_dir), "x", "y", 1000)
+
+
+@query()
+def bootstrap_band(spark, sf_dir):
+    """The pointwise band of the line, at the grid of ``ols_grid``."""
+    return T.bootstrap_band(_xym(spark, sf_dir), "x", "y", 1000)

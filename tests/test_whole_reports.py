@@ -42,3 +42,16 @@ def test_bootstrap_has_a_pointwise_band(spark):
     ci = reports.QUERIES["bootstrap_ci"](spark, SF).first()
     assert ci == reports.T.bootstrap_slope(reports._xym(spark, SF), "x", "y", 1000).first()
     assert ci != reports.T.bootstrap_slope(reports._xym(spark, SF), "x", "y", 200).first()
+
+
+def test_region_properties_have_centroid_and_intensity(spark):
+    pixels = reports.load(spark, SF, "fx_pixels")[0].where("v > 0.3")
+    want = {}
+    for tile, cells in foreground(spark).items():
+        for part in components(cells):
+            r, c = [x[0] for x in part], [x[1] for x in part]
+            label = min(x << 20 | y for x, y in part)
+            want[tile, label] = [len(part), sum(r) / len(r), sum(c) / len(c), sum(cells[x] for x in part) / len(part)]
+    got = {(p["tile_ord"], p["label"]): [p["area"], p["row"], p["col"], p["mean_v"]] for p in reports.QUERIES["region_properties"](spark, SF).collect()}
+    assert got.keys() == want.keys() and pixels.count() == sum(w[0] for w in want.values())
+    assert all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k]))

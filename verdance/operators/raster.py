@@ -49,5 +49,6 @@ def region_table(labelled_pixels: DataFrame, tile: str = "tile_ord") -> DataFram
     return labelled_pixels.groupBy(tile, "label").agg(
         F.count("*").alias("area"),
         F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"),
+        F.avg("r").alias("row"), F.avg("c").alias("col"), F.avg("v").alias("mean_v"),
         F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"),
     )

@@ -296,4 +296,4 @@ def test_bitmaps_never_bound_above_the_difference():
         s, t = pool[:n], np.concatenate([pool[:both], pool[n : n + m - both]])
         d = ngram_jaccard.least_difference(ngram_jaccard.parity_bitmap(s), ngram_jaccard.parity_bitmap(t))
         assert d <= n + m - 2 * both
-    assert ngram_jaccard.parity_bitmap(pool[:0]) == bytes(8)
+    assert ngram_jaccard.parity_bitmap(pool[:0]) == bytes(ngram_jaccard.LEAST_BITS // 8)

@@ -9,20 +9,30 @@ Heavy nodes scan inverted lists of the shingles in their prefix: in one global
 order, rare shingles first, two linked sets share one of the first
 n - ceil(0.8 n) + 1.  Light nodes that a heavy one may link stand in the lists
 too.  The boundary is where the estimated keys of both ways cost least, from
-the sizes of all sets and how often shingles recur.
-
-Which shingles are frequent is counted over all documents in two levels: tasks
-report the shingles they see twice or more, and the reports are summed.  Of the
-sums, those that reach a least count are broadcast as hashes, at most
-``MOST_FREQUENT`` of them (the least count rises until they fit).  They only
-order the lists, and any order gives the same result.
-
-A list never emits all its pairs.  First each entry meets the list's least
-node, and in long lists a few more by other orders (frequent shingles' lists are
-salted, and the salts' least nodes meet); what passes the size and position bounds is verified on the whole sets, and
-components are formed.  Then only lists that still span two components are
-joined with themselves, for pairs across components.  So no link between two
-components is lost, and a group of near copies costs a star.
+the sizes of all sets and how often shingles recur.  Shingles are counted over
+all documents, by key; the most frequent (at most ``MOST_FREQUENT``, the least
+count rises until they fit) are broadcast as hashes, ordered by their counts.
+They only order the lists, and any order gives the same result.
+
+A list never emits all its pairs:
+
+1. Each entry meets its list's least node, and in long lists a few more by
+   other orders (frequent shingles' lists are salted, and the salts' least
+   nodes meet).  What may link by sizes, places and bitmaps is verified on the
+   whole sets; components are formed.
+2. Only lists that span two components stay open.  A node of theirs can link on
+   only if it misses at most n - ceil(0.8 n) of its shingles elsewhere, so its
+   shingles are held against those of all other open nodes: first one half of
+   them, then the whole sets, against other components alone.  Nodes with too
+   many shingles of their own go.  So documents that share a passage, but not
+   four fifths of their text, leave without being paired.
+3. The nodes left meet neighbours in a few random orders of their lists, and
+   components grow.
+4. Pairs across components that still may link, by sizes, places, shared
+   shingles and a sketch, are taken from blocks of the lists; the pairs nearest
+   to each component are verified first, then what still spans two components.
+
+No link between two components is lost, and a group of near copies costs a star.
 """
 
 from __future__ import annotations
@@ -46,13 +56,16 @@ SALTS = 16
 #: Lists of at least LONG entries have CENTRES nodes that all others meet.
 LONG, CENTRES = 12, 4
 LARGEST_LIGHT = 16
-FILTER_BITS = 24
+#: Bits of the filter of ids: 16 for each id, within these powers of two; and of one of its blocks.
+LEAST_FILTER, MOST_FILTER, FILTER_BLOCK = 16, 27, 16
 #: Bits of a set's parity bitmap: the power of two from its size on, within these.
-LEAST_BITS, MOST_BITS = 64, 1 << 14
-NEAREST = 2
-#: Longer lists are chained in parts of about this many entries.
-CHAIN = 4096
-_FLUSH = 400_000
+LEAST_BITS, MOST_BITS = 256, 1 << 14
+#: Rounds of neighbours in random orders, and of nearest pairs.
+ROUNDS, NEAREST = 4, 2
+#: Longer lists are chained, and paired, in parts of about this many entries.
+CHAIN, BLOCK = 4096, 2048
+_FLUSH, _FOLD = 400_000, 3_000_000
+_CUT = np.uint64(16)  # low bits that counts of shingles leave out
 
 
 def need(a: int, b: int) -> int:
@@ -96,11 +109,18 @@ def chosen_boundary(sizes: dict[int, int], recurrence: float) -> int:
     return min(range(1, LARGEST_LIGHT + 1), key=lambda x: (cost(x), x))
 
 
-def node_of(s: np.ndarray) -> int:
-    """A signed 64-bit name of a set; equal sets have equal names."""
+def names_of(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit names of a set; equal sets have equal names."""
     with np.errstate(over="ignore"):
         x = np.array([s.sum(), K.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(), len(s)], np.uint64)
-        return int(K.mix(x ^ K.mix(x[[1, 2, 0]])).sum().view(np.int64))
+        y = K.mix(x ^ K.mix(x[[1, 2, 0]]))
+        return int(y.sum().view(np.int64)), int(K.mix(y).sum().view(np.int64))
+
+
+def node_of(s: np.ndarray, clashing: frozenset[int] = frozenset()) -> int:
+    """The first name, or the second where sets of different second names share it."""
+    one, two = names_of(s)
+    return two if one in clashing else one
 
 
 def parity_bitmap(s: np.ndarray) -> bytes:
@@ -110,202 +130,269 @@ def parity_bitmap(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
 
+def folded(bitmap: bytes, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.uint8).reshape(-1, size))
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """A lower bound of the shingles in one of two sets alone, from their bitmaps."""
     least = min(len(x), len(y))
-    p, q = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, least)) for z in (x, y))
-    return int(np.bitwise_count(p ^ q).sum())
+    return int(np.bitwise_count(folded(x, least) ^ folded(y, least)).sum())
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def _half(s: np.ndarray) -> np.ndarray:
+    """One half of all shingles, the same for all sets."""
+    return s[(s >> _CUT) & np.uint64(1) == 1]
+
+
 def document_nodes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, bitmap) of each row of (doc_id, text)."""
+    """(doc_id, n_shingles, half, node, twin, bitmap) of each row of (doc_id, text).
+
+    ``half`` counts the shingles of ``_half``; ``twin`` is the second name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in K.text_slices(batches):
             sets = list(K.shingle_sets(data, offsets))
+            names = [names_of(s) for s in sets]
+            columns = [[len(s) for s in sets], [len(_half(s)) for s in sets], [a for a, _ in names], [b for _, b in names]]
             yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) for s in sets], pa.int64()), pa.array([parity_bitmap(s) for s in sets], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "node", "bitmap"],
+                [rows.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), pa.array([parity_bitmap(s) for s in sets], pa.binary())],
+                ["doc_id", "n_shingles", "half", "node", "twin", "bitmap"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, half long, node long, twin long, bitmap binary")
+
+
+def clashing_names(nodes: DataFrame) -> frozenset[int]:
+    """First names of sets with different second names: of N sets about N**2 / 2**65 are expected."""
+    both = nodes.groupBy("node").agg(F.min("twin").alias("lo"), F.max("twin").alias("hi")).where("lo != hi")
+    return frozenset(r["node"] for r in both.select("node").collect())
+
+
+def _planes(x: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, width).T.reshape(-1)
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """Frequent shingles, rarest first, and the mean list length beyond one."""
+def _unplaned(raw: np.ndarray, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def counted_shingles(docs: DataFrame, buckets: int) -> DataFrame:
+    """(shingle, n) of the shingles that stand in three documents or more.
+
+    A shingle is named by its upper 48 bits here.  Tasks count what they hold
+    of a few million at a time; the counts meet by key, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
         held: list[np.ndarray] = []
-        counts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        n_shingles = size = 0
-
-        def fold() -> None:
-            nonlocal counts, held, size
-            keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            keep = n > 1
-            both, inverse = np.unique(np.concatenate([counts[0], keys[keep]]), return_inverse=True)
-            sums = np.zeros(len(both), np.int64)
-            np.add.at(sums, inverse, np.concatenate([counts[1], n[keep]]))
-            counts, held, size = (both, sums), [], 0
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size
+            keys, n = np.unique(np.concatenate(held) >> _CUT, return_counts=True)
+            held, size = [], 0
+            bounds = np.searchsorted(keys, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(24)) // np.uint64(buckets) << np.uint64(24))
+            used = np.flatnonzero(np.diff(bounds))
+            bodies = [
+                press.compress(np.concatenate([_planes(np.diff(keys[a:b], prepend=np.uint64(0)), 8), _planes(n[a:b].astype(np.uint32), 4)]).tobytes())
+                for a, b in zip(bounds[used].tolist(), bounds[used + 1].tolist())
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
         for _, data, offsets in K.text_slices(batches):
             for s in K.shingle_sets(data, offsets):
                 held.append(s)
                 size += len(s)
-                n_shingles += len(s)
-            if size > 8_000_000:
-                fold()
-        fold()
-        keys = np.concatenate([counts[0], np.zeros(1, np.uint64)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(K.signed(keys)), pa.array(np.append(counts[1], 0)), pa.array(np.append(np.zeros(len(keys) - 1, np.int64), n_shingles))],
-            ["shingle", "n", "shingles"],
-        )
-
-    found = docs.mapInArrow(run, "shingle long, n long, shingles long").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
-    found = tables.written(found, "frequent")
-    shingles = max(1, found.agg(F.sum("shingles")).first()[0] or 0)
+            if size > _FOLD:
+                yield flush()
+        if size:
+            yield flush()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bodies in _by_bucket(batches):
+            keys, counts = [], []
+            for body in bodies:
+                raw = _opened(body)
+                n = len(raw) // 12
+                keys.append(np.cumsum(_unplaned(raw[: 8 * n], np.uint64), dtype=np.uint64))
+                counts.append(_unplaned(raw[8 * n :], np.uint32))
+            key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+            by = np.argsort(key, kind="stable")
+            key, n = key[by], n[by]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            n = np.add.reduceat(n, at)
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(key[at][n > 2])), pa.array(n[n > 2])], ["shingle", "n"])
+
+    packed = docs.mapInArrow(run, "bucket int, body binary").repartition(tables.partitions(docs.sparkSession), "bucket")
+    return packed.mapInArrow(total, "shingle long, n long")
+
+
+def frequent_shingles(docs: DataFrame, shingles: int) -> tuple[np.ndarray, float]:
+    """Frequent shingles, rarest first, and the mean list length beyond one.
+
+    ``shingles`` is the number of all of them, over all documents."""
+    found = tables.written(counted_shingles(docs, tables.partitions(docs.sparkSession)), "frequent")
     steps = found.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()  # at most 10,000 rows
     least, size = 10_001, 0
     for r in sorted(steps, key=lambda r: -r["n"]):
-        if r["n"] < 3 or size + r["count"] > MOST_FREQUENT:
+        if size + r["count"] > MOST_FREQUENT:
             break
         least, size = r["n"], size + r["count"]
     often = found.where(F.col("n") >= least).select("shingle", "n").toPandas().sort_values(["n", "shingle"])
     tables.drop(found)
     n = often["n"].to_numpy(np.float64)
-    return often["shingle"].to_numpy(np.int64).view(np.uint64), float((n * n).sum() / shingles)
+    return often["shingle"].to_numpy(np.int64).view(np.uint64), float((n * n).sum() / max(1, shingles))
 
 
-def _postings(docs: DataFrame, often: np.ndarray, boundary: int, buckets: int) -> DataFrame:
-    """(bucket, body): packed list entries, grouped for the exchange.
+def _found_in(often_sorted: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each shingle stands among the frequent ones, and whether it does."""
+    if not len(often_sorted):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    short = key >> _CUT
+    at = np.minimum(np.searchsorted(often_sorted, short), len(often_sorted) - 1)
+    return at, often_sorted[at] == short
+
+
+class Packer:
+    """Entries (key, node, tag, place), sorted and compressed by bucket for the exchange."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.held = buckets, [], 0
+
+    def add(self, key: np.ndarray, node: int, tag: int, place: np.ndarray) -> None:
+        self.parts.append((key, node, tag, place))
+        self.held += len(key)
+
+    def flush(self, salt: np.ndarray | None = None) -> pa.RecordBatch:
+        import zstandard
+
+        sizes = [len(p[0]) for p in self.parts]
+        key, place = (np.concatenate([p[i] for p in self.parts]) for i in (0, 3))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        node, tag = (np.array([p[i] for p in self.parts], np.int64) for i in (1, 2))
+        self.parts, self.held = [], 0
+        salted = key if salt is None else key + salt
+        bucket = (K.mix(salted) % np.uint64(self.buckets)).astype(np.int64)
+        by = np.lexsort((key, bucket))
+        key, place, owner, bucket = (x[by] for x in (key, place, owner, bucket))
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        press = zstandard.ZstdCompressor(level=1)
+        numbers, bodies = [], []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+            own, code = np.unique(owner[a:b], return_inverse=True)
+            gaps = np.diff(key[a:b], prepend=np.uint64(0))
+            head = np.array([b - a, len(own)], np.uint32).view(np.uint8)
+            raw = [head, _planes(gaps, 8), _planes(code.astype(np.uint32), 4), _planes(place[a:b], 4), node[own].view(np.uint8), _planes(tag[own], 8)]
+            numbers.append(int(bucket[a]))
+            bodies.append(press.compress(np.concatenate(raw).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+
+
+def _opened(body: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+
+
+def _unpacked(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(key, node, tag, place) of the entries of one bucket."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for body in bodies:
+        raw = _opened(body)
+        n, d = raw[:8].view(np.uint32).tolist()
+        ends = np.cumsum([8, 8 * n, 4 * n, 4 * n, 8 * d, 8 * d])
+        gaps, code, place, node, tag = (raw[a:b] for a, b in zip(ends[:-1], ends[1:]))
+        code = _unplaned(code, np.uint32)
+        columns = (np.cumsum(_unplaned(gaps, np.uint64), dtype=np.uint64), node.copy().view(np.int64)[code], _unplaned(tag, np.int64)[code], _unplaned(place, np.int32))
+        for held, column in zip(out, columns):
+            held.append(column)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The bodies of each bucket that was dealt to this task, one bucket after the other."""
+    held: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for b, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
+            held.setdefault(b, []).append(body)
+    while held:
+        yield held.popitem()[1]
+
+
+def _postings(docs: DataFrame, shared, boundary: int, buckets: int, clashing: frozenset[int]) -> DataFrame:
+    """(bucket, body): packed list entries.
 
     An entry is a key of 64 bits, the node, its size, and the key's place in
     the node's prefix (-1 for a subset of a light set)."""
-    order = np.argsort(often)
-    shared = docs.sparkSession.sparkContext.broadcast((often[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
         often_sorted, rank = shared.value
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal parts, held
-            if not parts:
-                return
-            key, node, size, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            parts, held = [], 0
-            salt = np.zeros(len(key), np.uint64)
-            if len(often_sorted):
-                at = np.minimum(np.searchsorted(often_sorted, key), len(often_sorted) - 1)
-                hot = (often_sorted[at] == key) & (place >= 0)
-                salt[hot] = K.mix(node[hot].view(np.uint64)) % np.uint64(SALTS)
-            bucket = (K.mix(key + salt) % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((node, key, bucket))
-            key, node, size, place, bucket, salt = (x[by] for x in (key, node, size, place, bucket, salt))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, size, place, bucket = (x[new] for x in (key, node, size, place, bucket))
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            press = zstandard.ZstdCompressor(level=1)
-            numbers, bodies = [], []
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-                gaps = np.diff(key[a:b], prepend=np.uint64(0))
-                raw = np.concatenate([gaps.view(np.uint8).reshape(-1, 8).T.reshape(-1), node[a:b].view(np.uint8), size[a:b].view(np.uint8).reshape(-1, 4).T.reshape(-1), place[a:b].view(np.uint8).reshape(-1, 4).T.reshape(-1)])
-                numbers.append(int(bucket[a]))
-                bodies.append(press.compress(raw.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
-
-        def add(key: np.ndarray, node: int, n: int, place: np.ndarray) -> None:
-            nonlocal held
-            parts.append((key, np.full(len(key), node, np.int64), np.full(len(key), n, np.int32), place))
-            held += len(key)
+        packer = Packer(buckets)
+
+        def flush() -> pa.RecordBatch:
+            key, place = (np.concatenate([p[i] for p in packer.parts]) for i in (0, 3))
+            node = np.repeat(np.array([p[1] for p in packer.parts], np.int64), [len(p[0]) for p in packer.parts])
+            hot = _found_in(often_sorted, key)[1] & (place >= 0)
+            return packer.flush(np.where(hot, K.mix(node.view(np.uint64)) % np.uint64(SALTS), np.uint64(0)))
 
         for _, data, offsets in K.text_slices(batches):
             for s in K.shingle_sets(data, offsets):
                 n = len(s)
                 if not n:
                     continue
-                node = node_of(s)
+                node = node_of(s, clashing)
                 if n > boundary or 5 * n >= 4 * (boundary + 1):
-                    first = s
-                    if len(often_sorted):
-                        at = np.minimum(np.searchsorted(often_sorted, s), len(often_sorted) - 1)
-                        hot = often_sorted[at] == s
-                        if hot.any():
-                            first = np.concatenate([s[~hot], s[hot][np.argsort(rank[at[hot]])]])
+                    at, hot = _found_in(often_sorted, s)
+                    first = np.concatenate([s[~hot], s[hot][np.argsort(rank[at[hot]], kind="stable")]]) if hot.any() else s
                     p = prefix(n)
-                    add(first[:p], node, n, np.arange(p, dtype=np.int32))
+                    packer.add(first[:p], node, n, np.arange(p, dtype=np.int32))
                 if n <= boundary:
                     mixed = K.mix(s)
                     for k in subset_sizes(n, boundary):
                         keys = K.mix(mixed[subsets(n, k)].sum(1, dtype=np.uint64) + np.uint64(k))
-                        add(keys, node, n, np.full(len(keys), -1, np.int32))
-            if held >= _FLUSH:
-                yield from flush()
-        yield from flush()
+                        packer.add(keys, node, n, np.full(len(keys), -1, np.int32))
+            if packer.held >= _FLUSH:
+                yield flush()
+        if packer.held:
+            yield flush()
 
     return docs.mapInArrow(run, "bucket int, body binary")
 
 
-def _unpack(body: bytes) -> tuple[np.ndarray, ...]:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-    n = len(raw) // 24
-    gaps = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).reshape(-1)
-    key = np.cumsum(gaps, dtype=np.uint64)
-    node = raw[8 * n : 16 * n].copy().view(np.int64)
-    size = np.ascontiguousarray(raw[16 * n : 20 * n].reshape(4, n).T).view(np.int32).reshape(-1)
-    place = np.ascontiguousarray(raw[20 * n :].reshape(4, n).T).view(np.int32).reshape(-1)
-    return key, node, size, place
-
-
 _LIST_NAMES = ["key", "salt", "node", "n", "place", "p_node", "p_n", "p_place"]
 
 
-def _stars(key: np.ndarray, salt: np.ndarray, hot: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, lengths: np.ndarray, k: int) -> pa.RecordBatch:
+def _stars(key: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray, lengths: np.ndarray, k: int) -> pa.RecordBatch:
     """Entries of long lists with the list's least node by the k-th order; salt is -1 there."""
     group = np.repeat(np.arange(len(lengths)), lengths)
     by = np.lexsort((K.mix(node.view(np.uint64) + np.uint64(k)), group))
     centre = np.repeat(by[np.cumsum(lengths) - lengths], lengths)
     use = (np.repeat(lengths, lengths) >= LONG) & (np.arange(len(node)) != centre)
     at, to = np.flatnonzero(use), centre[use]
-    columns = [key.view(np.int64)[at], np.full(len(at), -1, np.int64), node[at], size[at].astype(np.int64), place[at].astype(np.int64), node[to], size[to].astype(np.int64), place[to].astype(np.int64)]
+    columns = [key.view(np.int64)[at], np.full(len(at), -1, np.int64), node[at], size[at], place[at].astype(np.int64), node[to], size[to], place[to].astype(np.int64)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _LIST_NAMES)
 
 
-def _lists(postings: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
+def _lists(postings: DataFrame, shared) -> DataFrame:
     """Entries on lists of at least two nodes, each with its list's least node.
 
     Rows: key, salt, node, n, place, and p_node, p_n, p_place of the least node.
     Lists of frequent shingles keep lone entries, since their salts meet later."""
-    shared = postings.sparkSession.sparkContext.broadcast(np.sort(often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often_sorted = shared.value
-        by_bucket: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, body in zip(batch.column("bucket").to_pylist(), batch.column("body").to_pylist()):
-                by_bucket.setdefault(b, []).append(body)
-        while by_bucket:
-            _, bodies = by_bucket.popitem()
-            key, node, size, place = (np.concatenate(x) for x in zip(*map(_unpack, bodies)))
+        often_sorted, _ = shared.value
+        for bodies in _by_bucket(batches):
+            key, node, size, place = _unpacked(bodies)
             light = place < 0
-            hot = np.zeros(len(key), bool)
-            if len(often_sorted):
-                at = np.minimum(np.searchsorted(often_sorted, key), len(often_sorted) - 1)
-                hot = (often_sorted[at] == key) & ~light
+            hot = _found_in(often_sorted, key)[1] & ~light
             salt = np.where(hot, K.mix(node.view(np.uint64)) % np.uint64(SALTS), np.uint64(0))
             by = np.lexsort((node, salt, light, key))
             key, node, size, place, salt, hot, light = (x[by] for x in (key, node, size, place, salt, hot, light))
@@ -319,53 +406,151 @@ def _lists(postings: DataFrame, often: np.ndarray, buckets: int) -> DataFrame:
             pivot = np.repeat(at, lengths)
             keep = (np.repeat(lengths, lengths) > 1) | hot
             for k in range(1, CENTRES):
-                yield _stars(key, salt, hot, node, size, place, lengths, k)
-            columns = [key.view(np.int64), np.where(hot, salt, 255).astype(np.int64), node, size.astype(np.int64), place.astype(np.int64), node[pivot], size[pivot].astype(np.int64), place[pivot].astype(np.int64)]
+                yield _stars(key, node, size, place, lengths, k)
+            columns = [key.view(np.int64), np.where(hot, salt, 255).astype(np.int64), node, size, place.astype(np.int64), node[pivot], size[pivot], place[pivot].astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], _LIST_NAMES)
 
     dealt = postings.repartition(tables.partitions(postings.sparkSession), "bucket")
     return dealt.mapInArrow(run, "key long, salt long, node long, n long, place long, p_node long, p_n long, p_place long")
 
 
-def _sizes(n: str, place: str, m: str, other: str, boundary: int) -> Column:
-    """Whether two entries of a list may belong to a link, by their sizes.
+def _possible(n: str, place: str, m: str, other: str, boundary: int) -> Column:
+    """Whether two entries of a list may belong to a link, by sizes and places.
 
     Entries of subsets (place -1) meet only each other; a pair of light sets is
-    left to them."""
+    left to them.  Enough shingles must follow, if this key is the first that
+    both share."""
     a, b, p, q = F.col(n), F.col(m), F.col(place), F.col(other)
     subset = (p < 0) & (q < 0)
     lists = (p >= 0) & (q >= 0) & (F.greatest(a, b) > boundary)
-    return (subset | lists) & (5 * F.least(a, b) >= 4 * F.greatest(a, b))
+    room = F.least(a - F.greatest(p, F.lit(0)), b - F.greatest(q, F.lit(0)))
+    return (subset | lists) & (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (9 * room >= 4 * (a + b))
 
 
-def _room(n: str, place: str, m: str, other: str) -> Column:
-    """Whether enough shingles follow, if this key is the first that both share."""
-    a, b, p, q = F.col(n), F.col(m), F.col(place), F.col(other)
-    room = F.least(a - F.greatest(p, F.lit(0)), b - F.greatest(q, F.lit(0)))
-    return 9 * room >= 4 * (a + b)
+def id_filter(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """(log2 of its bits, bitmap) of the hashed ``doc_id`` of ``ids``.
 
+    It lets all ``ids`` pass and about one in 16 others.  It has 16 MB at most;
+    when ids outnumber that it lets more pass, and the exact join behind does
+    more of the work.  Its blocks are made on the executors."""
+    bits = min(MOST_FILTER, max(LEAST_FILTER, (16 * max(1, ids.count()) - 1).bit_length()))
 
-def _possible(n: str, place: str, m: str, other: str, boundary: int) -> Column:
-    return _sizes(n, place, m, other, boundary) & _room(n, place, m, other)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block, at = batch.column("block").to_numpy(), batch.column("at").to_numpy()
+            for b in np.unique(block).tolist():
+                own = blocks.setdefault(b, np.zeros(1 << FILTER_BLOCK, bool))
+                own[at[block == b]] = True
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in blocks.values()], pa.binary())], ["block", "body"])
 
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits)
+    dealt = ids.select(F.shiftright(place, FILTER_BLOCK).alias("block"), place.bitwiseAND((1 << FILTER_BLOCK) - 1).alias("at"))
+    dealt = dealt.repartition(tables.partitions(ids.sparkSession), "block")
+    found = np.zeros((1 << (bits - FILTER_BLOCK), 1 << (FILTER_BLOCK - 3)), np.uint8)
+    for r in dealt.mapInArrow(run, "block long, body binary").collect():
+        found[r["block"]] = np.frombuffer(r["body"], np.uint8)
+    return bits, found.reshape(-1)
 
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the hashed ids in column ``bit``, of ``2 ** FILTER_BITS`` bits.
 
-    It lets all ``ids`` pass and few others; when ids outnumber its bits it lets
-    more pass, and the exact join behind does more of the work."""
-    mask = F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")
-    words = ids.groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(mask).alias("m"))
-    rows = words.toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64).astype(np.uint32)
-    return bits
+def _few(docs: DataFrame, bits: int) -> DataFrame:
+    return docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("bit"))
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, apart) of the ``pairs`` that may link by their bitmaps.
+def _let_through(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the rows that pass an ``id_filter``."""
+    for batch in batches:
+        at = batch.column("bit").to_numpy()
+        yield from K.text_slices(iter([batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))]))
+
 
-    ``apart`` is the least share of shingles in one set alone, in millionths."""
+def set_bodies(docs: DataFrame, ids: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """(node, n, body) of the nodes in ``ids`` (node, doc_id), as a written table.
+
+    Sets are made where the documents are read, behind a filter of bounded size,
+    so the texts themselves are never shuffled."""
+    bits, bitmap = id_filter(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in _let_through(batches, shared.value):
+            sets = list(K.shingle_sets(data, offsets))
+            columns = [pa.array([node_of(s, clashing) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *columns], ["doc_id", "node", "n", "body"])
+
+    made = _few(docs, bits).mapInArrow(run, "doc_id long, node long, n long, body binary")
+    made = made.join(ids.select("doc_id", "node"), ["doc_id", "node"], "left_semi").dropDuplicates(["node"])
+    bodies = tables.written(made.select("node", "n", "body"), "sets")
+    shared.destroy()
+    return bodies
+
+
+def shared_halves(docs: DataFrame, ids: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """(node, shared): how many shingles of its half each node of ``ids`` shares with another of them.
+
+    Never too few: what else the filter of ids lets through only adds to it.
+    Nodes that share nothing are left out."""
+    bits, bitmap = id_filter(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    buckets = tables.partitions(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
+        for _, data, offsets in _let_through(batches, shared.value):
+            for s in K.shingle_sets(data, offsets):
+                node, half = node_of(s, clashing), _half(s) >> _CUT
+                packer.add(half, node, node, np.zeros(len(half), np.int32))
+            if packer.held >= 2 * _FLUSH:
+                yield packer.flush()
+        if packer.held:
+            yield packer.flush()
+
+    found = tables.written(_shares(_few(docs, bits).mapInArrow(run, "bucket int, body binary")), "halves")
+    shared.destroy()
+    return found
+
+
+def shared_wholes(sets: DataFrame) -> DataFrame:
+    """(node, shared): how many shingles each node of ``sets`` shares with a node of another component."""
+    buckets = tables.partitions(sets.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(buckets)
+        for batch in batches:
+            for node, component, body in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), batch.column("body")):
+                s = np.frombuffer(body.as_buffer(), np.uint64) >> _CUT
+                packer.add(s, node, component, np.zeros(len(s), np.int32))
+                if packer.held >= 2 * _FLUSH:
+                    yield packer.flush()
+        if packer.held:
+            yield packer.flush()
+
+    return _shares(sets.select("node", "component", "body").mapInArrow(run, "bucket int, body binary"))
+
+
+def _shares(packed: DataFrame) -> DataFrame:
+    """(node, shared) of packed (shingle, node, tag): shingles that stand under two tags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bodies in _by_bucket(batches):
+            key, node, tag, _ = _unpacked(bodies)
+            by = np.lexsort((node, tag, key))
+            key, node, tag = key[by], node[by], tag[by]
+            new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key, node, tag = key[new], node[new], tag[new]
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            lengths = np.diff(np.append(at, len(key)))
+            two = np.repeat(tag[at] != tag[at + lengths - 1], lengths)
+            names, n = np.unique(node[two], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], ["node", "n"])
+
+    dealt = packed.repartition(tables.partitions(packed.sparkSession), "bucket").mapInArrow(run, "node long, n long")
+    return dealt.groupBy("node").agg(F.sum("n").alias("shared"))
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) of the ``pairs`` that may link by their bitmaps, as a written table."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     maps = nodes.select("node", "n_shingles", "bitmap").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     maps = tables.written(maps, "bitmaps")
@@ -374,58 +559,19 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
             d = np.array([least_difference(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], np.int64)
-            may = total - d >= 2 * ((4 * total + 8) // 9)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(pa.array(may)), batch.column("b").filter(pa.array(may)), pa.array((1_000_000 * d // np.maximum(total, 1))[may])],
-                ["a", "b", "apart"],
-            )
+            yield batch.select(["a", "b"]).filter(pa.array(total - d >= 2 * ((4 * total + 8) // 9)))
 
     joined = pairs.join(maps.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("bitmap").alias("x")), "a")
     joined = joined.join(maps.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("bitmap").alias("y")), "b")
-    near = tables.written(joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, apart long"), "near")
+    near = tables.written(joined.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long"), "near")
     tables.drop(maps)
     return near
 
 
-def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The ``pairs`` of two components, with these as ca and cb."""
-    ends = {side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in "ab"}
-    both = pairs.join(ends["a"], "a", "left").join(ends["b"], "b", "left")
-    both = both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
-    return both.where("ca != cb").select(*pairs.columns, "ca", "cb")
-
-
-def nearest(pairs: DataFrame) -> DataFrame:
-    """The (a, b) nearest to each component's other side, ties by their names."""
-    row = F.struct("apart", "a", "b").alias("p")
-    ends = pairs.select(F.col("ca").alias("c"), row).unionByName(pairs.select(F.col("cb").alias("c"), row))
-    return ends.groupBy("c").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that link, by their whole ``sets``; as a written table."""
 
-
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that link, by their whole sets.
-
-    Sets are made where the documents are read, behind a filter of fixed size,
-    so the texts themselves are never shuffled."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi")
-    ids = tables.written(ids.select("node", "doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).alias("bit")), "wanted")
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            at = batch.column("bit").to_numpy()
-            some = batch.filter(pa.array((bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1))
-            for rows, data, offsets in K.text_slices(iter([some])):
-                bodies = [s.tobytes() for s in K.shingle_sets(data, offsets)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([node_of(np.frombuffer(x, np.uint64)) for x in bodies], pa.int64()), pa.array(bodies, pa.binary())], ["doc_id", "node", "body"])
-
-    marked = docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - FILTER_BITS).alias("bit"))
-    made = marked.mapInArrow(sets, "doc_id long, node long, body binary")
-    bodies = tables.written(made.join(ids.select("doc_id", "node"), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "body"), "sets")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
@@ -434,17 +580,19 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
-    joined = joined.join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
-    links = tables.written(joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
-    tables.drop(ids, bodies)
-    return links
+    joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
+    joined = joined.join(sets.select(F.col("node").alias("b"), F.col("body").alias("y")), "b")
+    return tables.written(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+
+
+def with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``node``, and its component: the node itself where it has no link yet."""
+    return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def spanning(entries: DataFrame, found: DataFrame) -> DataFrame:
     """The ``entries`` of lists that hold two components, with these and the list's length."""
-    entries = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    entries = tables.written(entries, "entries")
+    entries = tables.written(with_component(entries, found), "entries")
     spans = entries.groupBy("key", "subset").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
     spans = tables.written(spans.where("lo < hi").select("key", "subset", "length"), "spans")
     open_ = tables.written(entries.join(spans, ["key", "subset"]), "open")
@@ -452,17 +600,140 @@ def spanning(entries: DataFrame, found: DataFrame) -> DataFrame:
     return open_
 
 
-def chained(entries: DataFrame, boundary: int) -> DataFrame:
-    """(a, b) of entries of two components that are neighbours in an order of their list."""
+def open_sets(entries: DataFrame, docs: DataFrame, nodes: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """(node, n, body) of the nodes on open lists that share enough of their half.
+
+    Of a link's sets each misses at most n - ceil(0.8 n) of its shingles in the other."""
+    first = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("half").alias("half"))
+    ids = tables.written(first.join(entries.select("node").distinct(), "node", "left_semi"), "open-ids")
+    halves = shared_halves(docs, ids, clashing)
+    kept = ids.join(halves, "node", "left").where("5 * (half - coalesce(shared, 0L)) <= n")
+    kept = tables.written(kept.select("node", "doc_id"), "kept-ids")
+    sets = set_bodies(docs, kept, clashing)
+    tables.drop(ids, halves, kept)
+    return sets
+
+
+def still_open(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, shared) of the ``sets`` that other components share enough of, as a written table.
+
+    Twice over: what goes first may have been what another shared with."""
+    table = tables.written(with_component(sets, found), "whole-sets")
+
+    def enough(own: DataFrame) -> DataFrame:
+        shares = own.select("node", "n").join(shared_wholes(own), "node")
+        return tables.written(shares.where("5 * shared >= 4 * n").select("node", "shared"), "shares")
+
+    first = enough(table)
+    smaller = tables.written(table.join(first, "node", "left_semi"), "whole-sets")
+    last = enough(smaller)
+    tables.drop(table, first, smaller)
+    return last
+
+
+def chained(entries: DataFrame, boundary: int, turn: int) -> DataFrame:
+    """(a, b) of entries of two components that are neighbours in the ``turn``-th order of their list."""
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("length") / CHAIN))
-    order = Window.partitionBy("key", "subset", "part").orderBy(F.xxhash64("node", "key"), "node")
-    after = F.lead(F.struct("node", "n", "place", "component")).over(order).alias("after")
-    pairs = entries.withColumn("part", part).select("node", "n", "place", "component", after).where("after.component != component")
-    pairs = pairs.select("node", "n", "place", F.col("after.node").alias("next"), F.col("after.n").alias("m"), F.col("after.place").alias("other"))
-    pairs = pairs.where(_possible("n", "place", "m", "other", boundary))
+    order = Window.partitionBy("key", "subset", "part").orderBy(F.xxhash64("node", "key", F.lit(turn)), "node")
+    after = F.lead(F.struct("node", "n", "place", "component", "shared")).over(order).alias("after")
+    pairs = entries.withColumn("part", part).select("node", "n", "place", "component", "shared", after).where("after.component != component")
+    pairs = pairs.select("node", "n", "place", "shared", F.col("after.node").alias("next"), F.col("after.n").alias("m"), F.col("after.place").alias("other"), F.col("after.shared").alias("shared2"))
+    pairs = pairs.where(_possible("n", "place", "m", "other", boundary)).where("9 * least(shared, shared2) >= 4 * (n + m)")
     return pairs.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
 
 
+def _may_link(x: dict[str, np.ndarray], y: dict[str, np.ndarray], boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries x (rows) and y (columns) of a list may link, and the shingles that differ at least."""
+    a, b = x["n"][:, None], y["n"][None]
+    p, q = x["place"][:, None], y["place"][None]
+    total = a + b
+    need_ = (4 * total + 8) // 9
+    least = np.minimum(np.minimum(a - np.maximum(p, 0), b - np.maximum(q, 0)), np.minimum(x["shared"][:, None], y["shared"][None]))
+    may = (least >= need_) & (x["component"][:, None] != y["component"][None]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
+    may &= (p < 0) | (np.maximum(a, b) > boundary)
+    apart = np.zeros(may.shape, np.int64)
+    for k in range(4):
+        apart += np.bitwise_count(x["sketch"][:, k][:, None] ^ y["sketch"][:, k][None])
+    return may & (total - apart >= 2 * need_), apart
+
+
+def candidates(entries: DataFrame, boundary: int) -> DataFrame:
+    """(a, b, apart) of pairs across components that may link, from blocks of the lists.
+
+    ``entries`` has key, subset, node, n, place, component, length, shared and
+    bitmap.  A long list is cut into blocks by a hash of the node, and each pair
+    of its blocks is a unit of its own; only what passes all bounds is given
+    out, once for each task.  ``apart`` is the least share of shingles in one
+    set alone, in millionths."""
+    blocks = F.ceil(F.col("length") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    units = entries.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    units = units.select(
+        F.xxhash64("key", "subset", F.least("block", "with"), F.greatest("block", "with")).alias("unit"), "key", F.col("subset").cast("int").alias("subset"),
+        F.least("block", "with").alias("u"), F.greatest("block", "with").alias("v"), "block", "node", "n", "place", "component", "shared", "bitmap",
+    )
+    unit = ["unit", "key", "subset", "u", "v"]
+    dealt = units.repartition(tables.partitions(entries.sparkSession), "unit").sortWithinPartitions(*unit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], int] = {}
+
+        def give() -> pa.RecordBatch:
+            ends, apart = np.array(list(found), np.int64).reshape(-1, 2), np.array(list(found.values()), np.int64)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy()), pa.array(apart)], ["a", "b", "apart"])
+
+        def pairs(rows: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(rows)
+            own = {c: table.column(c).to_numpy() for c in ("node", "n", "place", "component", "shared", "block")}
+            own["sketch"] = np.stack([folded(x, LEAST_BITS // 8) for x in table.column("bitmap").to_pylist()]).view(np.uint64)
+            u, v = table.column("u")[0].as_py(), table.column("v")[0].as_py()
+            left = np.flatnonzero(own["block"] == u)
+            right = left if u == v else np.flatnonzero(own["block"] == v)
+            y = {c: x[right] for c, x in own.items()}
+            for start in range(0, len(left), 256):
+                x = {c: z[left[start : start + 256]] for c, z in own.items()}
+                may, apart = _may_link(x, y, boundary)
+                i, j = np.nonzero(may)
+                one, two = x["node"][i], y["node"][j]
+                share = 1_000_000 * apart[i, j] // (x["n"][i] + y["n"][j])
+                found.update(zip(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist()), share.tolist()))
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            marks = np.stack([batch.column(c).to_numpy() for c in unit], 1)
+            cuts = (np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(a, b - a)
+                if held and any(held[-1].column(c)[0].as_py() != part.column(c)[0].as_py() for c in unit):
+                    pairs(held)
+                    held = []
+                    if len(found) >= 200_000:
+                        yield give()
+                held.append(part)
+        if held:
+            pairs(held)
+        if found:
+            yield give()
+
+    return dealt.mapInArrow(run, "a long, b long, apart long").groupBy("a", "b").agg(F.max("apart").alias("apart"))
+
+
+def across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``pairs`` of two components, with these as ca and cb."""
+    ends = {side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")) for side in "ab"}
+    both = pairs.join(ends["a"], "a", "left").join(ends["b"], "b", "left")
+    both = both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b"))
+    return both.where("ca != cb").select(*pairs.columns, "ca", "cb")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """The (a, b) nearest to each component's other side, ties by their names."""
+    row = F.struct("apart", "a", "b").alias("p")
+    ends = pairs.select(F.col("ca").alias("c"), row).unionByName(pairs.select(F.col("cb").alias("c"), row))
+    return ends.groupBy("c").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+
+
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``found`` after more ``links``.  Both tables are dropped."""
     stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -471,19 +742,45 @@ def joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return more
 
 
-def grown(pairs: DataFrame, found: DataFrame, docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components after ``NEAREST`` rounds over the written ``pairs``, and the pairs not yet verified."""
-    spent = [pairs]
+def grown(pairs: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Components after all links among the written ``pairs``, which is dropped.
+
+    Rounds of each component's nearest pair come first; then what still spans
+    two components is verified."""
     for _ in range(NEAREST):
         crossing = tables.written(across(pairs, found), "across")
-        tables.drop(*spent)
         tried = tables.written(nearest(crossing), "nearest")
-        found = joined(found, verified(tried, docs, nodes))
-        pairs = crossing.select("a", "b", "apart").join(tried, ["a", "b"], "left_anti")
-        spent = [crossing, tried]
-    rest = tables.written(across(pairs, found), "across")
-    tables.drop(*spent)
-    return found, rest
+        found = joined(found, linked(tried, sets))
+        rest = tables.written(crossing.select("a", "b", "apart").join(tried, ["a", "b"], "left_anti"), "pairs")
+        tables.drop(pairs, crossing, tried)
+        pairs = rest
+    crossing = tables.written(across(pairs, found), "across")
+    found = joined(found, linked(crossing, sets))
+    tables.drop(pairs, crossing)
+    return found
+
+
+def first_components(lists: DataFrame, docs: DataFrame, nodes: DataFrame, boundary: int, clashing: frozenset[int]) -> DataFrame:
+    """Components after each entry of the ``lists`` has met their centres."""
+    star = lists.where("node != p_node").where(_possible("n", "place", "p_n", "p_place", boundary))
+    star = star.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b"))
+    heads = lists.where("salt BETWEEN 0 AND 254").select("key", F.struct("p_node", "p_n", "p_place").alias("p")).distinct()
+    least = tables.written(heads.groupBy("key").agg(F.min("p").alias("q")), "heads")
+    heads = heads.join(least, "key").select(
+        F.col("p.p_node").alias("b"), F.col("p.p_n").alias("n"), F.col("p.p_place").alias("place"),
+        F.col("q.p_node").alias("a"), F.col("q.p_n").alias("m"), F.col("q.p_place").alias("other"),
+    )
+    heads = heads.where("a != b").where(_possible("n", "place", "m", "other", boundary))
+    heads = heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = tables.written(star.unionByName(heads).distinct(), "pairs")
+    near = bounded(pairs, nodes)
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    ids = tables.written(nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node", "left_semi"), "wanted")
+    sets = set_bodies(docs, ids, clashing)
+    links = linked(near, sets)
+    found = components(links)
+    tables.drop(least, pairs, near, ids, sets, links)
+    return found
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -493,79 +790,63 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts, and texts of white space alone, have no shingles and
     link with nothing, not even each other.  Ids are integers; a row with a null
     id is left out.  Repeated ids link as separate texts do and share the
-    smaller component.  An empty table gives an empty one.  Sets and shingles
-    are compared by 64-bit hashes."""
+    smaller component.  An empty table gives an empty one.  Shingles are
+    compared by 64-bit hashes, sets by 128 bits."""
     spark = docs.sparkSession
     docs = _named(docs, id_col, text_col).where("doc_id IS NOT NULL")
     nodes = tables.written(document_nodes(docs), "nodes")
+    clashing = clashing_names(nodes)
+    if clashing:
+        nodes = nodes.withColumn("node", F.when(F.col("node").isin(*clashing), F.col("twin")).otherwise(F.col("node")))
     small = nodes.where(F.col("n_shingles").between(1, LARGEST_LIGHT + LARGEST_LIGHT // 4)).groupBy("n_shingles").count()
     sizes = {r["n_shingles"]: r["count"] for r in small.collect()}
-    often, recurrence = frequent_shingles(docs)
+    often, recurrence = frequent_shingles(docs, nodes.agg(F.sum("n_shingles")).first()[0] or 0)
     boundary = chosen_boundary(sizes, recurrence)
-    buckets = 4 * tables.partitions(spark)
-    lists = tables.written(_lists(_postings(docs, often, boundary, buckets), often, buckets), "lists")
-
-    star = lists.where("node != p_node").where(_possible("n", "place", "p_n", "p_place", boundary))
-    star = star.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b"))
-    heads = lists.where("salt BETWEEN 0 AND 254").select("key", F.struct("p_node", "p_n", "p_place").alias("p")).distinct()
-    least = tables.written(heads.groupBy("key").agg(F.min("p").alias("q")), "heads")
-    heads = heads.join(least, "key").select(
-        F.col("p.p_node").alias("b"), F.col("p.p_n").alias("n"), F.col("p.p_place").alias("place"),
-        F.col("q.p_node").alias("a"), F.col("q.p_n").alias("m"), F.col("q.p_place").alias("other"),
-    )
-    heads = heads.where("a != b").where(_possible("n", "place", "m", "other", boundary))
-    heads = heads.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = tables.written(star.unionByName(heads).distinct(), "pairs")
-    near = bounded(pairs, nodes)
-    links = verified(near, docs, nodes)
-    found = components(links)
-    tables.drop(least, near, links)
+    order = np.argsort(often)
+    shared = spark.sparkContext.broadcast((often[order], order))
+    lists = tables.written(_lists(_postings(docs, shared, boundary, tables.partitions(spark), clashing), shared), "lists")
+    shared.destroy()
+    found = first_components(lists, docs, nodes, boundary, clashing)
 
     entries = lists.where("salt >= 0").select("key", (F.col("place") < 0).alias("subset"), "node", "n", "place")
     first = spanning(entries, found)
     tables.drop(lists)
-    chains = tables.written(chained(first, boundary), "chains")
-    near = bounded(chains, nodes)
-    found, rest = grown(near, found, docs, nodes)
-    open_ = spanning(first.select(*entries.columns), found)
-    tables.drop(first, chains, rest)
-    other = open_.select("key", "subset", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("component").alias("c2"))
-    more = open_.join(other, ["key", "subset"]).where("node < b AND component != c2")
-    more = more.where(_sizes("n", "place", "m", "other", boundary))
-    # Two nodes of different components share exactly the keys counted here;
-    # beyond its prefix a set has ceil(0.8 n) - 1 shingles left to share.
-    rest = F.floor((4 * F.greatest("n", "m") + 4) / 5) - 1
-    more = more.groupBy(F.col("node").alias("a"), "b", "n", "m", "subset").agg(
-        F.count("*").alias("shared"), F.max(_room("n", "place", "m", "other")).alias("room")
-    )
-    more = more.where("room").where(F.col("subset") | (9 * (F.col("shared") + rest) >= 4 * (F.col("n") + F.col("m"))))
-    more = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = tables.written(more, "more")
-    near = bounded(more, nodes)
-    tables.drop(open_, pairs, more)
-    found, rest = grown(near, found, docs, nodes)
-    found = joined(found, verified(rest, docs, nodes))
-    tables.drop(rest)
+    sets = open_sets(first, docs, nodes, clashing)
+    shares = still_open(sets, found)
+    entries = tables.written(first.select("key", "subset", "node", "n", "place").join(shares, "node"), "left")
+    tables.drop(first)
+    for turn in range(ROUNDS):
+        open_ = spanning(entries, found)
+        tried = tables.written(chained(open_, boundary, turn), "chain")
+        found = joined(found, linked(tried, sets))
+        tables.drop(open_, tried)
+    again = still_open(sets.join(shares, "node", "left_semi"), found)
+    open_ = spanning(entries.drop("shared").join(again, "node"), found)
+    bitmaps = nodes.groupBy("node").agg(F.first("bitmap").alias("bitmap"))
+    pairs = tables.written(candidates(open_.join(bitmaps, "node"), boundary), "pairs")
+    tables.drop(entries, open_, shares, again)
+    found = grown(pairs, found, sets)
+    tables.drop(sets)
     return _labelled(nodes, found)
 
 
 def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Puts the smallest document id of each component on its documents."""
-    named = nodes.where("n_shingles > 0").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = tables.written(named, "named")
+    named = tables.written(with_component(nodes.where("n_shingles > 0").select("doc_id", "n_shingles", "node"), found), "named")
     tables.drop(found)
     firsts = tables.written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "firsts")
-    linked = named.join(firsts, "component").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked_ = named.join(firsts, "component").select("doc_id", "n_shingles", "component_id")
+    return linked_.unionByName(nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id.
 
-    Rows with a null id stay.  Columns stay as they are."""
+    Rows with a null id stay.  Columns stay as they are, whatever their names."""
     groups = ngram_jaccard_join(docs, id_col, text_col)
     gone = tables.written(groups.where("doc_id != component_id").select("doc_id"), "gone")
-    return docs.join(gone.distinct().withColumnRenamed("doc_id", "_gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = gone.distinct().withColumnRenamed("doc_id", tables.free_name(docs, "_gone"))
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(gone.columns[0]), "left_anti")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ from verdance.llm import kernels as K
 from verdance.llm import tables
 from verdance.llm.components import components
 
-MOST_FREQUENT = 1_000_000
+MOST_FREQUENT = 250_000
 SALTS = 16
 #: Lists of at least LONG entries have CENTRES nodes that all others meet.
 LONG, CENTRES = 12, 4
@@ -61,7 +61,7 @@ LEAST_FILTER, MOST_FILTER, FILTER_BLOCK = 16, 27, 16
 #: Bits of a set's parity bitmap: the power of two from its size on, within these.
 LEAST_BITS, MOST_BITS = 256, 1 << 14
 #: Rounds of neighbours in random orders, and of nearest pairs.
-ROUNDS, NEAREST = 4, 2
+ROUNDS, NEAREST = 2, 2
 #: Longer lists are chained, and paired, in parts of about this many entries.
 CHAIN, BLOCK = 4096, 2048
 _FLUSH, _FOLD = 400_000, 3_000_000
@@ -246,10 +246,10 @@ def frequent_shingles(docs: DataFrame, shingles: int) -> tuple[np.ndarray, float
         if size + r["count"] > MOST_FREQUENT:
             break
         least, size = r["n"], size + r["count"]
-    often = found.where(F.col("n") >= least).select("shingle", "n").toPandas().sort_values(["n", "shingle"])
+    often = found.where(F.col("n") >= least).select("shingle", "n").toArrow()
     tables.drop(found)
-    n = often["n"].to_numpy(np.float64)
-    return often["shingle"].to_numpy(np.int64).view(np.uint64), float((n * n).sum() / max(1, shingles))
+    key, n = often.column("shingle").to_numpy(), often.column("n").to_numpy()
+    return key[np.lexsort((key, n))].view(np.uint64), float((n.astype(np.float64) ** 2).sum() / max(1, shingles))
 
 
 def _found_in(often_sorted: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

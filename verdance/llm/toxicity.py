@@ -1,11 +1,13 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings.
 
 A text's words (lower-cased runs of letters, digits and bytes over 0x7F) are
-hashed to rows of an embedding table.  Filters of widths 1, 2 and 3 slide over
-the embeddings, each filter keeps its largest value over the whole text, and a
-logistic layer makes one logit.  Training is plain numpy on a bounded sample.
-One dimension of the table starts at the smoothed log-odds of the word, the
-others at small random values.
+hashed to rows of an embedding table, and so are their first ``STEM`` bytes; a
+word is the sum of both rows, so inflected and compound forms share what is
+learned.  Filters of widths 1, 2 and 3 slide over the words, each filter keeps
+its largest value over the whole text, and a logistic layer makes one logit.
+Embeddings, filters and weights start at small random values (rows that fewer
+than two training texts hold stay 0) and are trained in plain numpy on a
+bounded sample; nothing is set from the labels beforehand.
 
 Thresholds are calibrated by language on rows kept apart from the fit.  The
 language is guessed from the text's words by a small model, so a score depends
@@ -29,6 +31,9 @@ from verdance.llm import labelled, tables
 WIDTHS = (1, 2, 3)
 DIMS, FILTERS = 8, 8
 ROWS_LOG2, LANGUAGE_ROWS = 20, 4096
+STEM = 6
+DROP = 0.2
+_STEM_SEED = np.uint64(0xD6E8FEB86659FD93)
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", np.uint8)] = False
 _BREAK[0x80:] = False
@@ -47,9 +52,11 @@ class Model:
 
 
 def word_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The table row of each word, and the index of each document's first word."""
+    """The table rows of each word and its stem, and the index of each document's first word."""
     starts, ends, first = K.word_bounds(data, offsets, _BREAK)
-    return (K.word_hashes(data, starts, ends) >> K.U64(64 - ROWS_LOG2)).astype(np.int64), first
+    word = K.word_hashes(data, starts, ends)
+    stem = K.mix(K.word_hashes(data, starts, np.minimum(ends, starts + STEM)) ^ _STEM_SEED)
+    return (np.stack([word, stem], 1) >> K.U64(64 - ROWS_LOG2)).astype(np.int64), first
 
 
 def _rows_of(texts: list[str]) -> list[np.ndarray]:
@@ -74,7 +81,7 @@ def _segment_max(values: np.ndarray, first: np.ndarray, width: int) -> np.ndarra
 
 
 def logits(model: Model, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    e = model.table[rows]
+    e = model.table[rows[:, 0]] + model.table[rows[:, 1]]
     parts = []
     for w in WIDTHS:
         n = max(0, len(e) - w + 1)
@@ -87,7 +94,7 @@ def logits(model: Model, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def guessed_language(model: Model, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
     scores = np.zeros((len(rows) + 1, model.words_by_language.shape[1]), np.float64)
-    np.cumsum(model.words_by_language[rows & (LANGUAGE_ROWS - 1)], axis=0, out=scores[1:])
+    np.cumsum(model.words_by_language[rows[:, 0] & (LANGUAGE_ROWS - 1)], axis=0, out=scores[1:])
     return np.argmax(scores[first[1:]] - scores[first[:-1]], axis=1)
 
 
@@ -97,61 +104,75 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits(model, rows, first) - shift, -30, 30)))
 
 
+def _pooling(c: np.ndarray, sharp: float | None) -> np.ndarray:
+    """The weight of each window in each filter's value: all on the largest, or softmax of ``sharp`` times them."""
+    if sharp is None:
+        q = np.zeros_like(c)
+        q[c.argmax(0), np.arange(c.shape[1])] = 1
+        return q
+    q = np.exp(sharp * (c - c.max(0)))
+    return q / q.sum(0)
+
+
 def _fit(docs: list[np.ndarray], y: np.ndarray, epochs: int, rng: np.random.Generator) -> Model:
+    """Adam on filters and weights, Adagrad on the table.
+
+    While it learns, a filter's value is the softmax-weighted mean of its
+    windows, sharper with each epoch, so that all words are tried; the last
+    third of the epochs takes the largest value, as scoring does.  A word is
+    left out of a text with probability ``DROP``, so that no rare word will do."""
     size = 1 << ROWS_LOG2
-    seen = [np.zeros(size, np.float32), np.zeros(size, np.float32)]
-    for rows, label in zip(docs, y):
-        seen[label][np.unique(rows)] += 1
-    smooth = 2.0
-    odds = np.log((seen[1] + smooth) / (seen[0] + smooth)) - np.log((y.sum() + smooth) / ((1 - y).sum() + smooth))
+    seen = np.zeros(size, np.int64)
+    for rows in docs:
+        seen[np.unique(rows)] += 1
+    known = np.flatnonzero(seen >= 2)
     table = np.zeros((size, DIMS), np.float32)
-    known = seen[0] + seen[1] >= 2
-    table[known, 0] = odds[known] / 2
-    table[known, 1:] = rng.normal(0, 0.05, (int(known.sum()), DIMS - 1))
-    filters = {w: rng.normal(0, 0.1, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS}
-    for w in WIDTHS:
-        filters[w][:, 0, : FILTERS // 2] = 1.0 / w
-    model = Model(table, filters, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}, np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), -1.0)
+    table[known] = rng.normal(0, 0.1, (len(known), DIMS))
+    filters = {w: rng.normal(0, 0.3, (w, DIMS, FILTERS)).astype(np.float32) for w in WIDTHS}
+    model = Model(table, filters, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}, np.abs(rng.normal(0, 0.3, len(WIDTHS) * FILTERS)).astype(np.float32), -1.0)
+    model.weight[1::2] *= -1
     dense = [*model.filters.values(), *model.bias.values(), model.weight]
     first_moment, second_moment = [np.zeros_like(d) for d in dense], [np.zeros_like(d) for d in dense]
     squares = np.full(size, 1e-3, np.float32)
-    step, batch = 0, 32
-    for _ in range(epochs):
+    step, batch, soft = 0, 32, max(1, 2 * epochs // 3)
+    for epoch in range(epochs):
+        sharp = 2.0 * 8.0 ** (epoch / soft) if epoch < soft else None
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             grads = [np.zeros_like(d) for d in dense]
             offset_grad, touched, pushes = 0.0, [], []
             own = order[at : at + batch]
             for d in own:
-                rows = docs[d]
+                rows = docs[d][rng.random(len(docs[d])) >= DROP]
                 if not len(rows):
                     continue
-                e = model.table[rows]
-                pooled, where = np.zeros(len(WIDTHS) * FILTERS, np.float32), []
+                e = model.table[rows[:, 0]] + model.table[rows[:, 1]]
+                pooled, weights = np.zeros(len(WIDTHS) * FILTERS, np.float32), []
                 for i, w in enumerate(WIDTHS):
                     n = len(e) - w + 1
                     if n < 1:
-                        where.append(None)
+                        weights.append(None)
                         continue
                     c = sum(e[k : k + n] @ model.filters[w][k] for k in range(w)) + model.bias[w]
-                    top = c.argmax(0)
-                    where.append(top)
-                    pooled[i * FILTERS : (i + 1) * FILTERS] = np.maximum(c[top, np.arange(FILTERS)], 0)
+                    weights.append(_pooling(c, sharp))
+                    pooled[i * FILTERS : (i + 1) * FILTERS] = np.maximum((weights[-1] * c).sum(0), 0)
                 z = float(pooled @ model.weight + model.offset)
                 error = (1 / (1 + np.exp(-z)) - y[d]) / len(own)
                 grads[-1] += error * pooled
                 offset_grad += error
                 back = error * model.weight * (pooled > 0)
+                push = np.zeros_like(e)
                 for i, w in enumerate(WIDTHS):
-                    if where[i] is None:
+                    if weights[i] is None:
                         continue
-                    g = back[i * FILTERS : (i + 1) * FILTERS]
-                    grads[len(WIDTHS) + i] += g
+                    g = weights[i] * back[i * FILTERS : (i + 1) * FILTERS]
+                    grads[len(WIDTHS) + i] += g.sum(0)
                     for k in range(w):
-                        at_k = where[i] + k
-                        grads[i][k] += e[at_k].T * g
-                        touched.append(rows[at_k])
-                        pushes.append(g[:, None] * model.filters[w][k].T)
+                        grads[i][k] += e[k : k + len(g)].T @ g
+                        push[k : k + len(g)] += g @ model.filters[w][k].T
+                moved = push.any(1)
+                touched += [rows[moved, 0], rows[moved, 1]]
+                pushes += [push[moved], push[moved]]
             step += 1
             for j, (d, g) in enumerate(zip(dense, grads)):
                 first_moment[j] = 0.9 * first_moment[j] + 0.1 * g
@@ -160,11 +181,12 @@ def _fit(docs: list[np.ndarray], y: np.ndarray, epochs: int, rng: np.random.Gene
             model.offset -= 0.3 * offset_grad
             if touched:
                 at_rows, push = np.concatenate(touched), np.concatenate(pushes)
-                uniq, inverse = np.unique(at_rows, return_inverse=True)
+                some = seen[at_rows] >= 2
+                uniq, inverse = np.unique(at_rows[some], return_inverse=True)
                 total = np.zeros((len(uniq), DIMS), np.float32)
-                np.add.at(total, inverse, push)
+                np.add.at(total, inverse, push[some])
                 squares[uniq] += (total * total).sum(1)
-                model.table[uniq] -= 0.05 * total / np.sqrt(squares[uniq])[:, None]
+                model.table[uniq] -= 0.1 * total / np.sqrt(squares[uniq])[:, None]
     return model
 
 
@@ -180,13 +202,23 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def train(rows: pd.DataFrame, epochs: int = 4, seed: int = 11, least: int = 20) -> Model:
-    """A model from ``rows`` with text, y and lang.  A language with fewer than
-    ``least`` toxic or clean calibration rows uses the cut of all languages."""
+def _nothing_learned() -> Model:
+    """Scores every text as 0: with labels of one kind, or none, nothing can be told apart."""
+    empty = {w: np.zeros((w, DIMS, FILTERS), np.float32) for w in WIDTHS}
+    return Model(np.zeros((1 << ROWS_LOG2, DIMS), np.float32), empty, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}, np.zeros(len(WIDTHS) * FILTERS, np.float32), -30.0)
+
+
+def train(rows: pd.DataFrame, epochs: int | None = None, seed: int = 11, least: int = 20) -> Model:
+    """A model from ``rows`` with text, y and lang.
+
+    8 epochs, and up to 24 on fewer rows.  A language with fewer than ``least``
+    toxic or clean calibration rows uses the cut of all languages.  Rows of one
+    label, or none, give a model that scores every text as 0."""
     rng = np.random.default_rng(seed)
     docs, y = _rows_of(rows["text"].tolist()), rows["y"].to_numpy(np.int64)
     if len(y) == 0 or y.min() == y.max():
-        raise ValueError("training needs rows of both labels")
+        return _nothing_learned()
+    epochs = min(24, max(8, 16_000 // len(y))) if epochs is None else epochs
     apart = rng.random(len(y)) < 0.25
     fit = np.flatnonzero(~apart)
     model = _fit([docs[i] for i in fit], y[fit], epochs, rng)
@@ -194,10 +226,10 @@ def train(rows: pd.DataFrame, epochs: int = 4, seed: int = 11, least: int = 20)
     model.languages = sorted(set(lang.tolist()))
     counts = np.full((LANGUAGE_ROWS, len(model.languages)), 0.5)
     for own, name in zip(docs, lang):
-        counts[:, model.languages.index(name)] += np.bincount(own & (LANGUAGE_ROWS - 1), minlength=LANGUAGE_ROWS)
+        counts[:, model.languages.index(name)] += np.bincount(own[:, 0] & (LANGUAGE_ROWS - 1), minlength=LANGUAGE_ROWS)
     model.words_by_language = np.log(counts / counts.sum(0)).astype(np.float32)
     check = np.flatnonzero(apart)
-    flat = np.concatenate([docs[i] for i in check]) if len(check) else np.zeros(0, np.int64)
+    flat = np.concatenate([docs[i] for i in check]) if len(check) else np.zeros((0, 2), np.int64)
     first = np.concatenate([[0], np.cumsum([len(docs[i]) for i in check])]).astype(np.int64)
     z, guess, truth = logits(model, flat, first), guessed_language(model, flat, first), y[check]
     overall = _best_cut(z, truth) if len(check) and truth.min() != truth.max() else 0.0
@@ -209,8 +241,9 @@ def train(rows: pd.DataFrame, epochs: int = 4, seed: int = 11, least: int = 20)
     return model
 
 
-def train_from(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (5000, 3000)) -> Model:
-    return train(labelled.sample(docs, labels, "toxic", per_class, ["lang"]))
+def train_from(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2500), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    rows = labelled.sample(docs, labels, "toxic", per_class, [lang_col], id_col, text_col)
+    return train(rows.rename(columns={lang_col: "lang"}))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

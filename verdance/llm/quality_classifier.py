@@ -43,12 +43,25 @@ def _windows(model: Model, data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(e, (n, WIDTH * DIMS), (STRIDE * DIMS * 4, 4))
 
 
-def _features(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chunk maxima (chunks x FILTERS) of one document, and the half-chunk maxima's starts."""
+def _features(values: np.ndarray) -> np.ndarray:
+    """Chunk maxima (chunks x FILTERS) of one document."""
     halves = np.maximum.reduceat(values, np.arange(0, len(values), _HALF), axis=0)
-    if len(halves) > 1:
-        return np.maximum(halves[:-1], halves[1:]), halves
-    return halves, halves
+    return np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves
+
+
+def _peaks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(step, value) of each chunk's largest value of each filter, over all chunks of a document."""
+    halves = -(-len(values) // _HALF)
+    padded = np.full((halves * _HALF, values.shape[1]), -1, np.float32)
+    padded[: len(values)] = values
+    padded = padded.reshape(halves, _HALF, -1)
+    at = padded.argmax(1)
+    best = np.take_along_axis(padded, at[:, None], 1)[:, 0]
+    at = at + np.arange(halves)[:, None] * _HALF
+    if halves == 1:
+        return at, best
+    first = best[:-1] >= best[1:]
+    return np.where(first, at[:-1], at[1:]), np.where(first, best[:-1], best[1:])
 
 
 def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -66,7 +79,7 @@ def logits(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     steps, has = (sizes + STRIDE - 1) // STRIDE, sizes > 0
     for d in np.flatnonzero(has).tolist():
         s = int(at[d]) // STRIDE
-        chunks, _ = _features(values[s : s + int(steps[d])])
+        chunks = _features(values[s : s + int(steps[d])])
         out[d] += chunks.max(0) @ model.weight[:FILTERS] + chunks.mean(0) @ model.weight[FILTERS:]
     return out
 
@@ -97,7 +110,7 @@ def _fit(docs: list[np.ndarray], y: np.ndarray, epochs: int, rng: np.random.Gene
                     continue
                 x = _windows(model, data)
                 v = np.maximum(x @ model.filters + model.bias, 0)
-                chunks, _ = _features(v)
+                rows, chunks = _peaks(v)
                 n = len(chunks)
                 top = chunks.argmax(0)
                 mean = chunks.mean(0)
@@ -109,20 +122,16 @@ def _fit(docs: list[np.ndarray], y: np.ndarray, epochs: int, rng: np.random.Gene
                 offset_grad += error
                 back = np.repeat((error * model.weight[FILTERS:] / n)[None], n, 0)
                 back[top, np.arange(FILTERS)] += error * model.weight[:FILTERS]
-                starts = np.arange(n) * _HALF
-                for c in range(n) if n <= 24 else np.sort(rng.choice(n, 24, replace=False)):
-                    scale = max(1.0, n / 24)
-                    part = v[starts[c] : starts[c] + CHUNK]
-                    peak_at = part.argmax(0)
-                    g = back[c] * scale * (part[peak_at, np.arange(FILTERS)] > 0)
-                    rows = starts[c] + peak_at
-                    windows = x[rows]
-                    grads[1] += windows.T * g
-                    grads[2] += g
-                    push = (model.filters * g).T.reshape(FILTERS, WIDTH, DIMS)
-                    where = rows[:, None] * STRIDE + np.arange(WIDTH)
-                    inside = where < len(data)
-                    np.add.at(grads[0], data[where[inside]], push[inside])
+                back *= chunks > 0
+                grads[2] += back.sum(0)
+                for f in range(FILTERS):
+                    grads[1][:, f] += back[:, f] @ x[rows[:, f]]
+                push = back[:, :, None, None] * model.filters.T.reshape(FILTERS, WIDTH, DIMS)
+                where = rows[:, :, None] * STRIDE + np.arange(WIDTH)
+                inside = where < len(data)
+                at, push = data[where[inside]], push[inside]
+                for k in range(DIMS):
+                    grads[0][:, k] += np.bincount(at, push[:, k], 256)
             step += 1
             for j, (d, g) in enumerate(zip(dense, grads)):
                 first[j] = 0.9 * first[j] + 0.1 * g
@@ -134,12 +143,15 @@ def _fit(docs: list[np.ndarray], y: np.ndarray, epochs: int, rng: np.random.Gene
 
 def train(rows: pd.DataFrame, epochs: int = 3, seed: int = 5, threshold: float = 0.3) -> Model:
     """A model from ``rows`` with text and y; calibrated on a quarter of them
-    so that ``threshold`` is where it errs least, each label weighing the same."""
+    so that ``threshold`` is where it errs least, each label weighing the same.
+
+    Every chunk of every text has its part in each step.  Rows of one label, or
+    none, give a model that scores every text as 0."""
     rng = np.random.default_rng(seed)
     docs = [np.frombuffer(t.encode(), np.uint8) for t in rows["text"]]
     y = rows["y"].to_numpy(np.int64)
     if len(y) == 0 or y.min() == y.max():
-        raise ValueError("training needs rows of both labels")
+        return Model(np.zeros((256, DIMS), np.float32), np.zeros((WIDTH * DIMS, FILTERS), np.float32), np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), -30.0)
     apart = rng.random(len(y)) < 0.25
     model = _fit([docs[i] for i in np.flatnonzero(~apart)], y[~apart], epochs, rng)
     check = np.flatnonzero(apart)
@@ -156,8 +168,8 @@ def train(rows: pd.DataFrame, epochs: int = 3, seed: int = 5, threshold: float =
     return model
 
 
-def train_from(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2000, 2000)) -> Model:
-    return train(labelled.sample(docs, labels, "quality", per_class))
+def train_from(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2000, 2000), id_col: str = "doc_id", text_col: str = "text") -> Model:
+    return train(labelled.sample(docs, labels, "quality", per_class, None, id_col, text_col))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,8 @@ rules accept and one on those they reject.  A model's probability of a
 character after its context interpolates all orders up to ``order``
 (Witten-Bell weights), so a context never seen falls back to shorter ones.  An
 address's score is the difference of the two log-likelihoods, divided by its
-length; the cut is the threshold that loses least on the rules' own addresses.
+length.  The models are counted on three quarters of the rules' own addresses
+(by a hash of the address); the cut is the score that loses least on the rest.
 
 Everything is DataFrame code: contexts are exploded, counted with partial
 aggregation, and joined.  Probabilities are worked out once for each distinct
@@ -67,8 +68,8 @@ def _windows(urls: DataFrame, order: int) -> DataFrame:
 def language_model_scores(urls: DataFrame, order: int = ORDER) -> DataFrame:
     """(url, score) for each distinct url, from the labels on ``urls``.
 
-    ``urls`` has distinct ``url``, ``label`` (allow, block or null) and ``n``,
-    how many rows have that address.  Score is the length-normalised
+    ``urls`` has distinct ``url``, ``label`` (allow, block, or null where the
+    models do not learn from it) and ``n``, how many rows have that address.  Score is the length-normalised
     log-likelihood difference, positive where the accepted model fits better."""
     places = _windows(urls.select("url", "label", "n"), order)
     counted = (
@@ -113,33 +114,40 @@ def language_model_scores(urls: DataFrame, order: int = ORDER) -> DataFrame:
     return places.join(ratio, "w").groupBy("url").agg((F.sum("d") / F.count("*")).alias("score"))
 
 
-def calibrated_cut(scores: DataFrame) -> float:
-    """The score at which the rules' own addresses are told apart best.
-
-    ``scores`` has score, label and n.  Scores fall into 400 bins of fixed
-    width on [-2, 2], so what reaches the driver has that many rows at most."""
-    bin_ = F.greatest(F.lit(0), F.least(F.lit(399), F.floor((F.col("score") + 2) * 100)))
-    rows = (
-        scores.where("label IS NOT NULL")
-        .groupBy(bin_.alias("bin"))
-        .agg(
-            F.sum(F.when(F.col("label") == "allow", F.col("n")).otherwise(0)).alias("a"),
-            F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("b"),
-        )
-        .collect()
+def calibrated_cut(scores: DataFrame, bins: int = 4096) -> float:
+    """The score at which accepted and rejected addresses are told apart best.
+
+    ``scores`` has score, label and n; what has no label or score is left out.
+    Scores fall into ``bins`` of equal width from the least to the largest, so
+    what reaches the driver has that many rows at most.  Each label weighs the
+    same; of equally good cuts the one in the middle of the widest gap is taken.
+    Without addresses of both labels it is minus infinity."""
+    known = scores.where("label IS NOT NULL AND score IS NOT NULL")
+    lo, hi, a_total, b_total = known.agg(
+        F.min("score"), F.max("score"), F.sum(F.when(F.col("label") == "allow", F.col("n"))), F.sum(F.when(F.col("label") == "block", F.col("n")))
+    ).first()
+    if not a_total or not b_total:
+        return float("-inf")
+    width = max((hi - lo) / bins, 1e-12)
+    bin_ = F.least(F.lit(bins - 1), F.floor((F.col("score") - lo) / width))
+    rows = known.groupBy(bin_.alias("bin")).agg(
+        F.sum(F.when(F.col("label") == "allow", F.col("n")).otherwise(0)).alias("a"),
+        F.sum(F.when(F.col("label") == "block", F.col("n")).otherwise(0)).alias("b"),
     )
-    a, b = [0] * 400, [0] * 400
-    for r in rows:
-        a[r["bin"]], b[r["bin"]] = r["a"], r["b"]
-    lost_a, lost_b = 0.0, 1.0
-    total_a, total_b = max(1, sum(a)), max(1, sum(b))
-    best, cut = abs(lost_a + lost_b), -2.0
-    for k in range(400):
-        lost_a += a[k] / total_a
-        lost_b -= b[k] / total_b
-        if lost_a + lost_b < best - 1e-12:
-            best, cut = lost_a + lost_b, (k + 1) / 100 - 2
-    return cut
+    rows = sorted(rows.collect(), key=lambda r: r["bin"])
+    # A cut below all, then one above each bin that holds any.
+    lost, ends = [1.0], [(lo - width, lo)]
+    kept_b, lost_a = 1.0, 0.0
+    for k, r in enumerate(rows):
+        lost_a += r["a"] / a_total
+        kept_b -= r["b"] / b_total
+        after = lo + rows[k + 1]["bin"] * width if k + 1 < len(rows) else hi + width
+        lost.append(lost_a + kept_b)
+        ends.append((lo + (r["bin"] + 1) * width, after))
+    best = min(lost)
+    gaps = [e for x, e in zip(lost, ends) if x <= best + 1e-12]
+    low, high = max(gaps, key=lambda e: e[1] - e[0])
+    return (low + high) / 2
 
 
 def url_filter(
@@ -154,8 +162,9 @@ def url_filter(
     equal ones the first given).  Where none fits, ``lm_score`` at or above the
     calibrated cut allows.  A null url, or one without ``://``, has empty host
     and path and no rule; the models judge its text (null: empty) as it is.
-    With no accepted or no rejected address to learn from, the ratio is 0 for
-    all and they are allowed.  Repeated addresses are judged once and weigh by
+    With no accepted or no rejected address to learn from, all that no rule
+    fits is allowed, and ``lm_score`` is null.  Where the quarter that the cut
+    is found on lacks a label, models and cut take all addresses of the rules.  Repeated addresses are judged once and weigh by
     their number.  ``lm_score`` is null where a rule decides.  Extra columns
     pass through; columns named like the new ones are replaced."""
     spark = pages.sparkSession
@@ -173,11 +182,17 @@ def url_filter(
         F.max("_action").alias("label"), F.count("*").alias("n")
     )
     urls = tables.written(urls, "urls")
-    scores = tables.written(language_model_scores(urls, order), "url-scores")
-    known = urls.join(scores, "url")
-    cut = calibrated_cut(known)
-    both = known.agg(F.count_if(F.col("label") == "allow") > 0, F.count_if(F.col("label") == "block") > 0).first()
-    lm = F.col("score") >= cut if all(both) else F.lit(True)
+    apart = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(4)) == 0
+    labels = [F.count_if((F.col("label") == x) & part) for part in (apart, ~apart) for x in ("allow", "block")]
+    counts = urls.agg(*labels).first()
+    if not (counts[0] + counts[2] and counts[1] + counts[3]):
+        scores, lm = urls.select("url", F.lit(None).cast("double").alias("score")), F.lit(True)
+    else:
+        split = all(counts)
+        learnt = urls.withColumn("label", F.when(~apart, F.col("label"))) if split else urls
+        scores = tables.written(language_model_scores(learnt, order), "url-scores")
+        known = urls.join(scores, "url")
+        lm = F.col("score") >= calibrated_cut(known.where(apart) if split else known)
     out = named.join(scores.select(F.col("url").alias("_url"), "score"), "_url", "left")
     verdict = F.coalesce(F.col("_action"), F.when(lm, "allow").otherwise("block"))
     return out.select(

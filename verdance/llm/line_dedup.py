@@ -34,17 +34,19 @@ def line_dedup(
     A line's key is the line without blanks at its ends and with A-Z
     lower-cased.  A key of at least ``min_chars`` code points found in at least
     ``min_docs`` documents loses all its lines except those in the largest id
-    that holds it.  All other columns pass through, whatever their names.
+    that holds it.  All other columns pass through, whatever their names; ones
+    called ``n_lines`` or ``n_dropped`` are replaced.
 
     Null or empty text: one empty line, nothing dropped, text becomes empty.
     Null id: the text is kept whole and counts for no key.  Repeated ids count
     as one document and share their verdicts.  Empty tables give empty tables.
     Keys are compared by a 96-bit hash.
     """
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     base = docs.select(
-        F.col(id_col).alias("_id"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"),
+        F.col(f"`{id_col}`").alias("_id"),
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),
+        F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n", -1).alias("_lines"),
     )
     keys = F.filter(
         F.transform("_lines", line_key), lambda k: F.char_length(k) >= min_chars
@@ -54,6 +56,7 @@ def line_dedup(
         .select("_id", F.explode(F.array_distinct(keys)).alias("key"))
         .select("_id", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
     )
+    held = tables.written(held, "held-lines")
     common = (
         held.distinct()
         .groupBy("h1", "h2")
@@ -76,18 +79,16 @@ def line_dedup(
         return ~((F.char_length(key) >= min_chars) & F.array_contains("_gone", mark))
 
     kept = F.when(F.size("_gone") > 0, F.filter("_lines", stays)).otherwise(F.col("_lines"))
-    result = (
-        base.join(dropped, "_id", "left")
-        .withColumn("_gone", gone)
-        .withColumn("_kept", kept)
-    )
-    others = [F.col("_row").getField(c).alias(c) for c in docs.columns if c != text_col]
+    # Rows without id lose nothing and stay out of the join, where they would meet in one task.
+    joined = base.where("_id IS NOT NULL").join(dropped, "_id", "left").withColumn("_gone", gone)
+    bare = base.where("_id IS NULL").withColumn("_gone", F.array().cast("array<struct<h1:bigint,h2:int>>"))
+    result = joined.unionByName(bare).withColumn("_kept", kept)
+    texts = F.array_join("_kept", "\n")
     return result.select(
-        *others,
-        F.array_join("_kept", "\n").alias(text_col),
+        *[(texts if c == text_col else F.col("_row").getField(c)).alias(c) for c in own],
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-    ).select(*docs.columns, "n_lines", "n_dropped")
+    )
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdance.llm import kernels as K
@@ -352,7 +352,7 @@ def removed_spans(candidates: DataFrame, length: int, buckets: int) -> DataFrame
             same: tuple[int, int, int, int] | None = None
             before: bytes | None = None
             for shared, key, member in merged([decoded(expand.decompress(b)) for b in bodies]):
-                if key == before if shared == len(key) else False:
+                if before is not None and shared == len(key) == len(before):
                     doc, at, back, ahead = member
                     late = max(same, member)
                     same = min(same, member)
@@ -403,18 +403,39 @@ def _span_rows(spans: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with an id for each row, in the order of the ids, and what these are multiplied by.
+
+    Where ids are unique, that is 1.  Else it is the number of rows of the most
+    frequent id, and rows that share one follow each other by their texts."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    repeated = tables.written(repeated, "repeated-ids")
+    most = repeated.agg(F.max("count")).first()[0]
+    if most is None:
+        return docs, 1
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if max(-low, high) >= (1 << 63) // (most + 1):
+        raise ValueError(f"ids are too large to tell {most} rows of one id apart")
+    ids = repeated.select(F.col("doc_id").alias("again"))
+    own = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
+    many = docs.join(ids, F.col("doc_id") == F.col("again"), "left_semi").withColumn("doc_id", F.col("doc_id") * most + own)
+    one = docs.join(ids, F.col("doc_id") == F.col("again"), "left_anti").withColumn("doc_id", F.col("doc_id") * most)
+    return tables.written(one.unionByName(many), "numbered"), most
+
+
 def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs``.
 
     ``kept`` is the remaining bytes, null where nothing went (the text is whole).
     Null and empty texts have no bytes.  Ids are integers; a row with a null id
-    is kept whole and matches nothing.  Rows that share an id count as copies of
-    one document: what goes in one goes at the same places in all.  ``length``
-    lies between 33 and 200."""
+    is kept whole and matches nothing.  Rows that share an id are documents of
+    their own, one after the other in the order of their texts.  ``length`` lies
+    between 33 and 200.  Extra columns are left out."""
     if not GRAM < length <= 200:
         raise ValueError("length must lie between 33 and 200")
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    docs, rows_of_one = numbered(docs)
     usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     buckets = 4 * tables.partitions(spark)
     places = repeated_anchors(usable, length, buckets)
@@ -446,7 +467,8 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     whole = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     whole = whole.join(spans.select("doc_id", F.lit(True).alias("hit")), "doc_id", "left")
     untouched = whole.where("hit IS NULL").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("whole").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
-    return untouched.unionByName(touched)
+    out = untouched.unionByName(touched)
+    return out.withColumn("doc_id", F.expr(f"(doc_id - pmod(doc_id, {rows_of_one}L)) div {rows_of_one}L")) if rows_of_one > 1 else out
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

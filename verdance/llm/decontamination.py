@@ -340,10 +340,11 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold a test item; columns stay as they are."""
+    """``docs`` without those that hold a test item; columns stay as they are, whatever their names."""
     found = contaminated(docs, items, id_col=id_col, text_col=text_col)
-    found = tables.written(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_leak"), "left_anti")
+    leak = tables.free_name(docs, "_leak")
+    found = tables.written(found.select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col(leak), "left_anti")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash base and of its inverse, mod 2**64."""
     global _powers
     if len(_powers[0]) < n:
-        n = max(n, 2 * SLICE_BYTES)
+        n = max(n, SLICE_BYTES + 4096)
         up, down = np.full(n, _BASE, U64), np.full(n, _INVERSE, U64)
         up[0] = down[0] = 1
         _powers = np.multiply.accumulate(up), np.multiply.accumulate(down)

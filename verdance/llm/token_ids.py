@@ -20,6 +20,8 @@ _CUT = re.compile(r" (?=\S)")
 _LOOSE = re.compile(r" [^\S ]")
 _SPECIAL = "<|endoftext|>"
 _MARKS = ".,;:!?"
+#: Bytes of a word, its ids and its place in the cache, about.
+_ENTRY = 240
 _encoders: dict[str, Encoder] = {}
 
 
@@ -62,15 +64,19 @@ def encoded_rows(own: Encoder, batch: pa.RecordBatch, limit: int = 1 << 20) -> I
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers.
 
-    The cache holds about ``words`` words of at most 64 characters."""
+    Words of at most 64 characters are kept in two generations of about
+    ``most_bytes`` together.  When the younger is full it becomes the older, and
+    what was only in the older goes; words still in use move to the younger."""
 
-    def __init__(self, path: str, words: int = 2_000_000):
+    def __init__(self, path: str, most_bytes: int = 256 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = words
+        self.most_bytes = most_bytes
+        self.held = 0
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -119,18 +125,26 @@ class Encoder:
                 del bare[s]
         return [w for w in (*words, *made) if len(w) > 64]
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) + len(self.bare) > self.words:
-            self.cache.clear()
+    def _renew(self) -> None:
+        if 2 * self.held > self.most_bytes:
+            self.older, self.cache, self.held = self.cache, {}, 0
             self.bare.clear()
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        self._renew()
         parts = [[t] if _SPECIAL in t else _cuts(t) for t in texts]
         heads = self.whole([p.pop(0) for p in parts])
-        cache = self.cache
-        long_words = self._learn([w for w in set().union(*parts) if w not in cache])
+        cache, older = self.cache, self.older
+        before = len(cache) + len(self.bare)
+        new = [w for w in set().union(*parts) if w not in cache]
+        again = [w for w in new if w in older]
+        cache.update((w, older[w]) for w in again)
+        long_words = self._learn([w for w in new if w not in older] if again else new)
         get = cache.__getitem__
         out = [head + b"".join(map(get, p)) for head, p in zip(heads, parts)]
         for w in long_words:
             del cache[w]
+        self.held += _ENTRY * (len(cache) + len(self.bare) - before)
         return out
 
     def encode(self, text: str) -> bytes:

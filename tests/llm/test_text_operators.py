@@ -297,3 +297,163 @@ def test_bitmaps_never_bound_above_the_difference():
         d = ngram_jaccard.least_difference(ngram_jaccard.parity_bitmap(s), ngram_jaccard.parity_bitmap(t))
         assert d <= n + m - 2 * both
     assert ngram_jaccard.parity_bitmap(pool[:0]) == bytes(ngram_jaccard.LEAST_BITS // 8)
+
+
+CLASHING = "doc_id long, text string, _leak string, _gone string, n_lines string, n_dropped string, _id string, _row string, _y string, lang string"
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(i, t, *"abcdefgh") for i, t in ROWS]
+    return spark.createDataFrame(rows, CLASHING)
+
+
+def test_columns_named_like_inner_ones(spark, clashing):
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    kept = decontamination.drop_contaminated(clashing, items)
+    assert kept.columns == clashing.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({4, 5})
+    one = ngram_jaccard.one_of_each(clashing)
+    assert one.columns == clashing.columns and {5, 7}.isdisjoint({r["doc_id"] for r in one.collect()})
+    lines = line_dedup.line_dedup(clashing)
+    assert lines.columns == [c for c in clashing.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"] and lines.count() == len(ROWS)
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality_classifier, "quality")])
+@pytest.mark.parametrize("kinds", [[], [0], [1]])
+def test_labels_of_one_kind_or_none(spark, clashing, module, label, kinds):
+    labels = spark.createDataFrame([(i, k) for i in (1, 4, 5, 6, 8, 9) for k in kinds], f"doc_id long, {label} int")
+    model = module.train_from(clashing, labels)
+    rows = module.score(clashing, model).collect()
+    assert len(rows) == len(ROWS) and all(r["score"] < 1e-9 and r["predicted"] == 0 for r in rows)
+    if module is toxicity:
+        assert toxicity.drop_toxic(clashing, model).count() == len(ROWS)
+
+
+def test_training_makes_the_toxicity_scores(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = (pd.read_parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.merge(labels, on="doc_id")
+    rows["text"], rows["y"] = rows["text"].fillna(""), rows["toxic"]
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id])
+    caught = []
+    for epochs in (0, None):
+        model = toxicity.train(rows[~held], epochs)
+        import pyarrow as pa
+
+        batch = pa.record_batch({"text": pa.array(rows["text"].tolist(), pa.large_string())})
+        p = np.concatenate([toxicity.scores(model, data, offsets) for _, data, offsets in kernels.text_slices(iter([batch]))])
+        caught.append(((p >= 0.5) & (rows["toxic"] == 1)).sum() / (rows["toxic"] == 1).sum())
+        if epochs is None:
+            assert ((p >= 0.5) & (rows["toxic"] == 0)).sum() <= 4
+    assert caught[0] < 0.5 and caught[1] >= 0.85
+
+
+def test_rows_that_share_an_id_keep_what_repeats_nowhere(spark):
+    alone = " ".join(f"only{k}" for k in range(60))
+    rows = [(1, REPEATED * 2), (2, "x" + REPEATED), (2, alone), (-3, REPEATED)]
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, n) for i, n, *_ in [(1, 0), (2, 0), (2, 0), (-3, 0)]]
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in want)
+    by_size = {r["n_bytes"]: r["n_removed"] for r in got}
+    assert by_size[len(alone)] == 0 and by_size[len(REPEATED)] == 0 and by_size[len(REPEATED) + 1] == len(REPEATED)
+    assert by_size[2 * len(REPEATED)] == 2 * len(REPEATED)
+
+
+def test_small_cache_gives_the_same_ids():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}x" for k in rng.integers(0, 3000, 40)) for _ in range(200)]
+    small = token_ids.Encoder(token_ids.default_vocabulary(), most_bytes=100_000)
+    assert [x for k in range(0, 200, 20) for x in small.encode_many(texts[k : k + 20])] == small.whole(texts)
+    assert len(small.cache) + len(small.older) < 1500
+
+
+def test_common_passage_does_not_hide_links(spark):
+    """A passage in half of all documents, near copies of both kinds, against brute force."""
+    rng = np.random.default_rng(9)
+    say = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    passage, rows, near = say(50), [], say(80)
+    for k in range(160):
+        kind = k % 4
+        if kind == 0:
+            text = say(int(rng.integers(2, 9))) + passage
+        elif kind == 1:
+            text = say(3) + passage + say(int(rng.integers(2, 14)))
+        elif kind == 2:
+            text = list(near)
+            for at in rng.choice(80, rng.integers(0, 4), replace=False):
+                text[at] = f"e{k}"
+        else:
+            text = say(int(rng.integers(1, 30)))
+        rows.append((k, " ".join(text)))
+    got = sorted(map(tuple, ngram_jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_components(rows)
+
+
+def test_names_that_clash_are_told_apart():
+    s, t = np.arange(5, dtype=np.uint64), np.arange(1, 6, dtype=np.uint64)
+    a, b = ngram_jaccard.names_of(s), ngram_jaccard.names_of(t)
+    assert len({*a, *b}) == 4 and ngram_jaccard.node_of(s) == a[0] and ngram_jaccard.node_of(s, frozenset([a[0]])) == a[1]
+
+
+def test_cut_of_the_url_scores(spark):
+    rows = [(-9.0, "block", 5), (-8.5, "block", 1), (3.0, "allow", 2), (40.0, "allow", 7), (1.0, None, 50)]
+    df = spark.createDataFrame(rows, "score double, label string, n long")
+    assert -8.5 < url_filter.calibrated_cut(df) <= 3.0
+    assert url_filter.calibrated_cut(df.where("label = 'allow'")) == float("-inf")
+
+
+def test_url_model_against_brute_force(spark):
+    """Scores of the interpolated models, worked out one character at a time."""
+    urls = [("http://a.net/xyz", "block"), ("http://a.net/xxy", "block"), ("http://b.org/fr/q", "allow"), ("http://b.org/fr/zz", "allow"), ("http://c.com/xy", None), ("x", None)]
+    order = 3
+    grams = {l: {} for l in ("allow", "block")}
+    pad = lambda u: "\x02" * order + u + "\x02"
+    for u, l in urls:
+        for i in range(len(u) + 1) if l else ():
+            for k in range(order + 1):
+                g = pad(u)[i + order - k : i + order + 1]
+                grams[l][g] = grams[l].get(g, 0) + 1
+
+    def p(l, w):
+        out = 1 / 256
+        for k in range(order + 1):
+            g = w[order - k :]
+            after = {x: n for x, n in grams[l].items() if len(x) == k + 1 and x[:k] == g[:k]}
+            if after:
+                out = (after.get(g, 0) + len(after) * out) / (sum(after.values()) + len(after))
+        return out
+
+    want = {u: np.mean([np.log(p("allow", pad(u)[i : i + order + 1])) - np.log(p("block", pad(u)[i : i + order + 1])) for i in range(len(u) + 1)]) for u, _ in urls}
+    got = url_filter.language_model_scores(spark.createDataFrame([(u, l, 1) for u, l in urls], "url string, label string, n long"), order)
+    assert {r["url"]: pytest.approx(want[r["url"]]) for r in got.collect()} == {r["url"]: r["score"] for r in got.collect()}
+
+
+def test_packing_of_a_whole_table(spark, texts):
+    rows = packing.op3(spark, SF).toPandas()
+    for doc, own in rows.sort_values("start").groupby("doc_id"):
+        want = ids_of(texts.text[texts.doc_id == doc].iloc[0], 1)
+        assert own["start"].tolist() == np.r_[0, np.cumsum(own["length"])[:-1]].tolist() and own["length"].sum() == len(want) == own["doc_tokens"].iloc[0]
+        assert own["ids_crc32"].tolist() == [zlib.crc32(want[a : a + n].tobytes()) for a, n in zip(own["start"], own["length"])]
+    assert set(rows.doc_id) == set(texts.doc_id)
+
+
+def test_suffix_dedup_of_a_whole_table(spark, texts):
+    got = sorted(map(tuple, suffix_dedup.op5(spark, SF).collect()))
+    assert got == brute_suffix(list(texts.itertuples(index=False, name=None)))
+
+
+def test_cascade_measures_once_and_equals_every_rule():
+    calls = []
+
+    class Counting(quality_rules.Slice):
+        def _n_repeat_words(self):
+            calls.append(len(self.offsets) - 1)
+            return super()._n_repeat_words()
+
+    texts = [t or "" for _, t in ROWS] * 5
+    raw = [t.encode() for t in texts]
+    base = Counting(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    base.measure("n_repeat_words")
+    verdict = quality_rules.cascade(base, list(quality_rules.RULES))
+    every = np.stack([r.rejects(base) for r in quality_rules.RULES])
+    assert ((verdict < 0) == ~every.any(0)).all() and calls == [len(texts)]

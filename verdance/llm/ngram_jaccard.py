@@ -262,38 +262,43 @@ def _found_in(often_sorted: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np
 
 
 class Packer:
-    """Entries (key, node, tag, place), sorted and compressed by bucket for the exchange."""
+    """Entries (key, node, tag, place), sorted and compressed by bucket for the exchange.
+
+    Keys are hashes, so their upper bits choose the bucket; ``by`` stands in for
+    keys that are to be dealt otherwise."""
 
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.held = buckets, [], 0
 
-    def add(self, key: np.ndarray, node: int, tag: int, place: np.ndarray) -> None:
-        self.parts.append((key, node, tag, place))
+    def add(self, key: np.ndarray, node: int, tag: int, place: np.ndarray, by: np.ndarray | None = None) -> None:
+        self.parts.append((key, node, tag, place, key if by is None else by))
         self.held += len(key)
 
-    def flush(self, salt: np.ndarray | None = None) -> pa.RecordBatch:
+    def flush(self) -> pa.RecordBatch:
         import zstandard
 
         sizes = [len(p[0]) for p in self.parts]
-        key, place = (np.concatenate([p[i] for p in self.parts]) for i in (0, 3))
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        key, place, by = (np.concatenate([p[i] for p in self.parts]) for i in (0, 3, 4))
+        owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
         node, tag = (np.array([p[i] for p in self.parts], np.int64) for i in (1, 2))
         self.parts, self.held = [], 0
-        salted = key if salt is None else key + salt
-        bucket = (K.mix(salted) % np.uint64(self.buckets)).astype(np.int64)
-        by = np.lexsort((key, bucket))
-        key, place, owner, bucket = (x[by] for x in (key, place, owner, bucket))
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        order = np.argsort(by)
+        key, place, owner, by = key[order], place[order], owner[order], by[order]
+        edges = np.searchsorted(by >> np.uint64(32), -(-(np.arange(self.buckets + 1, dtype=np.int64) << 32) // self.buckets).astype(np.uint64))
+        used = np.flatnonzero(np.diff(edges))
         press = zstandard.ZstdCompressor(level=1)
-        numbers, bodies = [], []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-            own, code = np.unique(owner[a:b], return_inverse=True)
+        here, code = np.zeros(len(sizes), bool), np.zeros(len(sizes), np.uint32)
+        bodies = []
+        for a, b in zip(edges[used].tolist(), edges[used + 1].tolist()):
+            here[:] = False
+            here[owner[a:b]] = True
+            own = np.flatnonzero(here)
+            code[own] = np.arange(len(own), dtype=np.uint32)
             gaps = np.diff(key[a:b], prepend=np.uint64(0))
             head = np.array([b - a, len(own)], np.uint32).view(np.uint8)
-            raw = [head, _planes(gaps, 8), _planes(code.astype(np.uint32), 4), _planes(place[a:b], 4), node[own].view(np.uint8), _planes(tag[own], 8)]
-            numbers.append(int(bucket[a]))
-            bodies.append(press.compress(np.concatenate(raw).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(bodies, pa.binary())], ["bucket", "body"])
+            raw = [head, _planes(gaps, 8), _planes(code[owner[a:b]], 4), _planes(place[a:b], 4), node[own].view(np.uint8), _planes(tag[own], 8)]
+            bodies.append(press.compress(np.concatenate(raw)))
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
 
 def _opened(body: bytes) -> np.ndarray:
@@ -337,12 +342,6 @@ def _postings(docs: DataFrame, shared, boundary: int, buckets: int, clashing: fr
         often_sorted, rank = shared.value
         packer = Packer(buckets)
 
-        def flush() -> pa.RecordBatch:
-            key, place = (np.concatenate([p[i] for p in packer.parts]) for i in (0, 3))
-            node = np.repeat(np.array([p[1] for p in packer.parts], np.int64), [len(p[0]) for p in packer.parts])
-            hot = _found_in(often_sorted, key)[1] & (place >= 0)
-            return packer.flush(np.where(hot, K.mix(node.view(np.uint64)) % np.uint64(SALTS), np.uint64(0)))
-
         for _, data, offsets in K.text_slices(batches):
             for s in K.shingle_sets(data, offsets):
                 n = len(s)
@@ -351,18 +350,23 @@ def _postings(docs: DataFrame, shared, boundary: int, buckets: int, clashing: fr
                 node = node_of(s, clashing)
                 if n > boundary or 5 * n >= 4 * (boundary + 1):
                     at, hot = _found_in(often_sorted, s)
-                    first = np.concatenate([s[~hot], s[hot][np.argsort(rank[at[hot]], kind="stable")]]) if hot.any() else s
-                    p = prefix(n)
-                    packer.add(first[:p], node, n, np.arange(p, dtype=np.int32))
+                    p, first, by = prefix(n), s, None
+                    if hot.any():
+                        rare = s[~hot]
+                        first = np.concatenate([rare, s[hot][np.argsort(rank[at[hot]], kind="stable")]])
+                        by = first[:p].copy()
+                        salt = K.mix(np.array([node], np.int64).view(np.uint64)) % np.uint64(SALTS)
+                        by[len(rare) :] = K.mix(by[len(rare) :] + salt)
+                    packer.add(first[:p], node, n, np.arange(p, dtype=np.int32), by)
                 if n <= boundary:
                     mixed = K.mix(s)
                     for k in subset_sizes(n, boundary):
                         keys = K.mix(mixed[subsets(n, k)].sum(1, dtype=np.uint64) + np.uint64(k))
                         packer.add(keys, node, n, np.full(len(keys), -1, np.int32))
             if packer.held >= _FLUSH:
-                yield flush()
+                yield packer.flush()
         if packer.held:
-            yield flush()
+            yield packer.flush()
 
     return docs.mapInArrow(run, "bucket int, body binary")
 
@@ -500,7 +504,7 @@ def shared_halves(docs: DataFrame, ids: DataFrame, clashing: frozenset[int]) ->
         for _, data, offsets in _let_through(batches, shared.value):
             for s in K.shingle_sets(data, offsets):
                 node, half = node_of(s, clashing), _half(s) >> _CUT
-                packer.add(half, node, node, np.zeros(len(half), np.int32))
+                packer.add(half, node, node, np.zeros(len(half), np.int32), half << _CUT)
             if packer.held >= 2 * _FLUSH:
                 yield packer.flush()
         if packer.held:
@@ -520,7 +524,7 @@ def shared_wholes(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for node, component, body in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), batch.column("body")):
                 s = np.frombuffer(body.as_buffer(), np.uint64) >> _CUT
-                packer.add(s, node, component, np.zeros(len(s), np.int32))
+                packer.add(s, node, component, np.zeros(len(s), np.int32), s << _CUT)
                 if packer.held >= 2 * _FLUSH:
                     yield packer.flush()
         if packer.held:
@@ -530,9 +534,15 @@ def shared_wholes(sets: DataFrame) -> DataFrame:
 
 
 def _shares(packed: DataFrame) -> DataFrame:
-    """(node, shared) of packed (shingle, node, tag): shingles that stand under two tags."""
+    """(node, shared) of packed (shingle, node, tag): shingles that stand under two tags.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    What a task counts of its shingles goes on packed, too, and is summed by node."""
+    n_parts = tables.partitions(packed.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        counts = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for bodies in _by_bucket(batches):
             key, node, tag, _ = _unpacked(bodies)
             by = np.lexsort((node, tag, key))
@@ -542,11 +552,32 @@ def _shares(packed: DataFrame) -> DataFrame:
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             lengths = np.diff(np.append(at, len(key)))
             two = np.repeat(tag[at] != tag[at + lengths - 1], lengths)
-            names, n = np.unique(node[two], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], ["node", "n"])
+            counts = _summed(np.append(counts[0], node[two]), np.append(counts[1], np.ones(int(two.sum()), np.int64)))
+        names, n = counts
+        to = (K.mix(names.view(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+        by = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[by], np.arange(n_parts + 1))
+        used = np.flatnonzero(np.diff(edges))
+        press = zstandard.ZstdCompressor(level=1)
+        bodies = [press.compress(np.concatenate([names[by[a:b]], n[by[a:b]]]).tobytes()) for a, b in zip(edges[used].tolist(), edges[used + 1].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
-    dealt = packed.repartition(tables.partitions(packed.sparkSession), "bucket").mapInArrow(run, "node long, n long")
-    return dealt.groupBy("node").agg(F.sum("n").alias("shared"))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bodies in _by_bucket(batches):
+            pairs = [_opened(x).view(np.int64).reshape(2, -1) for x in bodies]
+            names, n = _summed(*(np.concatenate([x[k] for x in pairs]) for k in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], ["node", "shared"])
+
+    counted = packed.repartition(n_parts, "bucket").mapInArrow(count, "bucket int, body binary")
+    return counted.repartition(n_parts, "bucket").mapInArrow(total, "node long, shared long")
+
+
+def _summed(names: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each name once, with the sum of its numbers."""
+    by = np.argsort(names, kind="stable")
+    names, n = names[by], n[by]
+    at = np.flatnonzero(np.append(True, names[1:] != names[:-1])[: len(names)])
+    return names[at], np.add.reduceat(n, at) if len(at) else n
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -642,26 +673,36 @@ def chained(entries: DataFrame, boundary: int, turn: int) -> DataFrame:
     return pairs.select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
 
 
-def _may_link(x: dict[str, np.ndarray], y: dict[str, np.ndarray], boundary: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries x (rows) and y (columns) of a list may link, and the shingles that differ at least."""
-    a, b = x["n"][:, None], y["n"][None]
-    p, q = x["place"][:, None], y["place"][None]
-    total = a + b
-    need_ = (4 * total + 8) // 9
-    least = np.minimum(np.minimum(a - np.maximum(p, 0), b - np.maximum(q, 0)), np.minimum(x["shared"][:, None], y["shared"][None]))
-    may = (least >= need_) & (x["component"][:, None] != y["component"][None]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
+def _may_link(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of entries i and j of the same lists may link, and the shingles that differ at least."""
+    a, b, p, q = x["n"][i], x["n"][j], x["place"][i], x["place"][j]
+    need_ = (4 * (a + b) + 8) // 9
+    may = (x["component"][i] != x["component"][j]) & (np.minimum(x["shared"][i], x["shared"][j]) >= need_)
+    may &= (np.minimum(a - np.maximum(p, 0), b - np.maximum(q, 0)) >= need_) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
     may &= (p < 0) | (np.maximum(a, b) > boundary)
-    apart = np.zeros(may.shape, np.int64)
-    for k in range(4):
-        apart += np.bitwise_count(x["sketch"][:, k][:, None] ^ y["sketch"][:, k][None])
-    return may & (total - apart >= 2 * need_), apart
+    may &= (x["u"][i] == x["v"][i]) | (x["block"][i] != x["block"][j])
+    at = np.flatnonzero(may)
+    apart = np.bitwise_count(x["sketch"][i[at]] ^ x["sketch"][j[at]]).sum(1, dtype=np.int64)
+    near = a[at] + b[at] - apart >= 2 * need_[at]
+    return at[near], apart[near]
+
+
+def sketches(nodes: DataFrame) -> DataFrame:
+    """(node, sketch): each node's bitmap, folded to ``LEAST_BITS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = [folded(x, LEAST_BITS // 8).tobytes() for x in batch.column("bitmap").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(small, pa.binary())], ["node", "sketch"])
+
+    return nodes.select("node", "bitmap").mapInArrow(run, "node long, sketch binary").groupBy("node").agg(F.first("sketch").alias("sketch"))
 
 
 def candidates(entries: DataFrame, boundary: int) -> DataFrame:
     """(a, b, apart) of pairs across components that may link, from blocks of the lists.
 
     ``entries`` has key, subset, node, n, place, component, length, shared and
-    bitmap.  A long list is cut into blocks by a hash of the node, and each pair
+    sketch.  A long list is cut into blocks by a hash of the node, and each pair
     of its blocks is a unit of its own; only what passes all bounds is given
     out, once for each task.  ``apart`` is the least share of shingles in one
     set alone, in millionths."""
@@ -670,7 +711,7 @@ def candidates(entries: DataFrame, boundary: int) -> DataFrame:
     units = entries.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     units = units.select(
         F.xxhash64("key", "subset", F.least("block", "with"), F.greatest("block", "with")).alias("unit"), "key", F.col("subset").cast("int").alias("subset"),
-        F.least("block", "with").alias("u"), F.greatest("block", "with").alias("v"), "block", "node", "n", "place", "component", "shared", "bitmap",
+        F.least("block", "with").alias("u"), F.greatest("block", "with").alias("v"), "block", "node", "n", "place", "component", "shared", "sketch",
     )
     unit = ["unit", "key", "subset", "u", "v"]
     dealt = units.repartition(tables.partitions(entries.sparkSession), "unit").sortWithinPartitions(*unit)
@@ -683,36 +724,41 @@ def candidates(entries: DataFrame, boundary: int) -> DataFrame:
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy()), pa.array(apart)], ["a", "b", "apart"])
 
-        def pairs(rows: list[pa.RecordBatch]) -> None:
-            table = pa.Table.from_batches(rows)
-            own = {c: table.column(c).to_numpy() for c in ("node", "n", "place", "component", "shared", "block")}
-            own["sketch"] = np.stack([folded(x, LEAST_BITS // 8) for x in table.column("bitmap").to_pylist()]).view(np.uint64)
-            u, v = table.column("u")[0].as_py(), table.column("v")[0].as_py()
-            left = np.flatnonzero(own["block"] == u)
-            right = left if u == v else np.flatnonzero(own["block"] == v)
-            y = {c: x[right] for c, x in own.items()}
-            for start in range(0, len(left), 256):
-                x = {c: z[left[start : start + 256]] for c, z in own.items()}
-                may, apart = _may_link(x, y, boundary)
-                i, j = np.nonzero(may)
-                one, two = x["node"][i], y["node"][j]
-                share = 1_000_000 * apart[i, j] // (x["n"][i] + y["n"][j])
+        def marks(rows: pa.Table) -> np.ndarray:
+            table = np.stack([rows.column(c).to_numpy() for c in unit], 1)
+            return np.flatnonzero(np.append(True, (table[1:] != table[:-1]).any(1)))
+
+        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            """All pairs within units, about a million at a time, looked at and not kept."""
+            start = marks(rows)
+            x = {c: rows.column(c).to_numpy() for c in ("node", "n", "place", "component", "shared", "block", "u", "v")}
+            x["sketch"] = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(len(x["node"]), -1)
+            end = np.repeat(np.append(start[1:], len(x["node"])), np.diff(np.append(start, len(x["node"]))))
+            later = end - np.arange(len(end)) - 1
+            sums = np.append(0, np.cumsum(later))
+            at = 0
+            while at < len(later):
+                stop = max(at + 1, int(np.searchsorted(sums, sums[at] + 1_000_000, "right")) - 1)
+                i = np.repeat(np.arange(at, stop), later[at:stop])
+                j = i + 1 + np.arange(len(i)) - np.repeat(sums[at:stop] - sums[at], later[at:stop])
+                may, apart = _may_link(x, i, j, boundary)
+                i, j, at = i[may], j[may], stop
+                one, two = x["node"][i], x["node"][j]
+                share = 1_000_000 * apart // (x["n"][i] + x["n"][j])
                 found.update(zip(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist()), share.tolist()))
+                if len(found) >= 200_000:
+                    yield give()
 
-        held: list[pa.RecordBatch] = []
+        held: pa.Table | None = None
         for batch in batches:
-            marks = np.stack([batch.column(c).to_numpy() for c in unit], 1)
-            cuts = (np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist()
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                part = batch.slice(a, b - a)
-                if held and any(held[-1].column(c)[0].as_py() != part.column(c)[0].as_py() for c in unit):
-                    pairs(held)
-                    held = []
-                    if len(found) >= 200_000:
-                        yield give()
-                held.append(part)
-        if held:
-            pairs(held)
+            rows = pa.Table.from_batches([batch])
+            rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+            last = int(marks(rows)[-1]) if rows.num_rows else 0
+            if last:
+                yield from pairs(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield from pairs(held)
         if found:
             yield give()
 
@@ -822,8 +868,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tables.drop(open_, tried)
     again = still_open(sets.join(shares, "node", "left_semi"), found)
     open_ = spanning(entries.drop("shared").join(again, "node"), found)
-    bitmaps = nodes.groupBy("node").agg(F.first("bitmap").alias("bitmap"))
-    pairs = tables.written(candidates(open_.join(bitmaps, "node"), boundary), "pairs")
+    small = sketches(nodes.join(again.select("node"), "node", "left_semi"))
+    pairs = tables.written(candidates(open_.join(small, "node"), boundary), "pairs")
     tables.drop(entries, open_, shares, again)
     found = grown(pairs, found, sets)
     tables.drop(sets)

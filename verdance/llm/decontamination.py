@@ -131,6 +131,7 @@ def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
     """In how many documents each n-gram of the block occurs; one row a gram reaches the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         counts = np.zeros(len(own.gram), np.int64)
@@ -258,6 +259,7 @@ def alignments(docs: DataFrame, items: Items) -> DataFrame:
     """(doc_id, item_id, score, end_word) of each document and item that align well enough."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         sizes = np.array([len(w) for w in own.words], np.int64)

@@ -64,7 +64,9 @@ LEAST_BITS, MOST_BITS = 256, 1 << 14
 ROUNDS, NEAREST = 2, 2
 #: Longer lists are chained, and paired, in parts of about this many entries.
 CHAIN, BLOCK = 4096, 2048
-_FLUSH, _FOLD = 400_000, 3_000_000
+#: Buckets of packed entries for each partition: a task opens one after the other.
+BUCKETS = 3
+_FLUSH, _FOLD = 400_000, 1_500_000
 _CUT = np.uint64(16)  # low bits that counts of shingles leave out
 
 
@@ -154,6 +156,7 @@ def document_nodes(docs: DataFrame) -> DataFrame:
 
     ``half`` counts the shingles of ``_half``; ``twin`` is the second name."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in K.text_slices(batches):
             sets = list(K.shingle_sets(data, offsets))
@@ -188,6 +191,7 @@ def counted_shingles(docs: DataFrame, buckets: int) -> DataFrame:
     A shingle is named by its upper 48 bits here.  Tasks count what they hold
     of a few million at a time; the counts meet by key, packed."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -216,6 +220,7 @@ def counted_shingles(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
+    @K.tidy
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bodies in _by_bucket(batches):
             keys, counts = [], []
@@ -338,6 +343,7 @@ def _postings(docs: DataFrame, shared, boundary: int, buckets: int, clashing: fr
     An entry is a key of 64 bits, the node, its size, and the key's place in
     the node's prefix (-1 for a subset of a light set)."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often_sorted, rank = shared.value
         packer = Packer(buckets)
@@ -391,6 +397,7 @@ def _lists(postings: DataFrame, shared) -> DataFrame:
     Rows: key, salt, node, n, place, and p_node, p_n, p_place of the least node.
     Lists of frequent shingles keep lone entries, since their salts meet later."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often_sorted, _ = shared.value
         for bodies in _by_bucket(batches):
@@ -439,6 +446,7 @@ def id_filter(ids: DataFrame) -> tuple[int, np.ndarray]:
     more of the work.  Its blocks are made on the executors."""
     bits = min(MOST_FILTER, max(LEAST_FILTER, (16 * max(1, ids.count()) - 1).bit_length()))
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -477,6 +485,7 @@ def set_bodies(docs: DataFrame, ids: DataFrame, clashing: frozenset[int]) -> Dat
     bits, bitmap = id_filter(ids)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in _let_through(batches, shared.value):
             sets = list(K.shingle_sets(data, offsets))
@@ -497,15 +506,16 @@ def shared_halves(docs: DataFrame, ids: DataFrame, clashing: frozenset[int]) ->
     Nodes that share nothing are left out."""
     bits, bitmap = id_filter(ids)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    buckets = tables.partitions(docs.sparkSession)
+    buckets = BUCKETS * tables.partitions(docs.sparkSession)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets)
         for _, data, offsets in _let_through(batches, shared.value):
             for s in K.shingle_sets(data, offsets):
                 node, half = node_of(s, clashing), _half(s) >> _CUT
                 packer.add(half, node, node, np.zeros(len(half), np.int32), half << _CUT)
-            if packer.held >= 2 * _FLUSH:
+            if packer.held >= _FLUSH:
                 yield packer.flush()
         if packer.held:
             yield packer.flush()
@@ -517,15 +527,16 @@ def shared_halves(docs: DataFrame, ids: DataFrame, clashing: frozenset[int]) ->
 
 def shared_wholes(sets: DataFrame) -> DataFrame:
     """(node, shared): how many shingles each node of ``sets`` shares with a node of another component."""
-    buckets = tables.partitions(sets.sparkSession)
+    buckets = BUCKETS * tables.partitions(sets.sparkSession)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(buckets)
         for batch in batches:
             for node, component, body in zip(batch.column("node").to_pylist(), batch.column("component").to_pylist(), batch.column("body")):
                 s = np.frombuffer(body.as_buffer(), np.uint64) >> _CUT
                 packer.add(s, node, component, np.zeros(len(s), np.int32), s << _CUT)
-                if packer.held >= 2 * _FLUSH:
+                if packer.held >= _FLUSH:
                     yield packer.flush()
         if packer.held:
             yield packer.flush()
@@ -539,6 +550,7 @@ def _shares(packed: DataFrame) -> DataFrame:
     What a task counts of its shingles goes on packed, too, and is summed by node."""
     n_parts = tables.partitions(packed.sparkSession)
 
+    @K.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -562,6 +574,7 @@ def _shares(packed: DataFrame) -> DataFrame:
         bodies = [press.compress(np.concatenate([names[by[a:b]], n[by[a:b]]]).tobytes()) for a, b in zip(edges[used].tolist(), edges[used + 1].tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
 
+    @K.tidy
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bodies in _by_bucket(batches):
             pairs = [_opened(x).view(np.int64).reshape(2, -1) for x in bodies]
@@ -586,6 +599,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     maps = nodes.select("node", "n_shingles", "bitmap").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     maps = tables.written(maps, "bitmaps")
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column("n").to_numpy() + batch.column("m").to_numpy()
@@ -602,6 +616,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` that link, by their whole ``sets``; as a written table."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -690,6 +705,7 @@ def _may_link(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, boundary:
 def sketches(nodes: DataFrame) -> DataFrame:
     """(node, sketch): each node's bitmap, folded to ``LEAST_BITS``."""
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             small = [folded(x, LEAST_BITS // 8).tobytes() for x in batch.column("bitmap").to_pylist()]
@@ -716,6 +732,7 @@ def candidates(entries: DataFrame, boundary: int) -> DataFrame:
     unit = ["unit", "key", "subset", "u", "v"]
     dealt = units.repartition(tables.partitions(entries.sparkSession), "unit").sortWithinPartitions(*unit)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], int] = {}
 
@@ -850,7 +867,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     boundary = chosen_boundary(sizes, recurrence)
     order = np.argsort(often)
     shared = spark.sparkContext.broadcast((often[order], order))
-    lists = tables.written(_lists(_postings(docs, shared, boundary, tables.partitions(spark), clashing), shared), "lists")
+    lists = tables.written(_lists(_postings(docs, shared, boundary, BUCKETS * tables.partitions(spark), clashing), shared), "lists")
     shared.destroy()
     found = first_components(lists, docs, nodes, boundary, clashing)
 

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdance.llm import kernels as K
 from verdance.llm import tables, token_ids
 
 Piece = tuple[int, int, int]  # document's place in the task, start, length
@@ -119,6 +120,7 @@ def pack(
     )
     end = np.array([end_id], "<u4").tobytes()
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, levels = token_ids.encoder(path), Levels(window)
         base, count = TaskContext.get().partitionId() << 40, 0

@@ -169,7 +169,9 @@ def train(rows: pd.DataFrame, epochs: int = 3, seed: int = 5, threshold: float =
 
 
 def train_from(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (2000, 2000), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return train(labelled.sample(docs, labels, "quality", per_class, None, id_col, text_col))
+    model = train(labelled.sample(docs, labels, "quality", per_class, None, id_col, text_col))
+    K.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,6 +180,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     Null ids, repeated rows and empty tables pass through as they are."""
     kinds = dict(docs.dtypes)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in K.text_slices(batches, limit=K.SLICE_BYTES // 2):
             p = probability(model, data, offsets)

@@ -252,6 +252,7 @@ def quality_rules(
     base = list(BASE[1:]) if with_base else []
     schema = f"_id {kinds[id_col]}, n_words long, kept boolean, rejected_by string" + "".join(f", {c} long" for c in base)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in K.text_slices(batches):
             own = Slice(data, offsets)

@@ -118,6 +118,7 @@ def _pass_or_gather(batches: Iterator[pa.RecordBatch], gathered: dict[int, list[
 def repeated_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """(doc_id, body): places of anchors whose hash occurs twice or more anywhere."""
 
+    @K.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -153,6 +154,7 @@ def repeated_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield from flush()
         yield from flush()
 
+    @K.tidy
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: dict[int, list[bytes]] = {}
         yield from _pass_or_gather(batches, gathered)
@@ -294,6 +296,7 @@ def _settled(group: list[tuple[bytes, tuple[int, int, int, int]]], length: int)
 def removed_spans(candidates: DataFrame, length: int, buckets: int) -> DataFrame:
     """(doc_id, body): removed spans, from (doc_id, text, places)."""
 
+    @K.tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -339,6 +342,7 @@ def removed_spans(candidates: DataFrame, length: int, buckets: int) -> DataFrame
                 yield from flush()
         yield from flush()
 
+    @K.tidy
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -446,6 +450,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", tex
     spans = spans.groupBy("doc_id").agg(F.unhex(F.array_join(F.transform(F.collect_list("body"), F.hex), "")).alias("spans"))
     spans = tables.written(spans, "spans")
 
+    @K.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in K.text_slices(batches):
             columns: list[list] = [[] for _ in range(6)]

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdance.llm import kernels as K
 from verdance.llm import tables, token_ids
 
 BLOCK = 8192
@@ -100,6 +101,7 @@ def write_ids(
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
     end = np.array([end_id], "<u4").tobytes()
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = token_ids.encoder(path), TaskContext.get().partitionId()
         chunk, before = 0, 0
@@ -150,6 +152,7 @@ def read_ids(chunks: DataFrame) -> DataFrame:
         total += r["n"]
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):

@@ -243,7 +243,9 @@ def train(rows: pd.DataFrame, epochs: int | None = None, seed: int = 11, least:
 
 def train_from(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (4000, 2500), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = labelled.sample(docs, labels, "toxic", per_class, [lang_col], id_col, text_col)
-    return train(rows.rename(columns={lang_col: "lang"}))
+    model = train(rows.rename(columns={lang_col: "lang"}))
+    K.release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,6 +256,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for rows, data, offsets in K.text_slices(batches):
@@ -270,6 +273,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     One pass and no shuffle: a row's verdict depends on its text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for rows, data, offsets in K.text_slices(batches, text_col):

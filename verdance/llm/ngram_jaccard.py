@@ -60,8 +60,8 @@ LARGEST_LIGHT = 16
 LEAST_FILTER, MOST_FILTER, FILTER_BLOCK = 16, 27, 16
 #: Bits of a set's parity bitmap: the power of two from its size on, within these.
 LEAST_BITS, MOST_BITS = 256, 1 << 14
-#: Rounds of neighbours in random orders, and of nearest pairs.
-ROUNDS, NEAREST = 2, 2
+#: Rounds of neighbours in random orders, and of nearest pairs: they spare pairs, and change no result.
+ROUNDS, NEAREST = 1, 1
 #: Longer lists are chained, and paired, in parts of about this many entries.
 CHAIN, BLOCK = 4096, 2048
 #: Buckets of packed entries for each partition: a task opens one after the other.

@@ -577,3 +577,6 @@ def bootstrap_ci(spark, sf_dir):
 def bootstrap_band(spark, sf_dir):
     """The pointwise band of the line, at the grid of ``ols_grid``."""
     return T.bootstrap_band(_xym(spark, sf_dir), "x", "y", 1000)
+
+
+from verdance.plans import details  # noqa: E402, F401  registers its queries

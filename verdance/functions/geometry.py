@@ -85,6 +85,17 @@ def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]
     return 500000.0 + _SCALE * _RECT * e, _SCALE * _RECT * n
 
 
+def utm_forward_sql(lon: str, lat: str, zone: int) -> tuple[str, str]:
+    """The series of ``utm_forward`` as SQL text, for the twin."""
+    k = 2 * math.sqrt(_N) / (1 + _N)
+    phi, lam = f"radians({lat})", f"radians({lon}-({zone * 6 - 183}))"
+    t = f"sinh(atanh(sin({phi}))-{k!r}*atanh({k!r}*sin({phi})))"
+    xi, eta = f"atan2({t},cos({lam}))", f"atanh(sin({lam})/sqrt(1+{t}*{t}))"
+    e = "+".join([eta] + [f"{a!r}*cos({2 * j}*{xi})*sinh({2 * j}*{eta})" for j, a in enumerate(_ALPHA, 1)])
+    n = "+".join([xi] + [f"{a!r}*sin({2 * j}*{xi})*cosh({2 * j}*{eta})" for j, a in enumerate(_ALPHA, 1)])
+    return f"500000.0E0+{_SCALE * _RECT!r}*({e})", f"{_SCALE * _RECT!r}*({n})"
+
+
 def utm_inverse(easting: Column, northing: Column, zone: Column) -> tuple[Column, Column]:
     """(lon, lat) in degrees."""
     xi, eta = northing / (_SCALE * _RECT), (easting - 500000.0) / (_SCALE * _RECT)
@@ -97,3 +108,13 @@ def utm_inverse(easting: Column, northing: Column, zone: Column) -> tuple[Column
     for j, d in enumerate(_DELTA, 1):
         phi = phi + d * F.sin(2 * j * chi)
     return F.degrees(F.atan2(F.sinh(e), F.cos(x))) + (zone * 6 - 183), F.degrees(phi)
+
+
+def utm_inverse_sql(easting: str, northing: str, zone: int) -> tuple[str, str]:
+    """The series of ``utm_inverse`` as SQL text, for the twin."""
+    xi, eta = f"({northing}/{_SCALE * _RECT!r})", f"(({easting}-500000.0E0)/{_SCALE * _RECT!r})"
+    x = xi + "".join(f"-({b!r})*sin({2 * j}*{xi})*cosh({2 * j}*{eta})" for j, b in enumerate(_BETA, 1))
+    e = eta + "".join(f"-({b!r})*cos({2 * j}*{xi})*sinh({2 * j}*{eta})" for j, b in enumerate(_BETA, 1))
+    chi = f"asin(sin({x})/cosh({e}))"
+    phi = chi + "".join(f"+({d!r})*sin({2 * j}*{chi})" for j, d in enumerate(_DELTA, 1))
+    return f"degrees(atan2(sinh({e}),cos({x})))+({zone * 6 - 183})", f"degrees({phi})"

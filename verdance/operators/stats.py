@@ -66,7 +66,7 @@ def adjusted(df: DataFrame, p: str, by: list[str]) -> DataFrame:
 def quantile_class(df: DataFrame, x: str, cuts: list[float], by: list[str], name: str) -> DataFrame:
     """Adds 1 for x up to the first cut, and so on; ties fall together; null stays null."""
     breaks = df.groupBy(*by).agg(F.percentile(x, F.array(*map(F.lit, cuts))).alias("_b"))
-    joined = df.join(F.broadcast(breaks), by) if by else df.crossJoin(F.broadcast(breaks))
+    joined = df.join(breaks, by) if by else df.crossJoin(F.broadcast(breaks))
     level = F.lit(len(cuts) + 1)
     for k in reversed(range(len(cuts))):
         level = F.when(F.col(x) <= F.round(F.col("_b")[k], 9), k + 1).otherwise(level)
@@ -94,7 +94,7 @@ def kde(df: DataFrame, x: str, by: list[str], lo: float, hi: float, points: int)
     """(by, i, grid, density): Gaussian kernels, bandwidth n^(-1/5) times the sample deviation."""
     spread = df.groupBy(*by).agg((F.pow(F.count("*").cast("double"), F.lit(-0.2)) * F.stddev_samp(x)).alias("h"), F.count("*").alias("n"))
     step = (hi - lo) / (points - 1)
-    counted = df.groupBy(*by, x).agg(F.count("*").alias("w")).join(F.broadcast(spread.where("h > 0")), by)
+    counted = df.groupBy(*by, x).agg(F.count("*").alias("w")).join(spread.where("h > 0"), by)
     grid = counted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("grid", lo + F.col("i") * step)
     u = (F.col("grid") - F.col(x)) / F.col("h")
     kernel = F.col("w") * F.exp(-0.5 * u * u)

@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _city(trees: DataFrame, units: DataFrame) -> DataFrame:
-    return trees.join(F.broadcast(units.select("unit_ord", "city")), "unit_ord")
+    return trees.join(units.select("unit_ord", "city"), "unit_ord")
 
 
 @query("""WITH inc AS (SELECT c_nationkey nk, c_mktsegment seg, CASE WHEN c_nationkey % 7 = 3 THEN NULL
@@ -51,7 +51,7 @@ def equity_spearman(spark, sf_dir):
     income = customer.groupBy(*unit).agg((F.sum(cents).cast("double") / F.count("*")).alias("v"))
     income = income.withColumn("median_income", F.when(F.col("nk") % 7 != 3, F.col("v"))).where("median_income IS NOT NULL")
     counts = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(*unit).agg(F.count("*").alias("tree_count"))
-    cities = F.broadcast(nation.select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("city")))
+    cities = nation.select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("city"))
     units = counts.join(income, ["nk", "seg"]).join(cities, "nk")
     units = units.withColumn("density", F.least(F.col("tree_count") / (1.0 + 0.25 * (F.col("nk") % 4)), F.lit(30000.0)))
     return T.spearman(units, "median_income", "density", ["city"])
@@ -112,14 +112,14 @@ def pooled_total_row(spark, sf_dir):
 
 
 @query("""SELECT t.unit_ord, city, median(crown_area_px) median_crown, CAST(sum(crown_area_px) AS BIGINT) total_crown, count(*) tree_count,
- sum(crown_area_px)/0.04E0 crown_area_per_ha FROM fx_trees t JOIN fx_units u ON t.unit_ord=u.unit_ord JOIN fx_income i ON t.unit_ord=i.unit_ord
- WHERE median_income IS NOT NULL GROUP BY 1,2 HAVING sum(crown_area_px)/0.04E0 <= 1e9""")
+ sum(crown_area_px)/(1.0E0+t.unit_ord) crown_area_per_ha FROM fx_trees t JOIN fx_units u ON t.unit_ord=u.unit_ord JOIN fx_income i ON t.unit_ord=i.unit_ord
+ WHERE median_income IS NOT NULL GROUP BY 1,2 HAVING sum(crown_area_px)/(1.0E0+t.unit_ord) <= 10000""")
 def median_crown_unit(spark, sf_dir):
     trees, units, income = load(spark, sf_dir, "fx_trees", "fx_units", "fx_income")
     agg = trees.groupBy("unit_ord").agg(F.median("crown_area_px").alias("median_crown"), F.sum("crown_area_px").alias("total_crown"), F.count("*").alias("tree_count"))
-    joined = agg.join(F.broadcast(units.select("unit_ord", "city")), "unit_ord").join(F.broadcast(income.where("median_income IS NOT NULL")), "unit_ord")
-    per_ha = F.col("total_crown") / F.lit(0.04)
-    return joined.withColumn("crown_area_per_ha", per_ha).where("crown_area_per_ha <= 1e9").drop("median_income")
+    joined = agg.join(units.select("unit_ord", "city"), "unit_ord").join(income.where("median_income IS NOT NULL"), "unit_ord")
+    per_ha = F.col("total_crown") / (1.0 + F.col("unit_ord"))
+    return joined.withColumn("crown_area_per_ha", per_ha).where("crown_area_per_ha <= 10000").drop("median_income")
 
 
 @query("""SELECT o_custkey AS unit, count(*) n, CAST(sum(o_orderkey) AS DOUBLE)/count(*) mean_crown, min(o_custkey % 97) income
@@ -223,23 +223,23 @@ def income_left_join_flag(spark, sf_dir):
     trees, units, income = load(spark, sf_dir, "fx_trees", "fx_units", "fx_income")
     enriched = units.join(income, "unit_ord", "left")
     flag = F.when(F.col("median_income").isNull(), "no").otherwise("yes")
-    return trees.join(F.broadcast(enriched), "unit_ord").select("tree_id", "city", F.col("geoid").alias("block_group_id"), F.col("median_income").alias("median_household_income"), flag.alias("has_income"), "crown_area_px")
+    return trees.join(enriched, "unit_ord").select("tree_id", "city", F.col("geoid").alias("block_group_id"), F.col("median_income").alias("median_household_income"), flag.alias("has_income"), "crown_area_px")
 
 
-@query("SELECT l_orderkey, min(l_linenumber) first_line, arg_min(l_partkey, l_linenumber*1000000+l_partkey) part FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, min(l_linenumber) first_line, (min({'l': l_linenumber, 'p': l_partkey})).p part FROM lineitem GROUP BY 1")
 def first_match_dedup(spark, sf_dir):
     (lineitem,) = load(spark, sf_dir, "lineitem")
-    return lineitem.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("first_line"), F.min_by("l_partkey", F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("part"))
+    return lineitem.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("first_line"), F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("part"))
 
 
 _NAMES = """WITH n AS (SELECT filename, regexp_replace(regexp_replace(filename,'^pred_(pan|ndvi)_',''),'\\.tif$','') base, CASE WHEN contains(filename,'ndvi') THEN 1 ELSE 0 END nd FROM fx_tiles)"""
 
 
-@query(_NAMES + " SELECT base, arg_min(filename, CAST(1-nd AS STRING) || filename) filename FROM n GROUP BY 1")
+@query(_NAMES + " SELECT base, arg_min(filename, CAST(1-nd AS STRING) || filename) filename FROM n GROUP BY base, CASE WHEN contains(lower(filename),'austin') THEN 'Austin' ELSE 'Unknown' END")
 def prefer_ndvi(spark, sf_dir):
     (tiles,) = load(spark, sf_dir, "fx_tiles")
-    w = W.partitionBy("base").orderBy(F.col("nd").desc(), "filename")
-    named = tiles.select("filename", C.base_name(F.col("filename")).alias("base"), C.is_ndvi(F.col("filename")).alias("nd"))
+    w = W.partitionBy("city", "base").orderBy(F.col("nd").desc(), "filename")
+    named = tiles.select("filename", C.city_from_name(F.col("filename")).alias("city"), C.base_name(F.col("filename")).alias("base"), C.is_ndvi(F.col("filename")).alias("nd"))
     return named.withColumn("k", F.row_number().over(w)).where("k = 1").select("base", "filename")
 
 
@@ -398,6 +398,30 @@ def utm_round_trip(spark, sf_dir):
     return p.select("tree_id", near(back_lon, F.col("lon")).alias("lon"), near(back_lat, F.col("lat")).alias("lat"))
 
 
+_UTM = G.utm_forward_sql("-122.0E0+x/100", "37.0E0+y/100", 10)
+
+
+@query(f"SELECT tree_id, round({_UTM[0]},4) AS easting, round({_UTM[1]},4) AS northing FROM fx_trees")
+def utm_forward(spark, sf_dir):
+    """Easting and northing in zone 10, to a tenth of a millimetre."""
+    (trees,) = load(spark, sf_dir, "fx_trees")
+    e, n = G.utm_forward(F.lit(-122.0) + F.col("x") / 100, F.lit(37.0) + F.col("y") / 100, F.lit(10))
+    return trees.select("tree_id", F.round(e, 4).alias("easting"), F.round(n, 4).alias("northing"))
+
+
+_BACK = G.utm_inverse_sql("e", "n", 10)
+
+
+@query(f"WITH p AS (SELECT tree_id, {_UTM[0]} AS e, {_UTM[1]} AS n FROM fx_trees) SELECT tree_id, round({_BACK[0]},7) AS lon, round({_BACK[1]},7) AS lat FROM p")
+def utm_inverse(spark, sf_dir):
+    """Degrees from easting and northing, to a centimetre."""
+    (trees,) = load(spark, sf_dir, "fx_trees")
+    e, n = G.utm_forward(F.lit(-122.0) + F.col("x") / 100, F.lit(37.0) + F.col("y") / 100, F.lit(10))
+    p = trees.select("tree_id", e.alias("e"), n.alias("n"))
+    lon, lat = G.utm_inverse(F.col("e"), F.col("n"), F.lit(10))
+    return p.select("tree_id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
 @query("""WITH RECURSIVE p AS (SELECT tile_ord t, r, c, r*64+c k FROM fx_pixels WHERE v > 0.9E0),
  s(t, k, l) AS (SELECT t, k, k FROM p UNION SELECT b.t, b.k, s.l FROM s JOIN p a ON a.t=s.t AND a.k=s.k JOIN p b ON a.t=b.t AND abs(a.r-b.r)+abs(a.c-b.c)=1),
  m AS (SELECT t, k, min(l) l FROM s GROUP BY 1,2)

@@ -22,7 +22,7 @@ _SPECIAL = "<|endoftext|>"
 _MARKS = ".,;:!?"
 #: Bytes of a word, its ids and its place in the cache, about.
 _ENTRY = 240
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def default_vocabulary() -> str:
@@ -31,11 +31,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_bytes: int = 256 << 20) -> Encoder:
     """This process's encoder for a vocabulary; Python workers outlive tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = path, most_bytes
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, most_bytes)
+    return _encoders[key]
 
 
 def _cuts(text: str) -> list[str]:

@@ -28,6 +28,8 @@ from verdance.llm import tables, token_ids
 
 BLOCK = 8192
 CHUNK_IDS = 1 << 18
+#: Of the encoder's words; nothing else of size stands beside them here.
+CACHE_BYTES = 576 << 20
 
 
 def encode_block(ids: np.ndarray, level: int = 3) -> tuple[list[int], bytes]:
@@ -103,7 +105,7 @@ def write_ids(
 
     @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = token_ids.encoder(path), TaskContext.get().partitionId()
+        encoder, shard = token_ids.encoder(path, CACHE_BYTES), TaskContext.get().partitionId()
         chunk, before = 0, 0
         keys: list[int | None] = []
         sizes: list[int] = []

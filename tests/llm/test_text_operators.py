@@ -191,6 +191,16 @@ def test_encoder_equals_whole_texts():
     assert own.encode_many(many) == own.whole(many)
 
 
+def test_encoder_on_words_of_many_scripts():
+    rng = np.random.default_rng(5)
+    words = ["été", "Ça,", "слово.", "ßtraße!", "语言", "e\u0301a", "x" * 70, "é" * 70 + ",", "don't", "12", "٣", "ªº", "ǅ", "İ", "\u0530", "Ա", "-a", "a\u00ad"]
+    own = token_ids.Encoder(token_ids.default_vocabulary())
+    many = ["".join(w + s for w, s in zip(rng.choice(words, 9), rng.choice([" ", "\n", " ", "", "\n\n"], 9))) for _ in range(2000)]
+    assert own.encode_many(many) == own.whole(many)
+    assert own.encode_many([]) == [] and own.encode_many(["", "a"]) == own.whole(["", "a"])
+    assert not any(len(w) > 64 for w in own.cache)
+
+
 def test_packing(spark, odd, empty):
     rows = packing.pack(odd).toPandas()
     fill = rows.groupby("sequence_id")["length"].sum()

@@ -13,6 +13,7 @@ from verdance.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    source_divergence,
     suffix_dedup,
     token_output,
     toxicity,
@@ -34,8 +35,13 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": line_dedup.op8,
         "op9_quality_classifier": quality_classifier.op9,
         "op10_token_output": token_output.op10,
+        "op11_source_divergence": source_divergence.op11,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+    return {
+        "op6_quality_rules": quality_rules.OP6_SQL,
+        "op8_line_dedup": line_dedup.OP8_SQL,
+        "op11_source_divergence": source_divergence.OP11_SQL,
+    }

@@ -11,6 +11,7 @@ from verdance.llm import (
     line_dedup,
     ngram_jaccard,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     source_divergence,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op9_quality_classifier": quality_classifier.op9,
         "op10_token_output": token_output.op10,
         "op11_source_divergence": source_divergence.op11,
+        "op12_prefix_trie": prefix_trie.op12,
     }
 
 
@@ -44,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality_rules.OP6_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
         "op11_source_divergence": source_divergence.OP11_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
     }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from verdance.llm import (
     decontamination,
     line_dedup,
+    minhash_dedup,
     ngram_jaccard,
     packing,
     prefix_trie,
@@ -38,6 +39,7 @@ def queries() -> dict[str, Query]:
         "op10_token_output": token_output.op10,
         "op11_source_divergence": source_divergence.op11,
         "op12_prefix_trie": prefix_trie.op12,
+        "op13_minhash_dedup": minhash_dedup.op13,
     }
 
 

@@ -18,11 +18,10 @@ A bucket never emits all its pairs:
 
 1. Each entry meets its bucket's least node, and in long buckets a few more by
    other orders.  Survivors are verified, components are formed.
-2. Buckets that span two components stay open.  Their entries meet neighbours in
-   the order of their signatures, where like ones stand together; components grow.
-3. What is still open is cut into blocks, pairs of two components are compared
-   on signatures inside the tasks, and only survivors leave them.  The nearest
-   pairs of each component are verified first, then what still spans two.
+2. Buckets that span two components stay open.  They are cut into blocks, pairs
+   of two components are compared on signatures inside the tasks, and only
+   survivors leave them.  The nearest pairs of each component are verified first,
+   then what still spans two.
 
 No candidate pair of two components goes unseen, and a group of near copies
 costs a star.  A bucket of many nodes of which no two link is compared in blocks
@@ -37,7 +36,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.llm import kernels as K
@@ -274,6 +273,14 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, marks: DataFra
     return links
 
 
+def grown(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more ``links``, which may be none.  Both tables are dropped where others replace them."""
+    if links.isEmpty():
+        tables.drop(links)
+        return found
+    return joined(found, links)
+
+
 def open_entries(entries: DataFrame, found: DataFrame) -> DataFrame:
     """(key, node, n, component, length) of the buckets that span two components, as a written table."""
     own = tables.written(with_component(entries.select("key", "node", "n"), found), "entries")
@@ -284,18 +291,6 @@ def open_entries(entries: DataFrame, found: DataFrame) -> DataFrame:
     return open_
 
 
-def neighbours(entries: DataFrame) -> DataFrame:
-    """(a, b) of entries of two components that stand next to each other by signature.
-
-    ``entries`` has key, node, n, component, length and signature.  Long buckets
-    are cut by the first bytes of the signature, so like ones stay together."""
-    part = F.when(F.col("length") > 4 * BLOCK, F.substring("signature", 1, 2)).otherwise(F.lit(b""))
-    order = Window.partitionBy("key", part).orderBy("signature", "node")
-    after = entries.withColumn("after", F.lead(F.struct("node", "n", "component")).over(order)).where("after.component != component")
-    after = after.where(100 * F.least("n", "after.n") >= PERCENT * F.greatest("n", "after.n"))
-    return after.select(F.least("node", "after.node").alias("a"), F.greatest("node", "after.node").alias("b")).distinct()
-
-
 def block_pairs(entries: DataFrame) -> DataFrame:
     """(a, b, apart) of pairs of two components that share a bucket and survive.
 
@@ -387,19 +382,14 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = components(verified(tables.written(stars.distinct(), "stars"), docs, nodes, marks, clashing))
 
     open_ = open_entries(entries, found)
-    near = tables.written(neighbours(open_.join(marks, "node")), "neighbours")
     tables.drop(entries)
-    found = joined(found, verified(near, docs, nodes, marks, clashing))
-
-    still = open_entries(open_, found)
-    tables.drop(open_)
-    pairs = tables.written(block_pairs(still.join(marks, "node")), "pairs")
+    pairs = tables.written(block_pairs(open_.join(marks, "node")), "pairs")
     sets = whole_sets(docs, nodes, ends(pairs), clashing)
     tried = tables.written(nearest(across(pairs, found)), "nearest")
-    found = joined(found, linked(tried, sets))
+    found = grown(found, linked(tried, sets))
     rest = tables.written(across(pairs.join(tried, ["a", "b"], "left_anti"), found), "rest")
-    found = joined(found, linked(rest, sets))
-    tables.drop(still, pairs, sets, tried, rest, marks)
+    found = grown(found, linked(rest, sets))
+    tables.drop(open_, pairs, sets, tried, rest, marks)
     return _labelled(nodes, found).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

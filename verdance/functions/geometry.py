@@ -50,6 +50,42 @@ def within(ring: Column, x: Column, y: Column) -> Column:
     return in_ring(ring, x, y) & ~on_ring(ring, x, y)
 
 
+def in_region(rings: Column, x: Column, y: Column) -> Column:
+    """Strictly inside a region of several rings: an odd number of them holds the point, none touches it."""
+    return (F.size(F.filter(rings, lambda r: in_ring(r, x, y))) % 2 == 1) & ~F.exists(rings, lambda r: on_ring(r, x, y))
+
+
+def polygon_area(rings: Column) -> Column:
+    """The first ring's area without that of the others, its holes; whatever way they turn."""
+    areas = F.transform(rings, lambda r: F.abs(signed_area(r)))
+    return 2 * areas[0] - F.aggregate(areas, F.lit(0.0), lambda s, a: s + a)
+
+
+def polygon_centroid(rings: Column) -> tuple[Column, Column]:
+    """(x, y) of a first ring and its holes; null without area."""
+
+    def moment(k: str) -> Column:
+        def of(ring: Column) -> Column:
+            terms = F.transform(_edges(ring), lambda e: (e["a"][k] + e["b"][k]) * (e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]))
+            return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 6 * F.signum(signed_area(ring))
+
+        parts = F.transform(rings, of)
+        return 2 * parts[0] - F.aggregate(parts, F.lit(0.0), lambda s, a: s + a)
+
+    area = F.nullif(polygon_area(rings), F.lit(0.0))
+    return moment("x") / area, moment("y") / area
+
+
+def to_utm(rings: Column, zone: Column) -> Column:
+    """Rings in degrees as rings in metres."""
+
+    def vertex(p: Column) -> Column:
+        e, n = utm_forward(p["x"], p["y"], zone)
+        return F.struct(e.alias("x"), n.alias("y"))
+
+    return F.transform(rings, lambda r: F.transform(r, vertex))
+
+
 def degrees_to_km2(area_deg2: Column, lat: Column) -> Column:
     """Square degrees at a latitude, with 12391 square kilometres to one at the equator."""
     return area_deg2 * 12391.0 * F.cos(F.radians(lat))

@@ -33,6 +33,9 @@ VIEWS = {
     "fx_detections": """SELECT l_suppkey AS tile_ord, l_orderkey*10+l_linenumber AS label, l_partkey AS pk,
         (l_partkey*37 % 1000)/10.0E0 AS x, (l_orderkey*53 % 1000)/10.0E0 AS y,
         CAST(l_quantity AS BIGINT) AS crown_area_px FROM lineitem""",
+    "fx_bounds": """SELECT r_regionkey AS city, 12.5E0*r_regionkey AS ox, 7.5E0*r_regionkey AS oy FROM region""",
+    "fx_parcels": """SELECT c_custkey AS parcel, (c_custkey*7919 % 9973)/9973.0E0*95.0E0 AS px,
+        (c_custkey*6101 % 9967)/9967.0E0*95.0E0 AS py FROM customer""",
     "fx_pixels": """SELECT l_suppkey % 8 AS tile_ord, l_partkey % 64 AS r, l_orderkey % 64 AS c,
         CAST(max(l_quantity) AS DOUBLE)/50.0E0 AS v FROM lineitem WHERE l_discount < 0.03E0 GROUP BY 1,2,3""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.functions import geometry as G
@@ -59,9 +59,9 @@ def radius_pairs(points: DataFrame, eps: float, key: str, other_tile_only: str |
     return left.join(right, ["cx", "cy"]).where(ok).select(F.col(key).alias("a"), "b", d2.alias("d2"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` in the shared checkpoint folder, so rounds do not pile up lineage."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names; on a cluster that must be set."""
+    sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
@@ -70,7 +70,12 @@ def _kept(df: DataFrame) -> DataFrame:
 
         where = tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(where)
-    path = f"{where}/rounds-{uuid.uuid4().hex}"
+    return f"{where}/rounds-{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` in the shared checkpoint folder, so rounds do not pile up lineage."""
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -603,4 +603,4 @@ def bootstrap_band(spark, sf_dir):
     return T.bootstrap_band(_xym(spark, sf_dir), "x", "y", 1000)
 
 
-from verdance.plans import details, overlays  # noqa: E402, F401  register their queries
+from verdance.plans import details, overlays, readers  # noqa: E402, F401  register their queries

@@ -1,5 +1,7 @@
 """Queries without an SQL twin against sequential versions."""
 
+import pytest
+
 from verdance.plans import reports
 
 SF = "/root/testdata/sf0.001"
@@ -40,8 +42,8 @@ def test_bootstrap_has_a_pointwise_band(spark):
     fit = {r["i"]: r["fit"] for r in reports.QUERIES["ols_grid"](spark, SF).collect()}
     assert [r["i"] for r in band] == list(range(100)) and all(r["fit_lo"] < fit[r["i"]] < r["fit_hi"] for r in band)
     ci = reports.QUERIES["bootstrap_ci"](spark, SF).first()
-    assert ci == reports.T.bootstrap_slope(reports._xym(spark, SF), "x", "y", 1000).first()
-    assert ci != reports.T.bootstrap_slope(reports._xym(spark, SF), "x", "y", 200).first()
+    assert tuple(ci) == pytest.approx(tuple(reports.B.bootstrap_slope(reports._xym(spark, SF).repartition(7), "x", "y", "id", 1000).first()))
+    assert ci != reports.B.bootstrap_slope(reports._xym(spark, SF), "x", "y", "id", 200).first()
 
 
 def test_region_properties_have_centroid_and_intensity(spark):

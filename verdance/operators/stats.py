@@ -99,35 +99,3 @@ def kde(df: DataFrame, x: str, by: list[str], lo: float, hi: float, points: int)
     u = (F.col("grid") - F.col(x)) / F.col("h")
     kernel = F.col("w") * F.exp(-0.5 * u * u)
     return grid.groupBy(*by, "i", "grid").agg((F.sum(kernel) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))).alias("density"))
-
-
-def _bootstrap_lines(df: DataFrame, x: str, y: str, replicates: int, seed: int) -> DataFrame:
-    """(rep, s, k): slope and intercept of each replicate."""
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = ranked.withColumn("i", F.row_number().over(W.orderBy(x, y)) - 1)
-    n = F.count("*").over(W.partitionBy())
-    base = ranked.withColumn("n", n)
-    draws = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    draws = draws.select("rep", F.pmod(F.xxhash64(F.lit(seed), "rep", "i"), F.col("n")).alias("i"))
-    return draws.join(ranked, "i").groupBy("rep").agg(F.regr_slope(y, x).alias("s"), F.regr_intercept(y, x).alias("k"))
-
-
-def bootstrap_band(df: DataFrame, x: str, y: str, replicates: int, points: int = 100, seed: int = 7) -> DataFrame:
-    """(i, gx, fit_lo, fit_hi): pointwise percentile interval of the regression line, draws as for the slope."""
-    ends = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    gx = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / float(points - 1)
-    grid = ends.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).select("i", gx.alias("gx"))
-    lines = _bootstrap_lines(df, x, y, replicates, seed).crossJoin(F.broadcast(grid))
-    cut = F.percentile(F.col("k") + F.col("s") * F.col("gx"), F.array(F.lit(0.025), F.lit(0.975)))
-    return lines.groupBy("i", "gx").agg(cut.alias("q")).select("i", "gx", F.col("q")[0].alias("fit_lo"), F.col("q")[1].alias("fit_hi"))
-
-
-def bootstrap_slope(df: DataFrame, x: str, y: str, replicates: int, seed: int = 7) -> DataFrame:
-    """(slope_lo, slope_hi, n): percentile interval of the regression slope.
-
-    Draws follow a hash of seed, replicate and draw, so any partitioning gives
-    the same result.  Made for unit tables of some thousand rows: each row is
-    drawn ``replicates`` times."""
-    fits = _bootstrap_lines(df, x, y, replicates, seed)
-    cut = F.percentile("s", F.array(F.lit(0.025), F.lit(0.975)))
-    return fits.agg(cut.alias("q")).select(F.col("q")[0].alias("slope_lo"), F.col("q")[1].alias("slope_hi"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from verdance.functions import cleaning as C
 from verdance.functions import geometry as G
 from verdance.operators import raster as R
+from verdance.operators import resampling as B
 from verdance.operators import spatial as S
 from verdance.operators import stats as T
 from verdance.sources.adapters import load, with_views
@@ -500,7 +501,7 @@ def _xym(spark, sf_dir):
     (customer,) = load(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     x = (k * 7919) % 1009
-    return customer.select(F.col("c_nationkey").alias("city"), x.cast("double").alias("x"), ((k * 31) % 997 + x).cast("double").alias("m"), ((k * 17) % 499).cast("double").alias("y"))
+    return customer.select(F.col("c_nationkey").alias("city"), k.alias("id"), x.cast("double").alias("x"), ((k * 31) % 997 + x).cast("double").alias("m"), ((k * 17) % 499).cast("double").alias("y"))
 
 
 @query(f"SELECT city, count(*) n, round(regr_slope(y,x),6) slope, round(regr_intercept(y,x),4) intercept FROM ({_XYM}) GROUP BY 1")
@@ -584,23 +585,68 @@ def distance_banded(spark, sf_dir):
     return d.where(keep).select("city", "tile")
 
 
-@query()
+_RHO = f"""r AS (SELECT city, rank() OVER (PARTITION BY city ORDER BY x)+(count(*) OVER (PARTITION BY city, x)-1)/2.0E0 rx, rank() OVER (PARTITION BY city ORDER BY y)+(count(*) OVER (PARTITION BY city, y)-1)/2.0E0 ry FROM ({_XYM})),
+ c AS (SELECT city, count(*) n_units, round(corr(rx,ry),6) rho FROM r GROUP BY 1 HAVING count(*)>=5),
+ t AS (SELECT *, rho*sqrt((n_units-2)/(1-rho*rho)) t, n_units-2 dof FROM c), p AS (SELECT city, n_units, rho, {B.student_p_sql('t', 'dof')} p FROM t)"""
+
+
+@query(f"WITH {_RHO} SELECT city, n_units, rho, round(p,8) p, CASE WHEN p<0.001E0 THEN '***' WHEN p<0.01E0 THEN '**' WHEN p<0.05E0 THEN '*' ELSE 'ns' END stars FROM p")
 def spearman_p(spark, sf_dir):
     """rho with its two-sided p and stars; one row a city."""
     rows = T.spearman(_xym(spark, sf_dir), "x", "y", ["city"])
-    p = F.pandas_udf(lambda r, n: r.combine(n, lambda a, b: T.two_sided_p(None if a != a else a, int(b))), "double")
-    return rows.withColumn("p", p("rho", "n_units")).withColumn("stars", C.stars(F.col("p")))
+    dof = F.col("n_units") - 2
+    t = F.col("rho") * F.sqrt(dof / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
+    p = F.when(F.abs("rho") >= 1, 0.0).otherwise(B.student_p(t, dof))
+    return rows.withColumn("p", p).withColumn("stars", C.stars(F.col("p"))).withColumn("p", F.round("p", 8))
 
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return T.bootstrap_slope(_xym(spark, sf_dir), "x", "y", 1000)
+    return B.bootstrap_slope(_xym(spark, sf_dir), "x", "y", "id", 1000)
 
 
 @query()
 def bootstrap_band(spark, sf_dir):
     """The pointwise band of the line, at the grid of ``ols_grid``."""
-    return T.bootstrap_band(_xym(spark, sf_dir), "x", "y", 1000)
+    return B.bootstrap_band(_xym(spark, sf_dir), "x", "y", "id", 1000)
+
+
+def _standard(spark, sf_dir):
+    """x, m and y as standard scores of their city."""
+    w = W.partitionBy("city")
+    score = lambda c: ((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_samp(c).over(w), F.lit(0.0))).alias(c)
+    return _xym(spark, sf_dir).select("city", "id", score("x"), score("m"), score("y"))
+
+
+_Z = f"z AS (SELECT city, {', '.join(f'({c}-avg({c}) OVER w)/stddev_samp({c}) OVER w {c}' for c in 'xmy')} FROM ({_XYM}) WINDOW w AS (PARTITION BY city))"
+_SUMS = "sum(x*x) xx, sum(m*m) mm, sum(y*y) yy, sum(x*m) xm, sum(x*y) xy, sum(m*y) my"
+_PATHS = f"""f AS (SELECT *, n-g-1 d1, n-g-2 d2, xm/xx a, xy/xx total, (xy*mm-my*xm)/(xx*mm-xm*xm) c_prime, (my*xx-xy*xm)/(xx*mm-xm*xm) b FROM s),
+ t AS (SELECT *, a/sqrt((mm-a*xm)/d1/xx) ta, total/sqrt((yy-total*xy)/d1/xx) tt, b/sqrt((yy-c_prime*xy-b*my)/d2*xx/(xx*mm-xm*xm)) tb, c_prime/sqrt((yy-c_prime*xy-b*my)/d2*mm/(xx*mm-xm*xm)) tc FROM f)
+ SELECT *, {B.student_p_sql('ta', 'd1')} p_a, {B.student_p_sql('tb', 'd2')} p_b, {B.student_p_sql('tc', 'd2')} p_c_prime, {B.student_p_sql('tt', 'd1')} p_total, a*b indirect, a*b/total proportion FROM t"""
+_ROUNDED = ("a", "p_a", "b", "p_b", "c_prime", "p_c_prime", "total", "p_total", "indirect", "proportion")
+
+
+@query(f"WITH {_Z}, s AS (SELECT city, count(*) n, 1 g, {_SUMS} FROM z GROUP BY 1), {_PATHS.replace(' SELECT *, greatest', ', e AS (SELECT *, greatest', 1)}) SELECT city, n, {', '.join(f'round({c},5) {c}' for c in _ROUNDED)} FROM e")
+def mediation(spark, sf_dir):
+    """The paths of each city on standard scores, with their p."""
+    paths = B.path_models(_standard(spark, sf_dir), "x", "m", "y", ["city"])
+    return paths.select("city", "n", *[F.round(c, 5).alias(c) for c in _ROUNDED])
+
+
+@query(f"WITH {_Z}, k AS (SELECT z.* FROM z WHERE city IN (SELECT city FROM z GROUP BY 1 HAVING count(*)>=5)), s AS (SELECT count(*) n, count(DISTINCT city) g, {_SUMS} FROM k HAVING count(DISTINCT city)>=2), {_PATHS.replace(' SELECT *, greatest', ', e AS (SELECT *, greatest', 1)}) SELECT n, {', '.join(f'round({c},5) {c}' for c in _ROUNDED)} FROM e")
+def mediation_pooled(spark, sf_dir):
+    """All cities of five units or more, with a constant for each; none if there are fewer than two."""
+    z = _standard(spark, sf_dir)
+    enough = z.groupBy("city").agg(F.count("*").alias("n")).where("n >= 5").select("city")
+    cities = enough.agg(F.count("*").alias("cities")).where("cities >= 2")
+    paths = B.path_models(z.join(enough, "city"), "x", "m", "y", [], absorb="city").crossJoin(cities)  # one row each
+    return paths.select("n", *[F.round(c, 5).alias(c) for c in _ROUNDED])
+
+
+@query()
+def mediation_interval(spark, sf_dir):
+    """Bootstrap interval of the indirect path of each city: 5000 replicates."""
+    return B.indirect_interval(_standard(spark, sf_dir), "x", "m", "y", "id", ["city"])
 
 
 from verdance.plans import details, overlays, readers  # noqa: E402, F401  register their queries

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verdance.operators import spatial as S
 from verdance.plans.reports import query
-from verdance.sources import files
+from verdance.sources import files, geotiff
 from verdance.sources.adapters import load
 
 
@@ -75,3 +75,36 @@ def canadian_income(spark, sf_dir):
     path = S.shared_folder(spark)
     files.write_csv(spark.sql(f"SELECT 2021 CENSUS_YEAR, code ALT_GEO_CODE, lev GEO_LEVEL, 'x' GEO_NAME, 'q' DATA_QUALITY_FLAG, id CHARACTERISTIC_ID, 'c' CHARACTERISTIC_NAME, v C1_COUNT_TOTAL, 1 C2_COUNT_MEN FROM ({_CA})"), path)
     return files.read_canadian_income(spark, path, "59").select("geoid", F.round("median_income", 6).alias("median_income"))
+
+
+def _rasters(spark, sf_dir, above: float | None = None) -> str:
+    """The pixel tables as GeoTIFF files of 64 by 64, half a degree each."""
+    (rows,) = load(spark, sf_dir, "fx_pixels")
+    placed = rows.select(F.concat(F.lit("tile_"), "tile_ord").alias("name"), "r", "c", "v", (F.col("tile_ord") * 0.5 - 98.0).alias("x0"), F.lit(31.0).alias("y0"), F.lit(0.5 / 64).alias("x_step"), F.lit(-0.5 / 64).alias("y_step"))
+    path = S.shared_folder(spark)
+    geotiff.write_rasters(placed, path, 64, 64, above).write.format("noop").mode("overwrite").save()
+    return path
+
+
+_ORD = F.regexp_extract("path", r"tile_(\d+)\.tif", 1).cast("bigint").alias("tile_ord")
+
+
+@query("SELECT tile_ord, r, c, v FROM fx_pixels WHERE r>=10 AND r<40 AND c>=5 AND c<64")
+def geotiff_window(spark, sf_dir):
+    """A window of written rasters, pixel for pixel."""
+    window = (10, 5, 40, 64)
+    rows = geotiff.pixels(geotiff.read_blocks(spark, _rasters(spark, sf_dir), band=1, window=window), window)
+    return rows.where(~F.isnan("v")).select(_ORD, "r", "c", "v")
+
+
+@query("SELECT tile_ord, count(*) FILTER (WHERE v>0.3E0) n_above, 4096-count(*) FILTER (WHERE v>0.3E0) n_below FROM fx_pixels GROUP BY 1")
+def geotiff_mask(spark, sf_dir):
+    """Masks written as bytes and counted again."""
+    rows = geotiff.pixels(geotiff.read_blocks(spark, _rasters(spark, sf_dir, above=0.3)))
+    return rows.groupBy(_ORD).agg(F.count_if(F.col("v") == 1).alias("n_above"), F.count_if(F.col("v") == 0).alias("n_below"))
+
+
+@query("SELECT DISTINCT tile_ord, 64 width, 64 height, 4326 crs, tile_ord*0.5E0-98.0E0 AS \"left\", 30.5E0 bottom, tile_ord*0.5E0-97.5E0 AS \"right\", 31.0E0 top FROM fx_pixels")
+def geotiff_headers(spark, sf_dir):
+    """Sizes, reference system and bounds from the headers alone."""
+    return geotiff.read_headers(spark, _rasters(spark, sf_dir)).select(_ORD, "width", "height", "crs", "left", "bottom", "right", "top")

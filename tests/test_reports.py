@@ -40,3 +40,28 @@ def test_same_rows(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(reports.QUERIES) - set(reports.ORACLE)))
 def test_runs(spark, name):
     assert reports.QUERIES[name](spark, SF).columns
+
+
+#: Queries whose rule must let some rows through and stop others: SQL over the query's result q and the table it chooses from.
+BOTH_WAYS = {
+    "partner_fallback": "SELECT count(partner), count(*)-count(partner) FROM q",
+    "tile_pairing": "SELECT count(*) FILTER (WHERE pan IS NOT NULL AND ndvi IS NOT NULL), count(*) FILTER (WHERE pan IS NULL OR ndvi IS NULL) FROM q",
+    "prefer_ndvi": "SELECT count(*) FILTER (WHERE filename LIKE '%ndvi%'), (SELECT count(*) FROM supplier)-count(*) FROM q",
+    "coverage_semi": "SELECT count(*), 25-count(*) FROM q",
+    "median_crown_unit": "SELECT count(*), 20-count(*) FROM q",
+    "strata_defaults": "SELECT count(*) FILTER (WHERE n>0), count(*) FILTER (WHERE n=0) FROM q",
+    "polygon_semi": "SELECT count(*), (SELECT count(*) FROM customer)-count(*) FROM q",
+    "model_density": "SELECT count(*) FILTER (WHERE tree_count>0 AND covered), count(*) FILTER (WHERE tree_count=0 OR tree_density IS NULL) FROM q",
+}
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+@pytest.mark.parametrize("name", sorted(BOTH_WAYS))
+def test_rules_act(name, sf):
+    """By the twin, which the query equals."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf{sf}/{t}.parquet'")
+    con.execute(f"CREATE TABLE q AS {reports.ORACLE[name]}")
+    acts, stops = con.execute(BOTH_WAYS[name]).fetchone()
+    assert acts > 0 and (stops > 0 or (name == "strata_defaults" and sf == "0.1"))

@@ -163,13 +163,13 @@ def seeded_sample(spark, sf_dir):
 
 @query("""WITH a AS (SELECT filename f, regexp_replace(regexp_replace(filename,'^pred_(pan|ndvi)_',''),'\\.tif$','') b, tile_ord t FROM fx_tiles)
  SELECT x.f AS filename, coalesce(e.f, (SELECT min(y.f) FROM a y WHERE y.t % 2=1 AND regexp_extract(y.f,'(_austin_.*)$',1)=regexp_extract(x.f,'(_austin_.*)$',1))) AS partner
- FROM a x LEFT JOIN a e ON e.t % 2=1 AND e.b=x.b WHERE x.t % 2=0""")
+ FROM a x LEFT JOIN (SELECT b, min(f) f FROM a WHERE t % 2=1 GROUP BY 1) e ON e.b=x.b WHERE x.t % 2=0""")
 def partner_fallback(spark, sf_dir):
     """Each even tile's partner: by equal base name, else the first with the same tail of the name."""
     (tiles,) = load(spark, sf_dir, "fx_tiles")
     a = tiles.select("tile_ord", "filename", C.base_name(F.col("filename")).alias("b"), F.regexp_extract("filename", "(_austin_.*)$", 1).alias("tail"))
     odd = a.where("tile_ord % 2 = 1")
-    exact = odd.select("b", F.col("filename").alias("e"))
+    exact = odd.groupBy("b").agg(F.min("filename").alias("e"))
     loose = odd.groupBy("tail").agg(F.min("filename").alias("l"))
     out = a.where("tile_ord % 2 = 0").join(exact, "b", "left").join(loose, "tail", "left")
     return out.select("filename", F.coalesce("e", "l").alias("partner"))
@@ -270,13 +270,19 @@ def centre_crop(spark, sf_dir):
     return inner.select("tile_ord", (F.col("r") - 16).alias("r"), (F.col("c") - 16).alias("c"), F.when(F.col("v") > 0.3, 1).otherwise(0).alias("hit"), cell("r").alias("cell_r"), cell("c").alias("cell_c"))
 
 
-@query("""WITH b AS (SELECT unnest(range(0,5)) k), p AS (SELECT least(4, CAST(floor(v*5) AS BIGINT)) k, v FROM fx_pixels WHERE tile_ord=3 AND v<0.6E0)
- SELECT b.k::BIGINT AS bin, count(v) AS n, round(coalesce(avg(v),(b.k+0.5E0)/5),6) AS mean FROM b LEFT JOIN p USING (k) GROUP BY b.k""")
+@query("""WITH p AS (SELECT tile_ord, r*4+CAST(floor(c/16) AS BIGINT) AS part, least(4, CAST(floor(v*5) AS BIGINT)) k, v FROM fx_pixels),
+ g AS (SELECT DISTINCT tile_ord, part FROM p), b AS (SELECT unnest(range(0,5)) k)
+ SELECT g.tile_ord, g.part, b.k::BIGINT AS bin, count(v) AS n, round(coalesce(avg(v),(b.k+0.5E0)/5),6) AS mean FROM g CROSS JOIN b
+ LEFT JOIN p ON p.tile_ord=g.tile_ord AND p.part=g.part AND p.k=b.k GROUP BY g.tile_ord, g.part, b.k""")
 def strata_defaults(spark, sf_dir):
-    """Five equal strata on [0, 1]; an empty one has its midpoint for a mean."""
+    """Five equal strata on [0, 1] of each sixteenth of a tile's rows; an empty one has its midpoint for a mean."""
     (px,) = load(spark, sf_dir, "fx_pixels")
-    p = px.where("tile_ord = 3 AND v < 0.6").select(F.least(F.lit(4), F.floor(F.col("v") * 5)).cast("bigint").alias("bin"), "v")
-    return spark.range(5).withColumnRenamed("id", "bin").join(p, "bin", "left").groupBy("bin").agg(F.count("v").alias("n"), F.round(F.coalesce(F.avg("v"), (F.col("bin") + 0.5) / 5), 6).alias("mean"))
+    own = ["tile_ord", "part", "bin"]
+    part = (F.col("r") * 4 + F.floor(F.col("c") / 16)).cast("bigint").alias("part")
+    held = px.groupBy("tile_ord", part, F.least(F.lit(4), F.floor(F.col("v") * 5)).cast("bigint").alias("bin")).agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
+    every = held.select("tile_ord", "part").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))))
+    mean = F.round(F.coalesce("mean", (F.col("bin") + 0.5) / 5), 6)
+    return every.join(held, own, "left").select(*own, F.coalesce("n", F.lit(0)).alias("n"), mean.alias("mean"))
 
 
 @query("""WITH u AS (SELECT t.unit_ord, count(*) n, median_income inc FROM fx_trees t JOIN fx_income i ON t.unit_ord=i.unit_ord WHERE median_income IS NOT NULL GROUP BY 1,3),

@@ -86,7 +86,8 @@ def _rasters(spark, sf_dir, above: float | None = None) -> str:
     return path
 
 
-_ORD = F.regexp_extract("path", r"tile_(\d+)\.tif", 1).cast("bigint").alias("tile_ord")
+def _tile_ord():
+    return F.regexp_extract("path", r"tile_(\d+)\.tif", 1).cast("bigint").alias("tile_ord")
 
 
 @query("SELECT tile_ord, r, c, v FROM fx_pixels WHERE r>=10 AND r<40 AND c>=5 AND c<64")
@@ -94,17 +95,17 @@ def geotiff_window(spark, sf_dir):
     """A window of written rasters, pixel for pixel."""
     window = (10, 5, 40, 64)
     rows = geotiff.pixels(geotiff.read_blocks(spark, _rasters(spark, sf_dir), band=1, window=window), window)
-    return rows.where(~F.isnan("v")).select(_ORD, "r", "c", "v")
+    return rows.where(~F.isnan("v")).select(_tile_ord(), "r", "c", "v")
 
 
 @query("SELECT tile_ord, count(*) FILTER (WHERE v>0.3E0) n_above, 4096-count(*) FILTER (WHERE v>0.3E0) n_below FROM fx_pixels GROUP BY 1")
 def geotiff_mask(spark, sf_dir):
     """Masks written as bytes and counted again."""
     rows = geotiff.pixels(geotiff.read_blocks(spark, _rasters(spark, sf_dir, above=0.3)))
-    return rows.groupBy(_ORD).agg(F.count_if(F.col("v") == 1).alias("n_above"), F.count_if(F.col("v") == 0).alias("n_below"))
+    return rows.groupBy(_tile_ord()).agg(F.count_if(F.col("v") == 1).alias("n_above"), F.count_if(F.col("v") == 0).alias("n_below"))
 
 
 @query("SELECT DISTINCT tile_ord, 64 width, 64 height, 4326 crs, tile_ord*0.5E0-98.0E0 AS \"left\", 30.5E0 bottom, tile_ord*0.5E0-97.5E0 AS \"right\", 31.0E0 top FROM fx_pixels")
 def geotiff_headers(spark, sf_dir):
     """Sizes, reference system and bounds from the headers alone."""
-    return geotiff.read_headers(spark, _rasters(spark, sf_dir)).select(_ORD, "width", "height", "crs", "left", "bottom", "right", "top")
+    return geotiff.read_headers(spark, _rasters(spark, sf_dir)).select(_tile_ord(), "width", "height", "crs", "left", "bottom", "right", "top")

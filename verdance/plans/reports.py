@@ -113,14 +113,17 @@ def pooled_total_row(spark, sf_dir):
 
 
 @query("""SELECT t.unit_ord, city, median(crown_area_px) median_crown, CAST(sum(crown_area_px) AS BIGINT) total_crown, count(*) tree_count,
- sum(crown_area_px)/(1.0E0+t.unit_ord) crown_area_per_ha FROM fx_trees t JOIN fx_units u ON t.unit_ord=u.unit_ord JOIN fx_income i ON t.unit_ord=i.unit_ord
- WHERE median_income IS NOT NULL GROUP BY 1,2 HAVING sum(crown_area_px)/(1.0E0+t.unit_ord) <= 10000""")
+ sum(crown_area_px)/(parcels*(0.01E0+0.01E0*(t.unit_ord % 5))) crown_area_per_ha FROM fx_trees t JOIN fx_units u ON t.unit_ord=u.unit_ord JOIN fx_income i ON t.unit_ord=i.unit_ord
+ JOIN (SELECT c_nationkey, count(*) parcels FROM customer GROUP BY 1) a ON t.unit_ord=c_nationkey
+ WHERE median_income IS NOT NULL GROUP BY 1,2,parcels HAVING sum(crown_area_px)/(parcels*(0.01E0+0.01E0*(t.unit_ord % 5))) <= 10000""")
 def median_crown_unit(spark, sf_dir):
-    trees, units, income = load(spark, sf_dir, "fx_trees", "fx_units", "fx_income")
+    """Units whose crown area a hectare is plausible; a unit's hectares grow with its parcels."""
+    trees, units, income, customer = load(spark, sf_dir, "fx_trees", "fx_units", "fx_income", "customer")
     agg = trees.groupBy("unit_ord").agg(F.median("crown_area_px").alias("median_crown"), F.sum("crown_area_px").alias("total_crown"), F.count("*").alias("tree_count"))
-    joined = agg.join(units.select("unit_ord", "city"), "unit_ord").join(income.where("median_income IS NOT NULL"), "unit_ord")
-    per_ha = F.col("total_crown") / (1.0 + F.col("unit_ord"))
-    return joined.withColumn("crown_area_per_ha", per_ha).where("crown_area_per_ha <= 10000").drop("median_income")
+    area = customer.groupBy(F.col("c_nationkey").alias("unit_ord")).agg(F.count("*").alias("parcels"))
+    joined = agg.join(units.select("unit_ord", "city"), "unit_ord").join(income.where("median_income IS NOT NULL"), "unit_ord").join(area, "unit_ord")
+    per_ha = F.col("total_crown") / (F.col("parcels") * (0.01 + 0.01 * (F.col("unit_ord") % 5)))
+    return joined.withColumn("crown_area_per_ha", per_ha).where("crown_area_per_ha <= 10000").drop("median_income", "parcels")
 
 
 @query("""SELECT o_custkey AS unit, count(*) n, CAST(sum(o_orderkey) AS DOUBLE)/count(*) mean_crown, min(o_custkey % 97) income
@@ -319,13 +322,12 @@ def tile_unit_count(spark, sf_dir):
     return units.select("unit_ord").join(hits, "unit_ord", "left").select("unit_ord", F.coalesce("n", F.lit(0)).alias("n_tiles"))
 
 
-@query("SELECT unit_ord FROM fx_units u WHERE EXISTS (SELECT 1 FROM fx_tiles t WHERE u.x0<=t.x1+0.5E0 AND t.x0-0.5E0<=u.x1 AND u.y0<=t.y1+0.5E0 AND t.y0-0.5E0<=u.y1)")
+@query("SELECT unit_ord FROM fx_units u WHERE EXISTS (SELECT 1 FROM fx_tiles t WHERE t.x0<45 AND u.x0<=t.x1+0.5E0 AND t.x0-0.5E0<=u.x1 AND u.y0<=t.y1+0.5E0 AND t.y0-0.5E0<=u.y1)")
 def coverage_semi(spark, sf_dir):
+    """Units that the western tiles cover, or come within half a step of."""
     tiles, units = load(spark, sf_dir, "fx_tiles", "fx_units")
-    right = tiles.select("tile_ord", F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
-    return S.boxes_touching(units, right, 20.0, grow=0.5).select("unit_ord").distinct()
-
-
+    right = tiles.where("x0 < 45").select("tile_ord", F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
+    return units.join(S.boxes_touching(units, right, 20.0, grow=0.5), "unit_ord", "left_semi").select("unit_ord")
 
 
 def _detections(spark, sf_dir):
@@ -553,12 +555,12 @@ def bh_adjust(spark, sf_dir):
 
 @query("""WITH z AS (SELECT city, CAST(crown_area_px AS DOUBLE) x FROM fx_trees JOIN fx_units ON fx_trees.unit_ord=fx_units.unit_ord),
  h AS (SELECT city, count(*) n, pow(CAST(count(*) AS DOUBLE),-0.2E0)*stddev_samp(x) h FROM z GROUP BY 1), w AS (SELECT city, x, count(*) k FROM z GROUP BY 1,2),
- g AS (SELECT unnest(range(50)) i)
- SELECT w.city, CAST(i AS INT) i, round(sum(k*exp(-0.5E0*pow((i*2.0E0-x)/h,2)))/(first(n)*first(h)*sqrt(2*pi())),8) density FROM w JOIN h ON w.city=h.city, g GROUP BY 1,2""")
+ g AS (SELECT unnest(range(500)) i)
+ SELECT w.city, CAST(i AS INT) i, round(sum(k*exp(-0.5E0*pow((i*98.0E0/499.0E0-x)/h,2)))/(first(n)*first(h)*sqrt(2*pi())),8) density FROM w JOIN h ON w.city=h.city, g GROUP BY 1,2""")
 def kde_grid(spark, sf_dir):
     trees, units = load(spark, sf_dir, "fx_trees", "fx_units")
     z = _city(trees, units).select("city", F.col("crown_area_px").cast("double").alias("x"))
-    return T.kde(z, "x", ["city"], 0.0, 98.0, 50).select("city", "i", F.round("density", 8).alias("density"))
+    return T.kde(z, "x", ["city"], 0.0, 98.0, 500).select("city", "i", F.round("density", 8).alias("density"))
 
 
 @query("""WITH s AS (SELECT s_suppkey tile, s_nationkey city, CAST(round(s_acctbal*100) AS BIGINT) a, (s_suppkey*37) % 101 b FROM supplier),

@@ -24,10 +24,13 @@ VIEWS = {
         FROM customer GROUP BY c_nationkey""",
     "fx_inventory": """SELECT event_id AS inv_id, user_id % 20 AS unit_ord, (event_id*4241 % 9973)/9973.0E0*100.0E0 AS x,
         (event_id*3571 % 9967)/9967.0E0*80.0E0 AS y FROM events""",
+    # Even tiles are PAN and odd ones NDVI.  Of ten, three pairs share their base name, one pair only the
+    # tail of it, and in one pair the PAN tile has a tail that no NDVI tile has.
     "fx_tiles": """SELECT s_suppkey AS tile_ord,
-        concat(CASE WHEN s_suppkey % 3=0 THEN 'pred_pan_' ELSE 'pred_ndvi_' END,
-               CAST((s_suppkey*5000) % 35000 AS STRING),'-',CAST((s_suppkey*15000) % 40000 AS STRING),
-               '_austin_036_',CAST(100+s_suppkey % 50 AS STRING),'.tif') AS filename,
+        concat(CASE WHEN s_suppkey % 2=0 THEN 'pred_pan_' ELSE 'pred_ndvi_' END,
+               CAST(((s_suppkey - s_suppkey % 2)*5000 + CASE WHEN s_suppkey % 10 >= 8 THEN s_suppkey % 2*2500 ELSE 0 END) % 35000 AS STRING),'-',
+               CAST(((s_suppkey - s_suppkey % 2)*15000) % 40000 AS STRING),
+               '_austin_036_',CAST(100 + CASE WHEN s_suppkey % 10=4 THEN 50 + s_suppkey % 50 ELSE (s_suppkey - s_suppkey % 2) % 50 END AS STRING),'.tif') AS filename,
         (s_suppkey*37 % 96)*1.0E0 AS x0, (s_suppkey*53 % 96)*1.0E0 AS y0,
         (s_suppkey*37 % 96)+6.0E0 AS x1, (s_suppkey*53 % 96)+6.0E0 AS y1 FROM supplier""",
     "fx_detections": """SELECT l_suppkey AS tile_ord, l_orderkey*10+l_linenumber AS label, l_partkey AS pk,

@@ -242,31 +242,41 @@ def test_dedup_of_no_rows(spark):
 
 
 def test_a_block_of_near_misses_is_seen_whole(spark, monkeypatch):
-    """Entries of one bucket, in blocks of four nodes: every surviving pair of two components, once."""
+    """Buckets of all bands, in blocks of four nodes: every pair of two components that shares one and that
+    signatures and bitmaps let through, once; all that link are among them."""
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 256, 128, dtype=np.uint8)
-    marks = []
-    for _ in range(40):
-        x = base.copy()
-        at = rng.choice(128, rng.integers(0, 60), replace=False)
-        x[at] = rng.integers(0, 256, len(at), dtype=np.uint8)
-        marks.append(x)
-    rows = [(1, k, 100 if k % 5 else 200, k // 3, 40, bytearray(marks[k].tobytes())) for k in range(40)]
+    base = rng.integers(0, 2**63, 900).astype(np.uint64)
+    sets = []
+    for k in range(40):
+        changed = rng.choice(900, rng.integers(0, 160), replace=False)
+        own = base.copy()
+        own[changed] = rng.integers(0, 2**63, len(changed)).astype(np.uint64)
+        sets.append(np.unique(own[: 900 - 10 * (k % 5)]))
+    marks = minhash_dedup.minima(sets)
+    bits = [np.unpackbits(np.frombuffer(minhash_dedup.parity(s), np.uint8)) for s in sets]
+    keys = minhash_dedup.band_keys(marks).view(np.int64)
+    lengths = Counter(keys.reshape(-1).tolist())
+    rows = [(int(keys[k, b]), b, k, len(sets[k]), k // 3, lengths[int(keys[k, b])], bytearray(marks[k].tobytes()), bytearray(minhash_dedup.parity(sets[k]))) for k in range(40) for b in range(32)]
     monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
-    table = spark.createDataFrame(rows, "key long, node long, n long, component long, length long, signature binary")
-    got = {(r.a, r.b): r.apart for r in minhash_dedup.block_pairs(table).collect()}
-    expected = {}
+    table = spark.createDataFrame(rows, "key long, band int, node long, n long, component long, length long, signature binary, parity binary").where("length > 1")
+    got = [(r.a, r.b, r.apart) for r in minhash_dedup.block_pairs(table).collect()]
+    expected, links = [], 0
     for i in range(40):
         for j in range(i + 1, 40):
-            agree = (marks[i] == marks[j]).reshape(-1, 32).sum(1).cumsum()
-            if i // 3 != j // 3 and (i % 5 == 0) == (j % 5 == 0) and (agree >= minhash_dedup.LEAST).all():
-                expected[i, j] = int(128 - agree[-1])
-    assert got == expected and expected
+            a, b, same = len(sets[i]), len(sets[j]), marks[i] == marks[j]
+            agree = same.reshape(-1, 32).sum(1).cumsum()
+            stays = (agree >= minhash_dedup.LEAST).all() and 185 * int((bits[i] != bits[j]).sum()) <= 15 * (a + b) and 100 * min(a, b) >= 85 * max(a, b)
+            if i // 3 != j // 3 and stays and same.reshape(32, 4).all(1).any():
+                expected.append((i, j, int(128 - agree[-1])))
+            if i // 3 != j // 3 and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])):
+                links += 1
+                assert expected[-1][:2] == (i, j)
+    assert sorted(got) == expected and 20 < links <= len(expected) < 500
 
 
 def test_bounds_are_the_posterior():
     """The least agreements are where the posterior first leaves the threshold MISS or more."""
-    t = Fraction(85, 100) + Fraction(15, 25600)
+    t = Fraction(85, 100) + Fraction(15, 6553600)
     for k, least in enumerate(minhash_dedup.LEAST):
         m = 32 * (k + 1)
         tail = [sum(comb(m + 1, x) * t**x * (1 - t) ** (m + 1 - x) for x in range(s + 1)) for s in (least - 1, least)]

@@ -3,36 +3,41 @@
 A document is the set of its distinct 3-word shingles; documents with equal sets
 are one *node*.  Two nodes link when 100 * |A n B| >= 85 * |A u B|.
 
-A node has 128 minimum hashes.  Bands of 4 of them make 32 keys, and nodes that
-share a key are candidates: a pair at the threshold shares none with probability
-(1 - 0.85**4)**32 < 1e-10.  Of each minimum one byte stays as the *signature*.
+A node has 128 minimum hashes, of which 16 bits each stay as its *signature*.
+Bands of 4 of them make 32 keys, and nodes that share a key are candidates: a
+pair at the threshold shares none with probability (1 - 0.85**4)**32 < 1e-10.
 
-Candidates are verified in sequence.  Signatures are compared 32 bytes at a
+Candidates are verified in sequence.  Signatures are compared 32 hashes at a
 time; with a uniform prior the posterior of the similarity after s agreements in
 m is Beta(s + 1, m - s + 1), and a pair goes as soon as the posterior leaves the
-threshold a probability below ``MISS``.  (Bytes agree by chance once in 256,
-which the threshold on agreements counts in; it can only keep more.)  Survivors
-are compared on their whole sets, so every link is exact.
+threshold a probability below ``MISS``.  (Hashes agree by chance once in 65536,
+which the threshold on agreements counts in.)  Survivors are compared on their whole sets,
+so every link is exact.
 
 A bucket never emits all its pairs:
 
-1. Each entry meets its bucket's least node, and in long buckets a few more by
-   other orders.  Survivors are verified, components are formed.
-2. Buckets that span two components stay open.  They are cut into blocks, pairs
-   of two components are compared on signatures inside the tasks, and only
-   survivors leave them.  The nearest pairs of each component are verified first,
-   then what still spans two.
+1. Each node meets, by a few orders of all nodes, the least node that shares a
+   bucket with it.  Survivors are verified, components are formed.
+2. Buckets that span two components stay open, and each of their nodes meets the
+   least one of another component; components grow.
+3. The nodes of what is still open get a parity bitmap of their whole sets: its
+   bits that differ are a lower bound of the shingles in one of two sets alone.
+   Buckets are cut into blocks, pairs of two components are compared inside the
+   tasks, by batches of signatures and then by bitmaps, and only survivors leave
+   them, each from the first band that its nodes share.  The nearest pairs of each
+   component are verified first, then what still spans two.
 
 No candidate pair of two components goes unseen, and a group of near copies
 costs a star.  A bucket of many nodes of which no two link is compared in blocks
 of ``BLOCK`` by ``BLOCK`` nodes: its time grows with the square of its nodes,
-its memory and what it emits do not.
+its memory does not, and what it emits are pairs that link or all but do.  Only
+of sets with far more shingles than a bitmap has bits more pairs come through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -45,26 +50,28 @@ from verdance.llm.components import components
 from verdance.llm.ngram_jaccard import Packer, _by_bucket, _few, _labelled, _let_through, _named, _unpacked, across, clashing_names, id_filter, joined, names_of, nearest, node_of, with_component
 
 WIDTH, PERCENT = 3, 85
-HASHES, ROWS, BATCH = 128, 4, 32
+#: Hashes of a node, of a band and of a batch, and bits of a parity bitmap.
+HASHES, ROWS, BATCH, BITS = 128, 4, 32, 4096
 BANDS = HASHES // ROWS
 #: Probability that the posterior may leave the threshold when a pair goes.
 MISS = 1e-8
-LONG, CENTRES, BLOCK, FLUSH = 12, 4, 1024, 400_000
-#: Texts of one slice, and the ids that a task remembers to send equal nodes once.
+#: Orders by which a node meets the least of its buckets, nodes of a block, and entries that a task packs at once.
+ORDERS, BLOCK, FLUSH = 4, 1024, 400_000
+#: Nodes that a task remembers, to send equal ones once.
 SEEN = 200_000
 
 
 def least_agreements(miss: float = MISS, percent: int = PERCENT) -> list[int]:
-    """For each batch, the least agreements so far with which a pair stays.
+    """For each batch, after which m hashes are compared, the least agreements with which a pair stays.
 
     P(Beta(s + 1, m - s + 1) >= t) is P(Binomial(m + 1, t) <= s)."""
-    t = percent / 100 + (1 - percent / 100) / 256
+    t = percent / 100 + (1 - percent / 100) / 65536
     found = []
     for m in range(BATCH, HASHES + 1, BATCH):
         below, s = 0.0, -1
         while below < miss:
             s += 1
-            below += comb(m + 1, s) * t**s * (1 - t) ** (m + 1 - s)
+            below += exp(lgamma(m + 2) - lgamma(s + 1) - lgamma(m + 2 - s) + s * log(t) + (m + 1 - s) * log(1 - t))
         found.append(s)
     return found
 
@@ -78,7 +85,7 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, HASHES) of 32-bit minimum hashes of sets that are not empty."""
+    """(sets, HASHES) of minimum hashes, 16 bits of each, of sets that are not empty."""
     x = np.concatenate(sets)
     at = np.cumsum([0, *(len(s) for s in sets[:-1])])
     out = np.empty((len(sets), HASHES), np.uint32)
@@ -88,16 +95,13 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
         held += b
         held >>= high
         out[:, k] = np.minimum.reduceat(held.astype(np.uint32), at)
-    return out
+    return out.astype(np.uint16)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     """(sets, BANDS) of 64-bit keys; equal rows of equal bands have equal keys."""
-    pairs = np.ascontiguousarray(least).view(np.uint64).reshape(len(least), BANDS, ROWS // 2)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), pairs.shape[:2]).copy()
-    for k in range(ROWS // 2):
-        keys = K.mix(keys ^ K.mix(pairs[:, :, k]))
-    return keys
+    bands = np.ascontiguousarray(least).view(np.uint64)
+    return K.mix(K.mix(bands) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -115,7 +119,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             keys = list(marks)
             if full:
                 least = minima([sets[k] for k in full])
-                for k, mark, key in zip(full, least.astype(np.uint8), band_keys(least)):
+                for k, mark, key in zip(full, least, band_keys(least)):
                     marks[k], keys[k] = mark.tobytes(), key.tobytes()
             columns = [[len(s) for s in sets], [a for a, _ in names], [b for _, b in names]]
             yield pa.RecordBatch.from_arrays(
@@ -127,11 +131,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _packed_keys(nodes: DataFrame, buckets: int) -> DataFrame:
-    """Packed (key, node, size) of all bands; a node that a task has sent lately it sends not again."""
+    """Packed (key, node, size, band) of all bands; a node that a task has sent lately it sends not again."""
 
     @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen, none = Packer(buckets), set(), np.zeros(BANDS, np.int32)
+        packer, seen, bands = Packer(buckets), set(), np.arange(BANDS, dtype=np.int32)
         for batch in batches:
             for node, n, keys in zip(batch.column("node").to_pylist(), batch.column("n_shingles").to_pylist(), batch.column("keys").to_pylist()):
                 if node in seen:
@@ -139,7 +143,7 @@ def _packed_keys(nodes: DataFrame, buckets: int) -> DataFrame:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(node)
-                packer.add(np.frombuffer(keys, np.uint64), node, n, none)
+                packer.add(np.frombuffer(keys, np.uint64), node, n, bands)
                 if packer.held >= FLUSH:
                     yield packer.flush()
         if packer.held:
@@ -148,43 +152,49 @@ def _packed_keys(nodes: DataFrame, buckets: int) -> DataFrame:
     return nodes.where("keys IS NOT NULL").select("node", "n_shingles", "keys").mapInArrow(run, "bucket int, body binary")
 
 
+def _order(node: np.ndarray, k: int) -> np.ndarray:
+    """Places of nodes in the k-th order of all of them."""
+    return (K.mix(node.view(np.uint64) + np.uint64(k)) >> np.uint64(1)).astype(np.int64)
+
+
 def bucket_entries(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, centres) of the buckets of two nodes or more.
+    """(key, band, node, n, least) of the buckets of two nodes or more.
 
-    ``centres`` are the bucket's least node and, in long buckets, the least by
-    other orders, of sizes that may link; the own node is left out."""
+    ``least`` has, for each order, the place and the name of the bucket's least
+    node; null where that is the own one, or of a size that cannot link."""
     parts = tables.partitions(nodes.sparkSession)
 
     @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bodies in _by_bucket(batches):
-            key, node, n, _ = _unpacked(bodies)
+            key, node, n, band = _unpacked(bodies)
             by = np.lexsort((node, key))
-            key, node, n = key[by], node[by], n[by]
+            key, node, n, band = key[by], node[by], n[by], band[by]
             new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-            key, node, n = key[new], node[new], n[new]
-            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            lengths = np.diff(np.append(at, len(key)))
-            of = np.repeat(lengths, lengths)
-            keep = of > 1
-            key, node, n, of = key[keep], node[keep], n[keep], of[keep]
+            key, node, n, band = key[new], node[new], n[new], band[new]
+            lengths = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)))
+            keep = np.repeat(lengths, lengths) > 1
+            key, node, n, band, lengths = key[keep], node[keep], n[keep], band[keep], lengths[lengths > 1]
             if not len(key):
                 continue
-            lengths = lengths[lengths > 1]
             begin, group = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
-            centres = np.full((len(key), CENTRES), -1, np.int64)
-            centres[:, 0] = np.repeat(begin, lengths)
-            for k in range(1, CENTRES):
-                order = np.lexsort((K.mix(node.view(np.uint64) + np.uint64(k)), group))
-                centres[:, k] = np.where(of >= LONG, np.repeat(order[begin], lengths), -1)
-            m = np.where(centres >= 0, n[centres], 0)
-            may = (centres >= 0) & (node[centres] != node[:, None]) & (100 * np.minimum(m, n[:, None]) >= PERCENT * np.maximum(m, n[:, None]))
-            where = np.append(0, np.cumsum(may.sum(1))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(where), pa.array(node[centres][may]))
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(node), pa.array(n), lists], ["key", "node", "n", "centres"])
+            columns = []
+            for k in range(ORDERS):
+                place = _order(node, k)
+                first = np.repeat(np.lexsort((place, group))[begin], lengths)
+                may = (first != np.arange(len(node))) & (100 * np.minimum(n[first], n) >= PERCENT * np.maximum(n[first], n))
+                columns.append(pa.StructArray.from_arrays([pa.array(place[first]), pa.array(node[first])], ["place", "node"], mask=pa.array(~may)))
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(key)), pa.array(band.astype(np.int32)), pa.array(node), pa.array(n), *columns], ["key", "band", "node", "n", *(f"c{k}" for k in range(ORDERS))])
 
     dealt = _packed_keys(nodes, 3 * parts).repartition(parts, "bucket")
-    return dealt.mapInArrow(run, "key long, node long, n long, centres array<long>")
+    return dealt.mapInArrow(run, "key long, band int, node long, n long, " + ", ".join(f"c{k} struct<place: long, node: long>" for k in range(ORDERS)))
+
+
+def stars(entries: DataFrame) -> DataFrame:
+    """(a, b): each node with the least of its buckets, by each order."""
+    least = entries.groupBy("node").agg(*[F.min(f"c{k}").alias(f"c{k}") for k in range(ORDERS)])
+    met = least.select("node", F.explode(F.array_compact(F.array(*[F.col(f"c{k}.node") for k in range(ORDERS)]))).alias("to"))
+    return met.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,8 +209,25 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return alive, count
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+def _rows(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Whether each of ``BITS`` bits is the hash of an odd number of the set's shingles."""
+    return np.packbits((np.bincount((K.mix(s) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(node, parity) of (node, body)."""
+
+    @K.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [parity(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.binary())], ["node", "parity"])
+
+    return sets.mapInArrow(run, "node long, parity binary")
 
 
 def surviving(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -282,25 +309,40 @@ def grown(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_entries(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, node, n, component, length) of the buckets that span two components, as a written table."""
-    own = tables.written(with_component(entries.select("key", "node", "n"), found), "entries")
+    """(key, band, node, n, component, length, lo, hi) of the buckets that span two components, as a written table."""
+    own = tables.written(with_component(entries.select("key", "band", "node", "n"), found), "entries")
     spans = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("length"))
-    spans = tables.written(spans.where("lo < hi").select("key", "length"), "spans")
+    spans = tables.written(spans.where("lo < hi"), "spans")
     open_ = tables.written(own.join(spans, "key"), "open")
     tables.drop(own, spans)
     return open_
 
 
+def hooks(entries: DataFrame) -> DataFrame:
+    """(a, b): each node of open buckets with the least one of another component that shares a bucket, by two orders.
+
+    Of each bucket only the least node of its first and of its last component is looked at."""
+    size = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
+    place = F.xxhash64("node", F.lit(1))
+    heads = entries.where("component = lo OR component = hi").groupBy("key", "component").agg(F.min(F.struct(place.alias("place"), F.col("node").alias("to"), F.col("n").alias("m"))).alias("h"))
+    met = entries.select("key", "node", "n", F.col("component").alias("own")).join(heads, "key").where("component != own")
+    met = met.select("node", "n", "component", "own", F.col("h.place").alias("place"), F.col("h.to").alias("to"), F.col("h.m").alias("m")).where(size)
+    least = met.groupBy("node").agg(F.min(F.struct("place", "to"))["to"].alias("one"), F.max(F.struct("place", "to"))["to"].alias("two"))
+    both = least.select("node", F.explode(F.array("one", "two")).alias("to"))
+    return both.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+
+
 def block_pairs(entries: DataFrame) -> DataFrame:
     """(a, b, apart) of pairs of two components that share a bucket and survive.
 
     A long bucket is cut into blocks by a hash of the node; each pair of its
     blocks is a unit of its own, and pairs are compared there, a bounded number at
-    a time.  ``apart`` counts the signature's bytes that disagree."""
+    a time.  A pair leaves from the first band on which its signatures agree, so
+    once.  ``apart`` counts the hashes that disagree."""
     blocks = F.ceil(F.col("length") / BLOCK)
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     units = entries.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    units = units.select("key", F.least("block", "with").alias("u"), F.greatest("block", "with").alias("v"), "block", "node", "n", "component", "signature")
+    units = units.select("key", F.least("block", "with").alias("u"), F.greatest("block", "with").alias("v"), "band", "block", "node", "n", "component", "signature", "parity")
     unit = ["key", "u", "v"]
     dealt = units.repartition(tables.partitions(entries.sparkSession), *unit).sortWithinPartitions(*unit)
 
@@ -320,8 +362,8 @@ def block_pairs(entries: DataFrame) -> DataFrame:
 
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             start = marks(rows)
-            node, n, component, block, u, v = (rows.column(c).to_numpy() for c in ("node", "n", "component", "block", "u", "v"))
-            signature = _rows(rows.column("signature"))
+            node, n, component, band, block, u, v = (rows.column(c).to_numpy() for c in ("node", "n", "component", "band", "block", "u", "v"))
+            signature, bits = _rows(rows.column("signature")), _rows(rows.column("parity"), np.uint64)
             end = np.repeat(np.append(start[1:], len(node)), np.diff(np.append(start, len(node))))
             later = end - np.arange(len(end)) - 1
             sums = np.append(0, np.cumsum(later))
@@ -336,7 +378,12 @@ def block_pairs(entries: DataFrame) -> DataFrame:
                 for k in range(0, len(i), 100_000):
                     one, two = i[k : k + 100_000], j[k : k + 100_000]
                     alive, count = agreeing(signature[one], signature[two])
-                    x, y = node[one[alive]], node[two[alive]]
+                    one, two = one[alive], two[alive]
+                    first = (signature[one] == signature[two]).reshape(-1, BANDS, ROWS).all(2).argmax(1)
+                    one, two, count = (c[first == band[one]] for c in (one, two, count))
+                    alone = np.bitwise_count(bits[one] ^ bits[two]).sum(1, dtype=np.int64)
+                    near = (100 + PERCENT) * alone <= (100 - PERCENT) * (n[one] + n[two])
+                    x, y, count = node[one[near]], node[two[near]], count[near]
                     found.update(zip(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()), (HASHES - count).tolist()))
                     if len(found) >= 200_000:
                         yield give()
@@ -356,7 +403,7 @@ def block_pairs(entries: DataFrame) -> DataFrame:
         if found:
             yield give()
 
-    return dealt.mapInArrow(run, "a long, b long, apart long").groupBy("a", "b").agg(F.max("apart").alias("apart"))
+    return dealt.mapInArrow(run, "a long, b long, apart long")
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,18 +425,22 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = tables.written(bucket_entries(nodes), "buckets")
     marks = nodes.select("node", "signature").join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature"))
     marks = tables.written(marks, "marks")
-    stars = entries.select("node", F.explode("centres").alias("to")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
-    found = components(verified(tables.written(stars.distinct(), "stars"), docs, nodes, marks, clashing))
+    found = components(verified(tables.written(stars(entries), "stars"), docs, nodes, marks, clashing))
 
     open_ = open_entries(entries, found)
     tables.drop(entries)
-    pairs = tables.written(block_pairs(open_.join(marks, "node")), "pairs")
-    sets = whole_sets(docs, nodes, ends(pairs), clashing)
+    found = grown(found, verified(tables.written(hooks(open_), "hooks"), docs, nodes, marks, clashing))
+
+    still = open_entries(open_, found)
+    tables.drop(open_)
+    sets = whole_sets(docs, nodes, still.select("node").distinct(), clashing)
+    bits = tables.written(marks.join(parities(sets), "node"), "bits")
+    pairs = tables.written(block_pairs(still.join(bits, "node")), "pairs")
     tried = tables.written(nearest(across(pairs, found)), "nearest")
     found = grown(found, linked(tried, sets))
     rest = tables.written(across(pairs.join(tried, ["a", "b"], "left_anti"), found), "rest")
     found = grown(found, linked(rest, sets))
-    tables.drop(open_, pairs, sets, tried, rest, marks)
+    tables.drop(still, pairs, sets, tried, rest, marks, bits)
     return _labelled(nodes, found).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -436,11 +436,12 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = whole_sets(docs, nodes, still.select("node").distinct(), clashing)
     bits = tables.written(marks.join(parities(sets), "node"), "bits")
     pairs = tables.written(block_pairs(still.join(bits, "node")), "pairs")
-    tried = tables.written(nearest(across(pairs, found)), "nearest")
+    crossing = tables.written(across(pairs, found), "across")
+    tried = tables.written(nearest(crossing), "nearest")
     found = grown(found, linked(tried, sets))
     rest = tables.written(across(pairs.join(tried, ["a", "b"], "left_anti"), found), "rest")
     found = grown(found, linked(rest, sets))
-    tables.drop(still, pairs, sets, tried, rest, marks, bits)
+    tables.drop(still, pairs, crossing, sets, tried, rest, marks, bits)
     return _labelled(nodes, found).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

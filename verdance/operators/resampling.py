@@ -141,7 +141,7 @@ def student_p_sql(t: str, dof: str) -> str:
     theta, c2 = f"atan(abs({t})/sqrt({dof}))", f"({dof}/({dof}+{t}*{t}))"
     even = f"list_sum(list_transform(range(CAST({dof}//2 AS BIGINT)), lambda k: exp(lgamma(k+0.5E0)-lgamma(0.5E0)-lgamma(k+1))*pow({c2},k)))"
     odd = f"coalesce(list_sum(list_transform(range(CAST(({dof}-1)//2 AS BIGINT)), lambda k: exp(lgamma(k+1)-lgamma(k+1.5E0)+lgamma(1.5E0))*pow({c2},k))),0.0E0)"
-    return f"greatest(0.0E0, 1-CASE WHEN {dof} % 2=1 THEN 2/pi()*({theta}+sin({theta})*cos({theta})*{odd}) ELSE sin({theta})*{even} END)"
+    return f"CASE WHEN {dof}>=1 THEN greatest(0.0E0, 1-CASE WHEN {dof} % 2=1 THEN 2/pi()*({theta}+sin({theta})*cos({theta})*{odd}) ELSE sin({theta})*{even} END) END"
 
 
 def path_models(df: DataFrame, x: str, m: str, y: str, by: list[str], absorb: str | None = None) -> DataFrame:

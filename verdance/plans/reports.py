@@ -628,14 +628,14 @@ _PATHS = f"""f AS (SELECT *, n-g-1 d1, n-g-2 d2, xm/xx a, xy/xx total, (xy*mm-my
 _ROUNDED = ("a", "p_a", "b", "p_b", "c_prime", "p_c_prime", "total", "p_total", "indirect", "proportion")
 
 
-@query(f"WITH {_Z}, s AS (SELECT city, count(*) n, 1 g, {_SUMS} FROM z GROUP BY 1), {_PATHS.replace(' SELECT *, greatest', ', e AS (SELECT *, greatest', 1)}) SELECT city, n, {', '.join(f'round({c},5) {c}' for c in _ROUNDED)} FROM e")
+@query(f"WITH {_Z}, s AS (SELECT city, count(*) n, 1 g, {_SUMS} FROM z GROUP BY 1), {_PATHS.replace(' SELECT *, CASE', ', e AS (SELECT *, CASE', 1)}) SELECT city, n, {', '.join(f'round({c},5) {c}' for c in _ROUNDED)} FROM e")
 def mediation(spark, sf_dir):
     """The paths of each city on standard scores, with their p."""
     paths = B.path_models(_standard(spark, sf_dir), "x", "m", "y", ["city"])
     return paths.select("city", "n", *[F.round(c, 5).alias(c) for c in _ROUNDED])
 
 
-@query(f"WITH {_Z}, k AS (SELECT z.* FROM z WHERE city IN (SELECT city FROM z GROUP BY 1 HAVING count(*)>=5)), s AS (SELECT count(*) n, count(DISTINCT city) g, {_SUMS} FROM k HAVING count(DISTINCT city)>=2), {_PATHS.replace(' SELECT *, greatest', ', e AS (SELECT *, greatest', 1)}) SELECT n, {', '.join(f'round({c},5) {c}' for c in _ROUNDED)} FROM e")
+@query(f"WITH {_Z}, k AS (SELECT z.* FROM z WHERE city IN (SELECT city FROM z GROUP BY 1 HAVING count(*)>=5)), s AS (SELECT count(*) n, count(DISTINCT city) g, {_SUMS} FROM k HAVING count(DISTINCT city)>=2), {_PATHS.replace(' SELECT *, CASE', ', e AS (SELECT *, CASE', 1)}) SELECT n, {', '.join(f'round({c},5) {c}' for c in _ROUNDED)} FROM e")
 def mediation_pooled(spark, sf_dir):
     """All cities of five units or more, with a constant for each; none if there are fewer than two."""
     z = _standard(spark, sf_dir)

@@ -57,12 +57,35 @@ def fits(rule: tuple[str, str, str]) -> Column:
 
 
 def _windows(urls: DataFrame, order: int) -> DataFrame:
-    """(url, window) for each place: ``order`` characters of context and one more."""
+    """(k, label, n, window) for each place: ``order`` characters of context and one more.
+
+    The address is cut into characters once and windows are put together out of
+    these, so the work is linear in its length; places carry its digest ``k``."""
     padded = F.concat(F.lit(_EDGE * order), F.col("url"), F.lit(_EDGE))
-    at = F.sequence(F.lit(1), F.char_length("url") + 1)
-    return urls.withColumn("_p", padded).select(
-        "url", "label", "n", F.explode(F.transform(at, lambda i: F.substring(F.col("_p"), i, F.lit(order + 1)))).alias("w")
-    )
+    at = F.sequence(F.lit(0), F.char_length("url"))
+    window = lambda i: F.concat(*[F.get(F.col("_p"), i + j) for j in range(order + 1)])
+    cut = urls.select(F.md5("url").alias("k"), "label", "n", F.split(padded, "").alias("_p"), at.alias("_at"))
+    return cut.select("k", "label", "n", F.explode(F.transform("_at", window)).alias("w"))
+
+
+#: A window found in one of this many places or more is frequent; there are at most as many of them.
+_FREQUENT = 1024
+
+
+def _summed(places: DataFrame, ratio: DataFrame) -> DataFrame:
+    """(k, score): mean of the windows' ratios.
+
+    Windows that very many places share (such as ``http:``) would be hot keys.
+    Those that hold one place in ``_FREQUENT`` or more are at most that many
+    rows of ``order + 1`` characters, and are broadcast; all others are joined
+    by a shuffle, where none is hot."""
+    total = ratio.agg(F.sum("places")).first()[0] or 0
+    frequent = F.col("places") * _FREQUENT >= total
+    often = ratio.where(frequent).select("w", F.col("d").alias("_d"))
+    marked = places.select("k", "w").join(F.broadcast(often), "w", "left")
+    rare = marked.where("_d IS NULL").select("k", "w").join(ratio.where(~frequent).select("w", "d"), "w")
+    each = marked.where("_d IS NOT NULL").select("k", F.col("_d").alias("d")).unionByName(rare.select("k", "d"))
+    return each.groupBy("k").agg((F.sum("d") / F.count("*")).alias("score"))
 
 
 def language_model_scores(urls: DataFrame, order: int = ORDER) -> DataFrame:
@@ -81,7 +104,7 @@ def language_model_scores(urls: DataFrame, order: int = ORDER) -> DataFrame:
         )
     )
     counted = tables.written(counted, "url-grams")
-    scored = places.groupBy("w").count().select("w")
+    scored = places.groupBy("w").agg(F.count("*").alias("places"))
     none = {"a": 0.0, "b": 0.0, "ca": 0.0, "cb": 0.0, "ta": 0.0, "tb": 0.0}
     pa: Column = F.lit(1.0 / _ALPHABET)
     pb: Column = F.lit(1.0 / _ALPHABET)
@@ -108,10 +131,10 @@ def language_model_scores(urls: DataFrame, order: int = ORDER) -> DataFrame:
             return F.when(whole == 0, F.col(p)).otherwise((F.col(n) + F.col(kinds) * F.col(p)) / whole)
 
         scored = scored.select(
-            "w", step("pa", "a", "ca", "ta").alias("pa"), step("pb", "b", "cb", "tb").alias("pb")
+            "w", "places", step("pa", "a", "ca", "ta").alias("pa"), step("pb", "b", "cb", "tb").alias("pb")
         )
-    ratio = tables.written(scored.select("w", (F.log("pa") - F.log("pb")).alias("d")), "url-ratios")
-    return places.join(ratio, "w").groupBy("url").agg((F.sum("d") / F.count("*")).alias("score"))
+    ratio = tables.written(scored.select("w", "places", (F.log("pa") - F.log("pb")).alias("d")), "url-ratios")
+    return urls.select("url", F.md5("url").alias("k")).join(_summed(places, ratio), "k").select("url", "score")
 
 
 def calibrated_cut(scores: DataFrame, bins: int = 4096) -> float:
@@ -169,7 +192,7 @@ def url_filter(
     pass through; columns named like the new ones are replaced."""
     spark = pages.sparkSession
     made = ["host", "path", "rule", "verdict", "lm_score"]
-    keep = [c for c in pages.columns if c not in made]
+    keep = [c for c in pages.columns if c.lower() not in made]
     ranked = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for r in reversed(ranked):

@@ -41,6 +41,15 @@ VIEWS = {
         (c_custkey*6101 % 9967)/9967.0E0*95.0E0 AS py FROM customer""",
     "fx_pixels": """SELECT l_suppkey % 8 AS tile_ord, l_partkey % 64 AS r, l_orderkey % 64 AS c,
         CAST(max(l_quantity) AS DOUBLE)/50.0E0 AS v FROM lineitem WHERE l_discount < 0.03E0 GROUP BY 1,2,3""",
+    # Tiles of 256 pixels, with discs in slots of 16 that never touch, some without a quarter, some a line, all in a
+    # faint halo.  Every fourth tile has few.
+    "fx_crowns": """SELECT tile_ord, crown, rad*4+CASE WHEN crown%3=0 THEN 2 ELSE 0 END+CASE WHEN crown%7=0 THEN 1 ELSE 0 END AS kind, mr+dr AS r, mc+dc AS c,
+        CASE WHEN dr*dr+dc*dc<=rad*rad AND NOT (crown%3=0 AND dr>0 AND dc>0) AND NOT (crown%7=0 AND dr<>0)
+          THEN 0.31E0+((crown*31+dr*7+dc*3+100)%60)/100.0E0 ELSE 0.25E0 END AS v
+        FROM (SELECT CAST((c_custkey-c_custkey%30)/30 AS BIGINT) AS tile_ord, CAST(c_custkey AS BIGINT) AS crown, CAST(1+c_custkey%6 AS BIGINT) AS rad,
+            CAST((c_custkey*37)%256-((c_custkey*37)%256)%16+8 AS BIGINT) AS mr, CAST(16*(((c_custkey*37)%256)%16)+8 AS BIGINT) AS mc FROM customer) m
+        JOIN (SELECT CAST(a.n_nationkey-7 AS BIGINT) AS dr, CAST(b.n_nationkey-7 AS BIGINT) AS dc FROM nation a JOIN nation b ON a.n_nationkey<15 AND b.n_nationkey<15) d
+          ON dr*dr+dc*dc<=(rad+1)*(rad+1) WHERE NOT (tile_ord%4=3 AND crown%30>3)""",
 }
 
 

@@ -651,4 +651,4 @@ def mediation_interval(spark, sf_dir):
     return B.indirect_interval(_standard(spark, sf_dir), "x", "m", "y", "id", ["city"])
 
 
-from verdance.plans import details, models, overlays, readers, tiles  # noqa: E402, F401  register their queries
+from verdance.plans import cascades, details, models, overlays, readers, tiles  # noqa: E402, F401  register their queries

@@ -50,6 +50,18 @@ VIEWS = {
             CAST((c_custkey*37)%256-((c_custkey*37)%256)%16+8 AS BIGINT) AS mr, CAST(16*(((c_custkey*37)%256)%16)+8 AS BIGINT) AS mc FROM customer) m
         JOIN (SELECT CAST(a.n_nationkey-7 AS BIGINT) AS dr, CAST(b.n_nationkey-7 AS BIGINT) AS dc FROM nation a JOIN nation b ON a.n_nationkey<15 AND b.n_nationkey<15) d
           ON dr*dr+dc*dc<=(rad+1)*(rad+1) WHERE NOT (tile_ord%4=3 AND crown%30>3)""",
+    # Names of nations in forms that go down the list with the nation's number, in either case, some with a blank behind.
+    "fx_places": """SELECT place, name_ AS name, CASE WHEN place%2=0 THEN 'x City' ELSE 'x CDP' END AS legal, concat(CASE WHEN place%9=0 THEN '5915' ELSE '4800' END, CAST(place AS STRING)) AS code,
+        place*10.0E0 AS x0, 0.0E0 AS y0, place*10.0E0+1.0E0+place%8 AS x1, 0.5E0 AS y1, (1.0E0+place%8)*0.5E0 AS area
+        FROM (SELECT place, concat(CASE WHEN place%3=0 THEN upper(form) ELSE form END, CASE WHEN place%4=0 THEN ' ' ELSE '' END) AS name_
+          FROM (SELECT CAST(c_custkey AS BIGINT) AS place, CASE WHEN v<n%7 OR v=5 THEN concat('Hamlet ',CAST(c_custkey AS STRING)) WHEN v=0 THEN own WHEN v=1 THEN concat(own,' city') WHEN v=2 THEN concat('City of ',own)
+              WHEN v=3 THEN concat(own,' town') WHEN v=4 THEN concat('Town of ',own) ELSE concat('Greater ',own,' area') END AS form
+            FROM (SELECT c_custkey, c_custkey%25 AS n, ((c_custkey-c_custkey%25)/25)%8 AS v, concat('Nation_',CAST(c_custkey%25 AS STRING)) AS own FROM customer) c1) c2) c3""",
+    # Cutouts with offsets or a patch number, one in six of no known city, one in eight without a whole tile id.
+    "fx_cutouts": """SELECT CAST(c_custkey AS BIGINT) AS k, concat(CASE WHEN c_custkey%2=0 THEN 'pred_pan_' ELSE 'pred_ndvi_' END,
+        CASE WHEN c_custkey%9=0 THEN concat('patch_',CAST(c_custkey AS STRING)) ELSE concat(CAST(c_custkey*256 AS STRING),'-',CAST(c_custkey%7*256 AS STRING)) END,
+        CASE c_custkey%6 WHEN 0 THEN '_austin_' WHEN 1 THEN '_bloomington_' WHEN 2 THEN '_cupertino_' WHEN 3 THEN '_Surrey_' WHEN 4 THEN '_boston_' ELSE '_austin_' END,
+        CASE WHEN c_custkey%8=7 THEN '36' ELSE concat('036_',CAST(100+c_custkey%10 AS STRING)) END,'.tif') AS filename FROM customer""",
 }
 
 

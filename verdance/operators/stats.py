@@ -15,11 +15,19 @@ def average_rank(x: str, by: list[str]) -> Column:
     return F.rank().over(order) + (F.count("*").over(W.partitionBy(*by, x)) - 1) / F.lit(2.0)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's, as an aggregate; NaN where x or y does not vary."""
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    return F.coalesce(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)), F.lit(float("nan")))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str], least: int = 5) -> DataFrame:
-    """(by, n_units, rho); rows with a null in x or y are left out, groups below ``least`` too."""
+    """(by, n_units, rho); rows with a null in x or y are left out, groups below ``least`` too.
+
+    A group where x or y is the same throughout has a rho of NaN."""
     clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = clean.withColumn("_rx", average_rank(x, by)).withColumn("_ry", average_rank(y, by))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n_units"), F.round(F.corr("_rx", "_ry"), 6).alias("rho")).where(F.col("n_units") >= least)
+    return ranked.groupBy(*by).agg(F.count("*").alias("n_units"), F.round(correlation("_rx", "_ry"), 6).alias("rho")).where(F.col("n_units") >= least)
 
 
 def two_sided_p(rho: float | None, n: int) -> float | None:

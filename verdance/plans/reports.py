@@ -598,7 +598,7 @@ def spearman_p(spark, sf_dir):
     rows = T.spearman(_xym(spark, sf_dir), "x", "y", ["city"])
     dof = F.col("n_units") - 2
     t = F.col("rho") * F.sqrt(dof / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
-    p = F.when(F.abs("rho") >= 1, 0.0).otherwise(B.student_p(t, dof))
+    p = F.when(F.isnan("rho"), F.col("rho")).when(F.abs("rho") >= 1, 0.0).otherwise(B.student_p(t, dof))
     return rows.withColumn("p", p).withColumn("stars", C.stars(F.col("p"))).withColumn("p", F.round("p", 8))
 
 

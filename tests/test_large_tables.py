@@ -3,10 +3,17 @@
 import math
 
 from verdance.operators import stats as T
-from verdance.plans import details, reports
+from verdance.plans import details
 
 
 def test_spearman_of_a_group_without_spread(spark):
     rows = [(1, float(k), 7.0) for k in range(6)] + [(2, float(k), float(k * k)) for k in range(6)]
     found = {r["city"]: r["rho"] for r in T.spearman(spark.createDataFrame(rows, "city long, x double, y double"), "x", "y", ["city"]).collect()}
     assert math.isnan(found[1]) and found[2] == 1.0
+
+
+def test_tiles_of_one_value_are_stretched_to_one(spark, monkeypatch):
+    pixels = spark.createDataFrame([(0, k, 0, 1.0) for k in range(99)] + [(0, 99, 0, 0.5), (1, 0, 0, 0.5)], "tile_ord long, r long, c long, v double")
+    monkeypatch.setattr(details, "load", lambda *_: (pixels,))
+    found = {r["tile_ord"]: (r["mean"], r["stretched"]) for r in details.ndvi_rescaled(spark, "").collect()}
+    assert found == {0: (0.99, 0.99), 1: (0.0, 1.0)}

@@ -206,7 +206,9 @@ def ndvi_rescaled(spark, sf_dir):
     s = g.join(m, "tile_ord").select("tile_ord", n.alias("n"))
     q = s.groupBy("tile_ord").agg(F.percentile("n", 0.02).alias("a"), F.percentile("n", 0.98).alias("b"))
     n = F.col("n")
-    stretch = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n - F.col("a")) / (F.col("b") - F.col("a"))))
+    # a tile whose percentiles are equal has no width to stretch over: what is not below them is 1
+    width = F.nullif(F.col("b") - F.col("a"), F.lit(0.0))
+    stretch = F.when(width.isNull(), F.when(n < F.col("a"), 0.0).otherwise(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (n - F.col("a")) / width)))
     return s.join(q, "tile_ord").groupBy("tile_ord").agg(F.round(F.avg(n), 6).alias("mean"), F.round(F.avg(stretch), 6).alias("stretched"), ((F.stddev_pop(n) < 1e-3) | (F.max(F.abs(n)) < 1e-3)).alias("blank"))
 
 

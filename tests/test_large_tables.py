@@ -3,7 +3,7 @@
 import math
 
 from verdance.operators import stats as T
-from verdance.plans import details
+from verdance.plans import details, reports
 
 
 def test_spearman_of_a_group_without_spread(spark):
@@ -17,3 +17,10 @@ def test_tiles_of_one_value_are_stretched_to_one(spark, monkeypatch):
     monkeypatch.setattr(details, "load", lambda *_: (pixels,))
     found = {r["tile_ord"]: (r["mean"], r["stretched"]) for r in details.ndvi_rescaled(spark, "").collect()}
     assert found == {0: (0.99, 0.99), 1: (0.0, 1.0)}
+
+
+def test_coverage_by_all_tiles(spark, monkeypatch):
+    tiles = spark.createDataFrame([(0, 90.0, 90.0, 96.0, 96.0)], "tile_ord long, x0 double, y0 double, x1 double, y1 double")
+    units = reports.load(spark, "/root/testdata/sf0.001", "fx_units")[0]
+    monkeypatch.setattr(reports, "load", lambda *_: (tiles, units))
+    assert [r["unit_ord"] for r in reports.coverage_semi(spark, "").collect()] == [24]

@@ -322,11 +322,11 @@ def tile_unit_count(spark, sf_dir):
     return units.select("unit_ord").join(hits, "unit_ord", "left").select("unit_ord", F.coalesce("n", F.lit(0)).alias("n_tiles"))
 
 
-@query("SELECT unit_ord FROM fx_units u WHERE EXISTS (SELECT 1 FROM fx_tiles t WHERE t.x0<45 AND u.x0<=t.x1+0.5E0 AND t.x0-0.5E0<=u.x1 AND u.y0<=t.y1+0.5E0 AND t.y0-0.5E0<=u.y1)")
+@query("SELECT unit_ord FROM fx_units u WHERE EXISTS (SELECT 1 FROM fx_tiles t WHERE u.x0<=t.x1+0.5E0 AND t.x0-0.5E0<=u.x1 AND u.y0<=t.y1+0.5E0 AND t.y0-0.5E0<=u.y1)")
 def coverage_semi(spark, sf_dir):
-    """Units that the western tiles cover, or come within half a step of."""
+    """Units that tiles cover, or come within half a step of."""
     tiles, units = load(spark, sf_dir, "fx_tiles", "fx_units")
-    right = tiles.where("x0 < 45").select("tile_ord", F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
+    right = tiles.select("tile_ord", F.col("x0").alias("u0"), F.col("y0").alias("v0"), F.col("x1").alias("u1"), F.col("y1").alias("v1"))
     return units.join(S.boxes_touching(units, right, 20.0, grow=0.5), "unit_ord", "left_semi").select("unit_ord")
 
 

@@ -2,6 +2,10 @@
 
 import math
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from verdance.operators import spatial as S
 from verdance.operators import stats as T
 from verdance.plans import details, reports
 
@@ -24,3 +28,39 @@ def test_coverage_by_all_tiles(spark, monkeypatch):
     units = reports.load(spark, "/root/testdata/sf0.001", "fx_units")[0]
     monkeypatch.setattr(reports, "load", lambda *_: (tiles, units))
     assert [r["unit_ord"] for r in reports.coverage_semi(spark, "").collect()] == [24]
+
+
+def _crowd(spark):
+    """Points of a few tiles on a coarse lattice, most of them copies; two have no place."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(t), float(x) / 10, float(y) / 10) for k, (t, x, y) in enumerate(rng.integers(0, (9, 30, 30), (900, 3)).tolist())]
+    rows.sort(key=lambda r: (r[1], r[0]))
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    odd = [(len(rows), 9, None, 0.0), (len(rows) + 1, 9, float("nan"), 0.0)]
+    return rows, spark.createDataFrame(rows + odd, "id long, t long, x double, y double")
+
+
+def test_pair_counts_are_those_of_all_pairs(spark):
+    _, df = _crowd(spark)
+    pairs = S.radius_pairs(df, 0.15, "id", "t").join(df.select(F.col("id").alias("a"), "t"), "a").groupBy("t").count()
+    for cells in (2, 16):
+        found = S.radius_pair_counts(df, 0.15, "t", cells)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_near_duplicates_by_places_are_those_of_all_points(spark):
+    rows, df = _crowd(spark)
+    kept: list[tuple] = []
+    for r in rows:
+        if not any(k[1] != r[1] and (k[2] - r[2]) ** 2 + (k[3] - r[3]) ** 2 <= 0.15 * 0.15 for k in kept):
+            kept.append(r)
+    found = {r["id"] for r in S.without_near_duplicates(df, 0.15, "t").collect()}
+    assert found == {r[0] for r in kept} | {len(rows), len(rows) + 1}
+
+
+def test_copies_make_no_pairs(spark):
+    """All at one place: the pairs of places do not grow with the copies."""
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("t"), F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
+    assert S.near_places(S.first_at_places(df, "t"), 0.15, "t").count() == 0
+    assert S.without_near_duplicates(df, 0.15, "t").count() == 1000
+    assert {r["t"]: r["n_pairs"] for r in S.radius_pair_counts(df, 0.15, "t").collect()} == {0: 2000000, 1: 1000000}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,106 @@ def radius_pairs(points: DataFrame, eps: float, key: str, other_tile_only: str |
     return left.join(right, ["cx", "cy"]).where(ok).select(F.col(key).alias("a"), "b", d2.alias("d2"))
 
 
+def has_place(tile: str) -> Column:
+    """Whether a point can stand in a pair with one of another tile: nothing null, nothing NaN."""
+    return F.col(tile).isNotNull() & ~F.isnan("x") & ~F.isnan("y") & F.col("x").isNotNull() & F.col("y").isNotNull()
+
+
+def _place_pairs(x: np.ndarray, y: np.ndarray, own: np.ndarray, eps: float, chunk: int):
+    """(p, q) of all places at distance ``eps`` or less, p = q too, p only of ``own``; a bounded number at a time."""
+    size = eps * (1 + 1e-9)
+    cx, cy = np.floor(x / size).astype(np.int64), np.floor(y / size).astype(np.int64)
+    cx, cy = cx - cx.min() + 1, cy - cy.min() + 1
+    high = cy.max() + 2
+    code = cx * high + cy
+    order = np.argsort(code, kind="stable")
+    held, asked = code[order], np.flatnonzero(own)
+    for dx in (-1, 0, 1):  # three cells above each other follow in the order
+        low = code[asked] + dx * high
+        first, stop = np.searchsorted(held, low - 1, "left"), np.searchsorted(held, low + 1, "right")
+        sums = np.append(0, np.cumsum(stop - first))
+        at = 0
+        while at < len(asked):
+            end = max(at + 1, int(np.searchsorted(sums, sums[at] + chunk, "right")) - 1)
+            i = np.repeat(np.arange(at, end), (stop - first)[at:end])
+            p, q = asked[i], order[first[i] + np.arange(len(i)) - (sums[i] - sums[at])]
+            d2 = (x[p] - x[q]) * (x[p] - x[q]) + (y[p] - y[q]) * (y[p] - y[q])
+            yield p[d2 <= eps * eps], q[d2 <= eps * eps]
+            at = end
+
+
+def _block_pair_counts(x: np.ndarray, y: np.ndarray, tile: np.ndarray, n: np.ndarray, own: np.ndarray, eps: float, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(tiles, pairs of each): see ``radius_pair_counts``; only rows of ``own`` count as the smaller tile."""
+    tiles, rank = np.unique(tile, return_inverse=True)
+    by = np.lexsort((rank, y, x))
+    x, y, rank, n, own = x[by], y[by], rank[by], n[by], own[by]
+    starts = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    ends = np.append(starts[1:], len(x))
+    key = np.repeat(np.arange(len(starts)), ends - starts) * (len(tiles) + 1) + rank
+    until = np.append(0, np.cumsum(n))
+    found = np.zeros(len(tiles), np.int64)
+    for p, q in _place_pairs(x[starts], y[starts], own[starts], eps, chunk):
+        sizes = (ends - starts)[p]
+        sums = np.append(0, np.cumsum(sizes))
+        at = 0
+        while at < len(p):
+            end = max(at + 1, int(np.searchsorted(sums, sums[at] + chunk, "right")) - 1)
+            i = np.repeat(np.arange(at, end), sizes[at:end])
+            row = starts[p[i]] + np.arange(len(i)) - (sums[i] - sums[at])
+            above = until[ends[q[i]]] - until[np.searchsorted(key, q[i] * (len(tiles) + 1) + rank[row], "right")]
+            np.add.at(found, rank[row], n[row] * above)
+            at = end
+    return tiles[found > 0], found[found > 0]
+
+
+def radius_pair_counts(points: DataFrame, eps: float, tile: str, cells: int = 16) -> DataFrame:
+    """(tile, n_pairs): pairs of points of two tiles at distance ``eps`` or less, counted at the smaller tile.
+
+    No pair is made.  Points of one tile at one place are one row with a count;
+    a place finds in each place near it, by one search, how many points of
+    larger tiles stand there.  Time grows with points times near places.  A
+    task holds the rows of a block of ``cells`` x ``cells`` cells and its rim."""
+    rows = points.where(has_place(tile)).groupBy("x", "y", tile).agg(F.count("*").alias("n"))
+    width, rim = eps * cells, eps * (1 + 1e-6)
+    block = lambda c, name: F.explode(F.sequence(F.floor((F.col(c) - rim) / width), F.floor((F.col(c) + rim) / width))).alias(name)
+    dealt = rows.select("*", block("x", "bx")).select("*", block("y", "by"))
+    dealt = dealt.withColumn("own", (F.floor(F.col("x") / width) == F.col("bx")) & (F.floor(F.col("y") / width) == F.col("by")))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        tiles, n = _block_pair_counts(*(part[c].to_numpy() for c in ("x", "y", tile, "n", "own")), eps)
+        return pd.DataFrame({tile: tiles, "n_pairs": n})
+
+    counted = dealt.groupBy("bx", "by").applyInPandas(run, f"`{tile}` {dict(points.dtypes)[tile]}, n_pairs long")
+    return counted.groupBy(tile).agg(F.sum("n_pairs").alias("n_pairs"))
+
+
+def first_at_places(points: DataFrame, tile: str) -> DataFrame:
+    """(x, y, tile, n): the smallest tile at each place, and how many points it has there."""
+    rows = points.where(has_place(tile)).groupBy("x", "y", tile).agg(F.count("*").alias("n"))
+    return rows.groupBy("x", "y").agg(F.min(F.struct(tile, "n")).alias("m")).select("x", "y", "m.*")
+
+
+def near_places(places: DataFrame, eps: float, tile: str) -> DataFrame:
+    """(a, b, d2) of all places of two tiles at distance ``eps`` or less, a in the smaller tile; each named by (tile, x, y)."""
+    named = places.select(F.struct(tile, "x", "y").alias("id"), tile, "x", "y")
+    return radius_pairs(named, eps, "id", tile)
+
+
+def without_near_duplicates(points: DataFrame, eps: float, tile: str) -> DataFrame:
+    """The points that stay: those with no point of a smaller tile that stays within reach.
+
+    At one place only points of the smallest tile can stay, and all of them stay
+    or none: what drives these out drives out all others there.  So places are
+    compared, not points, and copies make no pairs."""
+    places = _kept(first_at_places(points, tile))
+    gone = removed_near_duplicates(near_places(places, eps, tile))
+    stays = places.join(gone.select("key.*"), ["x", "y", tile], "left_anti").select("x", "y", F.col(tile).alias("_least"), F.lit(True).alias("_stays"))
+    places = places.select("x", "y").join(stays, ["x", "y"], "left").withColumn("_place", F.lit(True))
+    judged = points.join(places, ["x", "y"], "left")
+    free = F.col("_place").isNull() | F.col(tile).isNull()
+    return judged.where(free | (F.col("_stays") & (F.col(tile) == F.col("_least")))).select(*points.columns)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in the one that ``spark.checkpoint.dir`` names; on a cluster that must be set."""
     sc = spark.sparkContext

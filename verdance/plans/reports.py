@@ -331,10 +331,10 @@ def coverage_semi(spark, sf_dir):
 
 
 def _detections(spark, sf_dir):
-    """Detections with a string key that sorts as (tile, label, part)."""
+    """Distinct detections, and a string key that sorts as (tile, label, part); the key tells rows apart by up to 12 and 14 digits."""
     (d,) = load(spark, sf_dir, "fx_detections")
     key = F.concat(F.lpad(F.col("tile_ord").cast("string"), 12, "0"), F.lpad(F.col("label").cast("string"), 14, "0"), F.lpad(F.col("pk").cast("string"), 14, "0"))
-    return d.select(key.alias("id"), "tile_ord", "x", "y").distinct()
+    return d.select("tile_ord", "label", "pk", "x", "y").repartition("x", "y").distinct().select(key.alias("id"), "tile_ord", "x", "y")
 
 
 @query("""WITH d AS (SELECT DISTINCT concat(lpad(CAST(tile_ord AS STRING),12,'0'),lpad(CAST(label AS STRING),14,'0'),lpad(CAST(pk AS STRING),14,'0')) id, tile_ord, x, y FROM fx_detections),
@@ -351,9 +351,7 @@ def radius_pairs(spark, sf_dir):
 @query()
 def dedup_keep(spark, sf_dir):
     """Detections that stay after near-duplicate elimination across tiles."""
-    d = _detections(spark, sf_dir)
-    gone = S.removed_near_duplicates(S.radius_pairs(d, 0.15, "id", "tile_ord"))
-    return d.join(gone.withColumnRenamed("key", "id"), "id", "left_anti").select("id", "tile_ord")
+    return S.without_near_duplicates(_detections(spark, sf_dir), 0.15, "tile_ord").select("id", "tile_ord")
 
 
 @query()

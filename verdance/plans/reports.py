@@ -356,13 +356,15 @@ def dedup_keep(spark, sf_dir):
 
 @query()
 def dedup_sensitivity(spark, sf_dir):
-    """How many detections stay at three radii; pairs are made once, at the widest."""
+    """How many detections stay at three radii; places are compared once, at the widest."""
     d = _detections(spark, sf_dir)
-    pairs = S._kept(S.radius_pairs(d, 0.15, "id", "tile_ord"))
-    total, out = d.count(), None
+    places = S._kept(S.first_at_places(d, "tile_ord"))
+    pairs, out = S._kept(S.near_places(places, 0.15, "tile_ord")), None
+    loose = d.where(~S.has_place("tile_ord")).count()  # without a place none goes
     for eps in (0.08, 0.1, 0.15):
         gone = S.removed_near_duplicates(pairs.where(F.col("d2") <= eps * eps))
-        row = gone.agg((F.lit(total) - F.count("*")).alias("kept")).select(F.lit(eps).alias("eps"), "kept")
+        kept = places.join(gone.select("key.*"), ["tile_ord", "x", "y"], "left_anti")
+        row = kept.agg((F.coalesce(F.sum("n"), F.lit(0)) + loose).alias("kept")).select(F.lit(eps).alias("eps"), "kept")
         out = row if out is None else out.unionByName(row)
     return out.withColumn("pct_of_baseline", 100.0 * F.col("kept") / F.max(F.when(F.col("eps") == 0.1, F.col("kept"))).over(W.partitionBy(F.lit(1))))
 

@@ -343,9 +343,7 @@ def _detections(spark, sf_dir):
  SELECT g.tile_ord, count(*) n_pairs FROM g JOIN o ON g.gx=o.gx AND g.gy=o.gy AND g.id<o.id AND g.tile_ord<>o.tile_ord
  AND (g.x-o.x)*(g.x-o.x)+(g.y-o.y)*(g.y-o.y) <= 0.15E0*0.15E0 GROUP BY 1""")
 def radius_pairs(spark, sf_dir):
-    d = _detections(spark, sf_dir)
-    pairs = S.radius_pairs(d, 0.15, "id", "tile_ord")
-    return pairs.select(F.substring("a", 1, 12).cast("bigint").alias("tile_ord")).groupBy("tile_ord").agg(F.count("*").alias("n_pairs"))
+    return S.radius_pair_counts(_detections(spark, sf_dir), 0.15, "tile_ord")
 
 
 @query()

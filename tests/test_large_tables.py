@@ -5,6 +5,8 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from verdance.functions import geometry as G
+from verdance.operators import overlay as O
 from verdance.operators import spatial as S
 from verdance.operators import stats as T
 from verdance.plans import details, reports
@@ -64,3 +66,45 @@ def test_copies_make_no_pairs(spark):
     assert S.near_places(S.first_at_places(df, "t"), 0.15, "t").count() == 0
     assert S.without_near_duplicates(df, 0.15, "t").count() == 1000
     assert {r["t"]: r["n_pairs"] for r in S.radius_pair_counts(df, 0.15, "t").collect()} == {0: 2000000, 1: 1000000}
+
+
+def test_pairs_are_worked_out_together_as_one_by_one(monkeypatch):
+    """Regions of one to three rings and none, in one call, in small steps and swept, give what each pair gives alone."""
+    rng = np.random.default_rng(8)
+    box = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+
+    def region():
+        x, y = rng.integers(0, 6, 2).tolist()
+        return [box(x, y, 4), box(x + 1, y + 1, 2), box(x + 5, y, 1)][: int(rng.integers(0, 4))]
+
+    def flat(regions):
+        points = np.array([p for r in regions for ring in r for p in ring], float).reshape(-1, 2)
+        return points[:, 0], points[:, 1], np.array([len(ring) for r in regions for ring in r], int), np.array([len(r) for r in regions])
+
+    a, b = [region() for _ in range(60)], [region() for _ in range(60)]
+    alone = []
+    for p, q in zip(a, b):
+        edges, touches = O.intersection(*O.region_edges(*flat([p])[:3]), *O.region_edges(*flat([q])[:3]))
+        alone.append((sorted(edges.tolist()), touches, O.measured(edges)[0]))
+    for chunk, swept in ((1_000_000, 4096), (7, 4096), (1_000_000, 10)):
+        monkeypatch.setattr(O, "CHUNK", chunk)
+        monkeypatch.setattr(O, "SWEPT", swept)
+        edges, where, touches = O.intersections(*O._all_edges(*flat(a)), *O._all_edges(*flat(b)))
+        area = O.measures(edges, where)[0]
+        together = [(sorted(edges[s:e].tolist()), bool(t), m) for s, e, t, m in zip(where, where[1:], touches, area.tolist())]
+        assert together == alone
+    assert len({t for _, t, _ in alone}) == 2
+
+
+def test_utm_of_rings_is_that_of_points(spark):
+    rings = F.array(F.array(F.struct(F.col("x"), F.col("y"))))
+    e, n = G.utm_forward(F.col("x"), F.col("y"), F.lit(14))
+    row = spark.createDataFrame([(-97.7, 30.25)], "x double, y double").select(G.to_utm(rings, F.lit(14))[0][0].alias("p"), e.alias("e"), n.alias("n")).first()
+    assert (row["p"]["x"], row["p"]["y"]) == (row["e"], row["n"])
+
+
+def test_rows_of_one_file_are_dealt(spark):
+    from verdance.plans import overlays
+
+    spread = overlays._parcels(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count()
+    assert spread == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -77,13 +77,24 @@ def polygon_centroid(rings: Column) -> tuple[Column, Column]:
 
 
 def to_utm(rings: Column, zone: Column) -> Column:
-    """Rings in degrees as rings in metres."""
+    """Rings in degrees as rings in metres.
 
-    def vertex(p: Column) -> Column:
-        e, n = utm_forward(p["x"], p["y"], zone)
-        return F.struct(e.alias("x"), n.alias("y"))
+    The series of ``utm_forward`` in steps over the ring, since functions of
+    array elements work out each mention of a subexpression anew."""
+    k = 2 * math.sqrt(_N) / (1 + _N)
+    steps = (
+        lambda p: F.struct(F.sin(F.radians(p["y"])).alias("s"), F.radians(p["x"] - (zone * 6 - 183)).alias("lam")),
+        lambda p: F.struct(F.sinh(F.atanh(p["s"]) - k * F.atanh(k * p["s"])).alias("t"), p["lam"].alias("lam")),
+        lambda p: F.struct(F.atan2(p["t"], F.cos(p["lam"])).alias("xi"), F.atanh(F.sin(p["lam"]) / F.sqrt(1 + p["t"] * p["t"])).alias("eta")),
+        lambda p: F.struct(*[c.alias(n) for n, c in zip("xy", _utm_series(p["xi"], p["eta"]))]),
+    )
+
+    def ring(r: Column) -> Column:
+        for step in steps:
+            r = F.transform(r, step)
+        return r
 
-    return F.transform(rings, lambda r: F.transform(r, vertex))
+    return F.transform(rings, ring)
 
 
 def degrees_to_km2(area_deg2: Column, lat: Column) -> Column:
@@ -113,7 +124,10 @@ def utm_forward(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]
     k = 2 * math.sqrt(_N) / (1 + _N)
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     t = F.sinh(F.atanh(F.sin(phi)) - k * F.atanh(k * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    return _utm_series(F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t)))
+
+
+def _utm_series(xi: Column, eta: Column) -> tuple[Column, Column]:
     e, n = eta, xi
     for j, a in enumerate(_ALPHA, 1):
         e = e + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)

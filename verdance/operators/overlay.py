@@ -10,7 +10,8 @@ corner that their boxes share.  The exact work runs in Arrow batches: edges of
 one region that come near edges of the other are found by a sweep over x, edges
 are split where they meet, and each piece is kept or dropped by the side of the
 other region on which it lies.  Areas and centroids follow from the kept pieces;
-rings are only closed where a geometry is asked for.
+rings are only closed where a geometry is asked for.  All pairs of a batch are worked
+out together: edges stand in one array, pair by pair, and large pairs alone are swept.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import types as T
 RINGS = "array<array<struct<x: double, y: double>>>"
 #: Pairs of edges, or of points and edges, that are worked out at once.
 CHUNK = 1_000_000
+#: Vertices of the pairs that are worked out together, and pairs of edges of one pair above which it is swept.
+TOGETHER, SWEPT = 200_000, 4096
 
 
 def with_box(df: DataFrame, region: str, names: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
@@ -54,24 +57,51 @@ def near_pairs(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return both.where(touch & first).drop("cx", "cy")
 
 
-# One region: (edges as rows of x0, y0, x1, y1, ring of each edge).
+# Regions: edges as rows of x0, y0, x1, y1, the ring of each, and where the edges of each region begin.
 
 
-def _inside(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Even-odd; what points on an edge give is not defined."""
+def _expanded(first: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, j) for each k and all j from first[k] to stop[k], a bounded number at a time; the k of one step are whole."""
+    sums = np.append(0, np.cumsum(stop - first))
+    at = 0
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(sums, sums[at] + CHUNK, "right")) - 1)
+        k = np.repeat(np.arange(at, end), (stop - first)[at:end])
+        yield k, first[k] + np.arange(len(k)) - (sums[k] - sums[at])
+        at = end
+
+
+def _crossings(edges: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, stop: np.ndarray, ring: np.ndarray | None = None, own: np.ndarray | None = None) -> np.ndarray:
+    """Whether an odd number of the edges first[k] to stop[k] lies to the right of point k, those of its ``own`` ring left out.
+
+    What points on an edge give is not defined."""
     found = np.zeros(len(x), bool)
-    x0, y0, x1, y1 = edges.T
-    step = max(1, CHUNK // max(1, len(edges)))
-    for k in range(0, len(x), step):
-        px, py = x[k : k + step, None], y[k : k + step, None]
+    for k, j in _expanded(first, stop):
+        if not len(k):
+            continue
+        x0, y0, x1, y1 = edges[j].T
+        px, py = x[k], y[k]
         with np.errstate(divide="ignore", invalid="ignore"):
             hits = ((y0 > py) != (y1 > py)) & (px < (x1 - x0) * (py - y0) / (y1 - y0) + x0)
-        found[k : k + step] = hits.sum(1) & 1
+        if ring is not None:
+            hits &= ring[j] != own[k]
+        found[k[0] : k[-1] + 1] = np.bincount(k - k[0], hits, k[-1] - k[0] + 1).astype(np.int64) & 1
     return found
 
 
-def region_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges with the inside to their left, and the ring of each."""
+def _sums(values: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Sum of values[where[k]:where[k + 1]] for each k."""
+    full = where[1:] > where[:-1]
+    out = np.zeros(len(where) - 1)
+    if full.any():
+        out[full] = np.add.reduceat(values, where[:-1][full])
+    return out
+
+
+def _all_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, rings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of many regions, the inside to their left; the ring of each; where each region's edges begin.
+
+    ``sizes`` has the vertices of each ring, ``rings`` the rings of each region."""
     last = np.zeros(len(x), bool)
     last[np.cumsum(sizes)[sizes > 0] - 1] = True
     ring = np.repeat(np.arange(len(sizes)), sizes)[~last]
@@ -79,16 +109,27 @@ def region_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     edges = np.stack([x[start], y[start], x[start + 1], y[start + 1]], 1) + 0.0 if len(start) else np.zeros((0, 4))
     full = (edges[:, 0] != edges[:, 2]) | (edges[:, 1] != edges[:, 3])
     edges, ring = edges[full], ring[full]
-    numbers = np.unique(ring)
-    for k in numbers:
-        own = ring == k
-        part = edges[own]
-        turn = _cross(part).sum()
-        middle = (part[0, :2] + part[0, 2:]) / 2
-        depth = sum(bool(_inside(edges[ring == j], middle[:1], middle[1:])[0]) for j in numbers if j != k)
-        if (turn > 0) != (depth % 2 == 0):
-            edges[own] = part[::-1][:, [2, 3, 0, 1]]
-    return edges, ring
+    bounds = np.searchsorted(ring, np.append(0, np.cumsum(rings)))
+    begins = np.searchsorted(ring, np.arange(len(sizes) + 1))
+    some = np.flatnonzero(begins[1:] > begins[:-1])
+    if not len(some):
+        return edges, ring, bounds
+    low, high = begins[some], begins[some + 1]
+    at = np.repeat(np.arange(len(some)), high - low)
+    x0, y0 = edges[low[at], 0], edges[low[at], 1]
+    turn = np.add.reduceat((edges[:, 0] - x0) * (edges[:, 3] - y0) - (edges[:, 2] - x0) * (edges[:, 1] - y0), low)
+    region = np.repeat(np.arange(len(rings)), rings)[some]
+    middle = (edges[low, :2] + edges[low, 2:]) / 2
+    odd = _crossings(edges, middle[:, 0], middle[:, 1], bounds[region], bounds[region + 1], ring, some)
+    back = ((turn > 0) == odd)[at]
+    edges = edges[np.where(back, (low + high - 1)[at] - np.arange(len(edges)), np.arange(len(edges)))]
+    edges[back] = edges[back][:, [2, 3, 0, 1]]
+    return edges, ring, bounds
+
+
+def region_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of one region with the inside to their left, and the ring of each."""
+    return _all_edges(x, y, sizes, np.array([len(sizes)]))[:2]
 
 
 def _cross(edges: np.ndarray) -> np.ndarray:
@@ -124,14 +165,30 @@ def _on(e: np.ndarray, x: np.ndarray, y: np.ndarray, side: np.ndarray) -> np.nda
     return (side == 0) & flat & (y >= np.minimum(e[:, 1], e[:, 3])) & (y <= np.maximum(e[:, 1], e[:, 3]))
 
 
-def meeting_points(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(edge of a, x, y) and (edge of b, x, y) wherever edges of the two cross or touch."""
+def _candidates(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of edges of the two regions of each pair whose boxes touch, a bounded number at a time."""
+    large = np.diff(wa) * np.diff(wb) > SWEPT
+    pair = np.repeat(np.arange(len(wa) - 1), np.diff(wa))
+    few = np.flatnonzero(~large[pair])
+    low_a, high_a = np.minimum(a[:, :2], a[:, 2:]), np.maximum(a[:, :2], a[:, 2:])
+    low_b, high_b = np.minimum(b[:, :2], b[:, 2:]), np.maximum(b[:, :2], b[:, 2:])
+    for k, j in _expanded(wb[pair[few]], wb[pair[few] + 1]):
+        i = few[k]
+        keep = (low_a[i, 0] <= high_b[j, 0]) & (low_b[j, 0] <= high_a[i, 0]) & (low_a[i, 1] <= high_b[j, 1]) & (low_b[j, 1] <= high_a[i, 1])
+        yield i[keep], j[keep]
+    for p in np.flatnonzero(large).tolist():
+        for i, j in _near_edges(a[wa[p] : wa[p + 1]], b[wb[p] : wb[p + 1]]):
+            yield i + wa[p], j + wb[p]
+
+
+def meeting_points(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edge of a, x, y) and (edge of b, x, y) wherever edges of the two regions of a pair cross or touch."""
     on_a, on_b = [np.zeros((0, 3))], [np.zeros((0, 3))]
 
     def add(out: list, edge: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         out.append(np.stack([edge, x, y], 1))
 
-    for i, j in _near_edges(a, b):
+    for i, j in _candidates(a, wa, b, wb):
         p, r = a[i], b[j]
         s1, s2, s3, s4 = _side(r, p[:, 0], p[:, 1]), _side(r, p[:, 2], p[:, 3]), _side(p, r[:, 0], r[:, 1]), _side(p, r[:, 2], r[:, 3])
         for e, k, side, edge in ((r, 0, s1, p), (r, 2, s2, p), (p, 0, s3, r), (p, 2, s4, r)):
@@ -146,8 +203,8 @@ def meeting_points(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(on_a), np.concatenate(on_b)
 
 
-def _pieces(edges: np.ndarray, ring: np.ndarray, meets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges split at the points where they meet others, and the run of each piece.
+def _pieces(edges: np.ndarray, ring: np.ndarray, meets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges split at the points where they meet others, the run of each piece, and the edge it is of.
 
     A run goes on along its ring until the next such point, on one side of the
     other region."""
@@ -162,38 +219,51 @@ def _pieces(edges: np.ndarray, ring: np.ndarray, meets: np.ndarray) -> tuple[np.
     ends = np.where(after[:, None], np.roll(points, -1, 0), e[:, 2:])
     full = (points != ends).any(1)
     # a point that stands twice on an edge starts one piece: it is met if either row says so
-    group = np.cumsum(np.append(True, (index[1:] != index[:-1]) | (points[1:] != points[:-1]).any(1))) - 1
+    group = np.cumsum(np.append(True, (index[1:] != index[:-1]) | (points[1:] != points[:-1]).any(1))[: len(index)]) - 1
     met = np.zeros(group[-1] + 1 if len(group) else 0, bool)
     np.logical_or.at(met, group, hit)
     pieces, own = np.concatenate([points, ends], 1)[full], ring[index[full]]
     begins = met[group[full]] | np.append(True, own[1:] != own[:-1])[: len(own)]
-    return pieces, np.cumsum(begins) - 1
+    return pieces, np.cumsum(begins) - 1, index[full]
 
 
-def intersection(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Directed edges around what two regions share, the inside to their left, and whether they touch at all."""
-    if not len(a) or not len(b):
-        return np.zeros((0, 4)), False
-    on_a, on_b = meeting_points(a, b)
-    pa_, runs_a = _pieces(a, ra, on_a)
-    pb, runs_b = _pieces(b, rb, on_b)
-
-    def within(pieces: np.ndarray, runs: np.ndarray, other: np.ndarray) -> np.ndarray:
-        first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+def intersections(a: np.ndarray, ra: np.ndarray, wa: np.ndarray, b: np.ndarray, rb: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs of regions: directed edges around what the two share, the inside to their left; where those of each pair begin; whether the two touch at all."""
+    n = len(wa) - 1
+    on_a, on_b = meeting_points(a, wa, b, wb)
+    of_a, of_b = np.repeat(np.arange(n), np.diff(wa)), np.repeat(np.arange(n), np.diff(wb))
+    (pa_, runs_a, ea), (pb, runs_b, eb) = _pieces(a, ra, on_a), _pieces(b, rb, on_b)
+    pair_a, pair_b = of_a[ea], of_b[eb]
+
+    def within(pieces: np.ndarray, runs: np.ndarray, pair: np.ndarray, other: np.ndarray, where: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])[: len(runs)])
         middle = (pieces[first, :2] + pieces[first, 2:]) / 2
-        return _inside(other, middle[:, 0], middle[:, 1])[runs]
+        return _crossings(other, middle[:, 0], middle[:, 1], where[pair[first]], where[pair[first] + 1])[runs]
 
-    if not len(on_a):
-        kept = np.concatenate([pa_[within(pa_, runs_a, b)], pb[within(pb, runs_b, a)]])
-        return kept, bool(len(kept))
-    ends = np.concatenate([pa_, pb])
+    ends, pair = np.concatenate([pa_, pb]), np.concatenate([pair_a, pair_b])
     swap = (ends[:, 0] > ends[:, 2]) | ((ends[:, 0] == ends[:, 2]) & (ends[:, 1] > ends[:, 3]))
-    key = np.unique(np.where(swap[:, None], ends[:, [2, 3, 0, 1]], ends), axis=0, return_inverse=True)[1].reshape(-1)
+    ends = np.where(swap[:, None], ends[:, [2, 3, 0, 1]], ends)
+    by = np.lexsort((*ends.T, pair))
+    new = (ends[by][1:] != ends[by][:-1]).any(1) | (pair[by][1:] != pair[by][:-1])
+    key = np.empty(len(by), np.int64)
+    key[by] = np.cumsum(np.append(True, new)[: len(by)]) - 1
     key_a, key_b, swap_a, swap_b = key[: len(pa_)], key[len(pa_) :], swap[: len(pa_)], swap[len(pa_) :]
     shared_a, shared_b = np.isin(key_a, key_b), np.isin(key_b, key_a)
     same = np.isin(2 * key_a + swap_a, 2 * key_b + swap_b)
-    kept = np.concatenate([pa_[(within(pa_, runs_a, b) & ~shared_a) | (shared_a & same)], pb[within(pb, runs_b, a) & ~shared_b]])
-    return kept, True
+    keep_a = (within(pa_, runs_a, pair_a, b, wb) & ~shared_a) | (shared_a & same)
+    keep_b = within(pb, runs_b, pair_b, a, wa) & ~shared_b
+    kept, pair = np.concatenate([pa_[keep_a], pb[keep_b]]), np.concatenate([pair_a[keep_a], pair_b[keep_b]])
+    by = np.argsort(pair, kind="stable")
+    where = np.searchsorted(pair[by], np.arange(n + 1))
+    touches = where[1:] > where[:-1]
+    touches[of_a[on_a[:, 0].astype(np.int64)]] = True
+    return kept[by], where, touches
+
+
+def intersection(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, bool]:
+    """``intersections`` of one pair."""
+    edges, _, touches = intersections(a, ra, np.array([0, len(a)]), b, rb, np.array([0, len(b)]))
+    return edges, bool(touches[0])
 
 
 def closed_rings(edges: np.ndarray) -> list[list[tuple[float, float]]]:
@@ -226,18 +296,25 @@ def closed_rings(edges: np.ndarray) -> list[list[tuple[float, float]]]:
     return rings
 
 
+def measures(edges: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(areas, x, y): area and centroid of what the directed edges of each pair enclose; no centroid (NaN) without area."""
+    own = np.repeat(where[:-1], np.diff(where))
+    ox, oy = edges[own, 0], edges[own, 1]
+    cross = (edges[:, 0] - ox) * (edges[:, 3] - oy) - (edges[:, 2] - ox) * (edges[:, 1] - oy)
+    area = _sums(cross, where) / 2
+    some = area > 0
+    centre = []
+    for k, o in ((0, ox), (1, oy)):
+        moment, c = _sums((edges[:, k] + edges[:, k + 2] - 2 * o) * cross, where), np.full(len(area), np.nan)
+        c[some] = moment[some] / (6 * area[some]) + edges[where[:-1][some], k]
+        centre.append(c)
+    return np.where(some, area, 0.0), *centre
+
+
 def measured(edges: np.ndarray) -> tuple[float, float | None, float | None]:
-    """(area, x, y): area and centroid of what directed edges enclose; no centroid without area."""
-    if not len(edges):
-        return 0.0, None, None
-    ox, oy = edges[0, 0], edges[0, 1]
-    cross = _cross(edges)
-    area = float(cross.sum()) / 2
-    if area <= 0:
-        return 0.0, None, None
-    x = float(((edges[:, 0] + edges[:, 2] - 2 * ox) * cross).sum()) / (6 * area) + ox
-    y = float(((edges[:, 1] + edges[:, 3] - 2 * oy) * cross).sum()) / (6 * area) + oy
-    return area, x, y
+    """``measures`` of one pair; no centroid without area."""
+    area, x, y = (float(v[0]) for v in measures(edges, np.array([0, len(edges)])))
+    return (area, x, y) if area else (0.0, None, None)
 
 
 def _flat(region: str, prefix: str) -> list[Column]:
@@ -247,9 +324,20 @@ def _flat(region: str, prefix: str) -> list[Column]:
     return [F.transform(points, lambda p: p["x"]).alias(f"{prefix}x"), F.transform(points, lambda p: p["y"]).alias(f"{prefix}y"), F.transform(rings, lambda r: F.size(r)).alias(f"{prefix}n")]
 
 
-def _lists(column: pa.ListArray) -> list[np.ndarray]:
-    values, where = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(where[:-1], where[1:])]
+def _part(batch: pa.RecordBatch, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, y, vertices of each ring and rings of each region of some rows."""
+    x, y, sizes = (batch.column(f"_{prefix}{c}") for c in "xyn")
+    values = [c.flatten().to_numpy(zero_copy_only=False) for c in (x, y, sizes)]
+    return values[0], values[1], values[2].astype(np.int64), np.diff(sizes.offsets.to_numpy()).astype(np.int64)
+
+
+def _nested(edges: np.ndarray, where: np.ndarray) -> pa.Array:
+    """The closed rings of the edges of each pair, as Arrow holds them."""
+    rings = [closed_rings(edges[a:b]) if b > a else [] for a, b in zip(where[:-1].tolist(), where[1:].tolist())]
+    points = np.array([p for own in rings for r in own for p in r], float).reshape(-1, 2)
+    offsets = lambda sizes: pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    flat = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["x", "y"])
+    return pa.ListArray.from_arrays(offsets([len(own) for own in rings]), pa.ListArray.from_arrays(offsets([len(r) for own in rings for r in own]), flat))
 
 
 def overlay(pairs: DataFrame, a: str = "a", b: str = "b", geometry: bool = False) -> DataFrame:
@@ -260,24 +348,22 @@ def overlay(pairs: DataFrame, a: str = "a", b: str = "b", geometry: bool = False
     nothing."""
     others = [c for c in pairs.columns if c not in (a, b)]
     added = [T.StructField("touches", T.BooleanType()), *(T.StructField(c, T.DoubleType()) for c in ("area", "cx", "cy"))]
-    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
     if geometry:
         added.append(T.StructField("rings", T._parse_datatype_string(RINGS)))
     schema = T.StructType([*pairs.select(*others).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list] = [[] for _ in added]
-            for ax, ay, an, bx, by, bn in zip(*(_lists(batch.column(f"_{p}{c}")) for p in "ab" for c in "xyn")):
-                edges, touches = intersection(*region_edges(ax, ay, an), *region_edges(bx, by, bn))
-                row = [touches, *measured(edges)]
+            held = np.cumsum(sum(np.diff(batch.column(f"_{p}x").offsets.to_numpy()) for p in "ab"), dtype=np.int64)
+            starts = np.flatnonzero(np.diff(held // TOGETHER, prepend=-1)).tolist()
+            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+                part = batch.slice(start, stop - start)
+                edges, where, touches = intersections(*_all_edges(*_part(part, "a")), *_all_edges(*_part(part, "b")))
+                area, x, y = measures(edges, where)
+                columns = [pa.array(touches), pa.array(area), pa.array(x, mask=area == 0), pa.array(y, mask=area == 0)]
                 if geometry:
-                    row.append([[{"x": x, "y": y} for x, y in r] for r in closed_rings(edges)])
-                for column, value in zip(found, row):
-                    column.append(value)
-            kinds = [pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.list_(point))]
-            columns = [pa.array(v, kind) for v, kind in zip(found, kinds)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *columns], [*others, *(f.name for f in added)])
+                    columns.append(_nested(edges, where))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *columns], [*others, *(f.name for f in added)])
 
     return pairs.select(*others, *_flat(a, "_a"), *_flat(b, "_b")).mapInArrow(run, schema)
 

@@ -16,6 +16,14 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt to as many tasks as a shuffle has.
+
+    Rows that are few bytes but much work, from one file, would all be worked
+    out in the one task that reads it; a number given keeps them apart."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def with_box_ring(boxes: DataFrame) -> DataFrame:
     """Adds ``ring`` for boxes x0, y0, x1, y1."""
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))

@@ -37,7 +37,7 @@ def _boxes(x: str, y: str, shape: tuple) -> str:
 
 def _parcels(spark, sf_dir) -> DataFrame:
     (parcels,) = load(spark, sf_dir, "fx_parcels")
-    return parcels.select("parcel", _shape("px", "py", PARCEL).alias("rings"))
+    return S.dealt(parcels, "parcel").select("parcel", _shape("px", "py", PARCEL).alias("rings"))
 
 
 def _boundaries(spark, sf_dir) -> DataFrame:
@@ -100,7 +100,7 @@ _UTM = G.utm_forward_sql("lon", "lat", 14)
 def parcel_utm_area(spark, sf_dir):
     """Area in square metres, and the centroid from the lower left corner, of polygons in degrees."""
     (parcels,) = load(spark, sf_dir, "fx_parcels")
-    placed = parcels.select("parcel", _shape("px", "py", PARCEL).alias("rings"))
+    placed = S.dealt(parcels, "parcel").select("parcel", _shape("px", "py", PARCEL).alias("rings"))
     degrees = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((-97.75 + p["x"] / 1000.0).alias("x"), (30.2 + p["y"] / 1000.0).alias("y"))))
     metres = O.with_box(placed.select("parcel", G.to_utm(degrees, F.lit(14)).alias("rings")), "rings")
     local = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] - F.col("x0")).alias("x"), (p["y"] - F.col("y0")).alias("y"))))

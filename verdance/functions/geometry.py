@@ -17,9 +17,11 @@ def _edges(ring: Column) -> Column:
 
 
 def signed_area(ring: Column) -> Column:
-    """Shoelace; positive when counter-clockwise."""
-    terms = F.transform(_edges(ring), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
-    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2
+    """Shoelace; positive when counter-clockwise.  One pass that carries the vertex before."""
+    first = F.get(ring, F.lit(0))
+    start = F.struct(F.lit(0.0).alias("s"), first["x"].alias("x"), first["y"].alias("y"))
+    step = lambda a, p: F.struct((a["s"] + (a["x"] * p["y"] - p["x"] * a["y"])).alias("s"), p["x"].alias("x"), p["y"].alias("y"))
+    return F.aggregate(ring, start, step, lambda a: a["s"]) / 2
 
 
 def in_ring(ring: Column, x: Column, y: Column) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from verdance.functions import geometry as G
+from verdance.operators import cascade as P
 from verdance.operators import overlay as O
 from verdance.operators import spatial as S
 from verdance.operators import stats as T
@@ -108,3 +109,20 @@ def test_rows_of_one_file_are_dealt(spark):
 
     spread = overlays._parcels(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count()
     assert spread == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_signed_area_makes_no_copies_of_a_ring(spark):
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (2.0, 0.0), (2.0, 3.0), (0.0, 0.0))])
+    df = spark.range(1).select(G.signed_area(ring).alias("a"), G.signed_area(F.reverse(ring)).alias("b"), G.signed_area(F.slice(ring, 1, 0)).alias("none"))
+    assert tuple(df.first()) == (3.0, -3.0, 0.0)
+    assert "slice" not in str(spark.range(1).select(G.signed_area(ring)))
+
+
+def test_pieces_of_names_stay_in_their_rows(spark):
+    """No piece is gathered with others of its place, and no place is joined again."""
+    targets = spark.createDataFrame([("Ab",), ("abc",)], "target string")
+    places = spark.createDataFrame([(1, "abab C"), (2, "xABCx"), (3, None), (4, "a")], "place long, name string")
+    found = P.containing_names(F.broadcast(targets), places, "target", "name", "place")
+    assert sorted((r["target"], r["place"]) for r in found.collect()) == [("Ab", 1), ("Ab", 2), ("abc", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [place" not in plan and plan.count("Join") == 2

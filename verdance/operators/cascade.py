@@ -42,16 +42,17 @@ def kept_at_best(pairs: DataFrame, by: str, *ranks: str) -> DataFrame:
 def containing_names(targets: DataFrame, places: DataFrame, target: str, name: str, place: str) -> DataFrame:
     """Pairs of a target and a place whose name contains the target's, both folded.
 
-    A name is cut into its pieces of the lengths that targets have, so that the
-    join is on equal pieces.  ``place`` identifies a place.  Null and blank
-    targets match nothing."""
+    A name is cut into its different pieces of the lengths that targets have, in
+    its own row, so that the join is on equal pieces and nothing else moves: the
+    pieces of a place are neither gathered nor joined with it again, and few targets are
+    broadcast.  Null and blank targets match nothing."""
     wanted = targets.withColumn("_piece", folded(target)).where(F.length("_piece") > 0)
     lengths = wanted.agg(F.sort_array(F.collect_set(F.length("_piece"))).alias("_lengths"))  # one row of at most a name's length
-    cut = places.select(place, folded(name).alias("_name")).crossJoin(F.broadcast(lengths))
-    cut = cut.select(place, "_name", F.explode(F.filter("_lengths", lambda n: n <= F.length("_name"))).alias("_n"))
-    cut = cut.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_name") - F.col("_n") + 1)))
-    cut = cut.select(place, F.substring("_name", F.col("_at"), F.col("_n")).alias("_piece")).distinct()
-    return wanted.join(cut, "_piece").drop("_piece").join(places, place)
+    named = places.withColumn("_name", folded(name)).crossJoin(F.broadcast(lengths))
+    size = F.length("_name")
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(F.col("_name"), at, n))
+    cut = F.array_distinct(F.flatten(F.transform(F.filter("_lengths", lambda n: n <= size), pieces)))
+    return named.select("*", F.explode(cut).alias("_piece")).drop("_name", "_lengths").join(wanted, "_piece").drop("_piece")
 
 
 def form_rank(target: str, name: str, forms: tuple[tuple[str, str], ...], loose: bool) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdance.functions import geometry as G
 from verdance.operators import cascade as P
 from verdance.operators import overlay as O
+from verdance.operators import regions as A
 from verdance.operators import spatial as S
 from verdance.operators import stats as T
 from verdance.plans import details, reports
@@ -126,3 +127,12 @@ def test_pieces_of_names_stay_in_their_rows(spark):
     assert sorted((r["target"], r["place"]) for r in found.collect()) == [("Ab", 1), ("Ab", 2), ("abc", 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [place" not in plan and plan.count("Join") == 2
+
+
+def test_neighbours_are_sought_by_all_tasks(spark, monkeypatch):
+    """The join of cells keeps its number of tasks, however few bytes its rows are."""
+    plans, kept = [], S._kept
+    monkeypatch.setattr(S, "_kept", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or kept(df))
+    points = spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 3.0, 4.0)], "t long, k long, x double, y double")
+    assert [r["distance"] for r in A.nearest_neighbours(points, ["t"], "k", 8.0).collect()] == [5.0, 5.0]
+    assert plans[1].count("RepartitionByExpression") == 2

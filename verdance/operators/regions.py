@@ -105,6 +105,8 @@ def nearest_neighbours(points: DataFrame, by: list[str], key: str, cell: float)
         held = places.select(*by, F.col("x").alias("ox"), F.col("y").alias("oy"), cx.alias("cx"), cy.alias("cy"))
         d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
         other = (F.col("x") != F.col("ox")) | (F.col("y") != F.col("oy"))
+        # a number of tasks that stays, since rows that are few bytes in the shuffle are many in memory
+        asked, held = S.dealt(asked, *by, "cx", "cy"), S.dealt(held, *by, "cx", "cy")
         seen = S._kept(asked.join(held, [*by, "cx", "cy"]).groupBy(*by, "x", "y").agg(F.min(F.when(other, d2)).alias("d2")))
         found = found.unionByName(seen.where(F.col("d2") <= size * size))
         waiting = seen.where(F.col("d2").isNull() | (F.col("d2") > size * size)).drop("d2")

@@ -136,3 +136,38 @@ def test_neighbours_are_sought_by_all_tasks(spark, monkeypatch):
     points = spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 3.0, 4.0)], "t long, k long, x double, y double")
     assert [r["distance"] for r in A.nearest_neighbours(points, ["t"], "k", 8.0).collect()] == [5.0, 5.0]
     assert plans[1].count("RepartitionByExpression") == 2
+
+
+def test_touching_is_that_of_intersections(spark):
+    """Regions of none to three rings, some within holes and some that meet in points; rows with nothing in them touch nothing."""
+    rng = np.random.default_rng(3)
+    box = lambda x, y, w: [(float(u), float(v)) for u, v in ((x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y))]
+
+    def region(wide):
+        x, y = rng.integers(0, 9, 2).tolist()
+        return [box(x, y, wide), box(x + 1, y + 1, wide - 2), box(x + wide + 1, y, 1)][: int(rng.integers(0, 4))]
+
+    def flat(regions):
+        points = np.array([p for r in regions for ring in r for p in ring], float).reshape(-1, 2)
+        return points[:, 0], points[:, 1], np.array([len(ring) for r in regions for ring in r], int), np.array([len(r) for r in regions], int)
+
+    a, b = [region(3) for _ in range(400)], [region(int(rng.integers(3, 9))) for _ in range(400)]
+    a += [[box(3, 3, 1)], [box(3, 3, 1)], [box(0, 0, 9)], [[(2.0, 2.0)]], []]
+    b += [[box(0, 0, 9), box(2, 2, 4)], [box(0, 0, 9), box(2, 2, 1)], [box(3, 3, 1)], [box(0, 0, 9)], [box(0, 0, 9)]]
+    found = O.touching(*O._plain_edges(*flat(a)), *O._plain_edges(*flat(b)))
+    assert found.tolist() == O.intersections(*O._all_edges(*flat(a)), *O._all_edges(*flat(b)))[2].tolist()
+    assert found[400:].tolist() == [False, True, True, False, False] and len(set(found[:400].tolist())) == 2
+    schema = f"k long, rings {O.RINGS}"
+    left = spark.createDataFrame([*enumerate(a[400:]), (9, None)], schema)
+    kept = O.touching_regions(left, spark.createDataFrame([(0, b[400]), (1, None)], schema), "k", "rings", "rings", 4.0)
+    assert sorted(r["k"] for r in kept.collect()) == [2]
+
+
+def test_boxes_are_made_after_rows_are_dealt(spark):
+    """The one task that reads a file would else work on all its regions, in filters moved to it."""
+    from verdance.plans import overlays
+
+    plan = overlays.polygon_semi(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = max(k for k, line in enumerate(plan) if "RepartitionByExpression" in line)
+    read = plan[dealt : next(k for k in range(dealt, len(plan)) if "Relation" in plan[k]) + 1]
+    assert len(read) > 1 and not any("transform(" in line for line in read)

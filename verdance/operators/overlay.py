@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,8 +99,8 @@ def _sums(values: np.ndarray, where: np.ndarray) -> np.ndarray:
     return out
 
 
-def _all_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, rings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges of many regions, the inside to their left; the ring of each; where each region's edges begin.
+def _plain_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, rings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of many regions as they are given; the ring of each; where each region's edges begin.
 
     ``sizes`` has the vertices of each ring, ``rings`` the rings of each region."""
     last = np.zeros(len(x), bool)
@@ -109,7 +110,12 @@ def _all_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, rings: np.ndarra
     edges = np.stack([x[start], y[start], x[start + 1], y[start + 1]], 1) + 0.0 if len(start) else np.zeros((0, 4))
     full = (edges[:, 0] != edges[:, 2]) | (edges[:, 1] != edges[:, 3])
     edges, ring = edges[full], ring[full]
-    bounds = np.searchsorted(ring, np.append(0, np.cumsum(rings)))
+    return edges, ring, np.searchsorted(ring, np.append(0, np.cumsum(rings)))
+
+
+def _all_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, rings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_plain_edges``, turned so that the inside is to their left."""
+    edges, ring, bounds = _plain_edges(x, y, sizes, rings)
     begins = np.searchsorted(ring, np.arange(len(sizes) + 1))
     some = np.flatnonzero(begins[1:] > begins[:-1])
     if not len(some):
@@ -266,6 +272,46 @@ def intersection(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray) -
     return edges, bool(touches[0])
 
 
+def _boxes(edges: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """x0, y0, x1, y1 around the edges of each region; without edges a box that touches none."""
+    out = np.tile(np.array([np.inf, np.inf, -np.inf, -np.inf]), (len(where) - 1, 1))
+    full = where[1:] > where[:-1]
+    if full.any():
+        at = where[:-1][full]
+        out[full] = np.concatenate([np.minimum.reduceat(np.minimum(edges[:, :2], edges[:, 2:]), at), np.maximum.reduceat(np.maximum(edges[:, :2], edges[:, 2:]), at)], 1)
+    return out
+
+
+def touching(a: np.ndarray, ra: np.ndarray, wa: np.ndarray, b: np.ndarray, rb: np.ndarray, wb: np.ndarray) -> np.ndarray:
+    """For pairs of regions: whether the two touch at all, as ``intersections`` has it, without working out what they share.
+
+    Only edges that come near the other region's box are compared.  Where no
+    edges meet, a ring lies whole on one side of the other region, and one of its points tells which."""
+    sides = []
+    for edges, ring, where, box in ((a, ra, wa, _boxes(b, wb)), (b, rb, wb, _boxes(a, wa))):
+        pair = np.repeat(np.arange(len(where) - 1), np.diff(where))
+        low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+        near = ((low <= box[pair, 2:]) & (box[pair, :2] <= high)).all(1)
+        first = np.append(True, ring[1:] != ring[:-1])[: len(ring)]
+        middle = (edges[first, :2] + edges[first, 2:]) / 2
+        inside = ((box[pair[first], :2] <= middle) & (middle <= box[pair[first], 2:])).all(1)
+        sides.append((edges[near], np.append(0, np.cumsum(near))[where], pair[near], middle[inside], pair[first][inside]))
+    (na, nwa, pa_, ma, qa), (nb, nwb, _, mb, qb) = sides
+    found = np.zeros(len(wa) - 1, bool)
+    for i, j in _candidates(na, nwa, nb, nwb):
+        p, r = na[i], nb[j]
+        s1, s2, s3, s4 = _side(r, p[:, 0], p[:, 1]), _side(r, p[:, 2], p[:, 3]), _side(p, r[:, 0], r[:, 1]), _side(p, r[:, 2], r[:, 3])
+        met = (np.sign(s1) * np.sign(s2) < 0) & (np.sign(s3) * np.sign(s4) < 0)
+        for e, k, side, edge in ((r, 0, s1, p), (r, 2, s2, p), (p, 0, s3, r), (p, 2, s4, r)):
+            met |= _on(e, edge[:, k], edge[:, k + 1], side)
+        found[pa_[i[met]]] = True
+    for middle, pair, other, where in ((ma, qa, b, wb), (mb, qb, a, wa)):
+        open_ = ~found[pair]
+        middle, pair = middle[open_], pair[open_]
+        found[pair[_crossings(other, middle[:, 0], middle[:, 1], where[pair], where[pair + 1])]] = True
+    return found
+
+
 def closed_rings(edges: np.ndarray) -> list[list[tuple[float, float]]]:
     """The edges as rings; where several go on, the leftmost turn is taken, so rings only touch."""
     out: dict[tuple[float, float], list[tuple[float, float]]] = {}
@@ -331,6 +377,15 @@ def _part(batch: pa.RecordBatch, prefix: str) -> tuple[np.ndarray, np.ndarray, n
     return values[0], values[1], values[2].astype(np.int64), np.diff(sizes.offsets.to_numpy()).astype(np.int64)
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of batches, as many at a time as are worked out together."""
+    for batch in batches:
+        held = np.cumsum(sum(np.diff(batch.column(f"_{p}x").offsets.to_numpy()) for p in "ab"), dtype=np.int64)
+        starts = np.flatnonzero(np.diff(held // TOGETHER, prepend=-1)).tolist()
+        for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(start, stop - start)
+
+
 def _nested(edges: np.ndarray, where: np.ndarray) -> pa.Array:
     """The closed rings of the edges of each pair, as Arrow holds them."""
     rings = [closed_rings(edges[a:b]) if b > a else [] for a, b in zip(where[:-1].tolist(), where[1:].tolist())]
@@ -353,29 +408,56 @@ def overlay(pairs: DataFrame, a: str = "a", b: str = "b", geometry: bool = False
     schema = T.StructType([*pairs.select(*others).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = np.cumsum(sum(np.diff(batch.column(f"_{p}x").offsets.to_numpy()) for p in "ab"), dtype=np.int64)
-            starts = np.flatnonzero(np.diff(held // TOGETHER, prepend=-1)).tolist()
-            for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
-                part = batch.slice(start, stop - start)
-                edges, where, touches = intersections(*_all_edges(*_part(part, "a")), *_all_edges(*_part(part, "b")))
-                area, x, y = measures(edges, where)
-                columns = [pa.array(touches), pa.array(area), pa.array(x, mask=area == 0), pa.array(y, mask=area == 0)]
-                if geometry:
-                    columns.append(_nested(edges, where))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *columns], [*others, *(f.name for f in added)])
+        for part in _steps(batches):
+            edges, where, touches = intersections(*_all_edges(*_part(part, "a")), *_all_edges(*_part(part, "b")))
+            area, x, y = measures(edges, where)
+            columns = [pa.array(touches), pa.array(area), pa.array(x, mask=area == 0), pa.array(y, mask=area == 0)]
+            if geometry:
+                columns.append(_nested(edges, where))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), *columns], [*others, *(f.name for f in added)])
 
     return pairs.select(*others, *_flat(a, "_a"), *_flat(b, "_b")).mapInArrow(run, schema)
 
 
+def _flat_with_box(df: DataFrame, region: str, prefix: str, names: tuple[str, str, str, str]) -> DataFrame:
+    """``df`` with ``region`` as the three arrays of ``_flat`` and its box; regions without a vertex go.
+
+    Boxes are made in Arrow batches, so that filters on them are not moved, with
+    all the work on the region in them, to before the rows are dealt."""
+    others = [c for c in df.columns if c != region]
+    flat = df.select(*others, *_flat(region, prefix))
+    schema = T.StructType([*flat.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(f"{prefix}x")
+            batch = batch.filter(pc.greater(pc.list_value_length(lists), 0))
+            xs, ys = batch.column(f"{prefix}x"), batch.column(f"{prefix}y")
+            box = []
+            if batch.num_rows:
+                at = xs.offsets.to_numpy()[:-1] - xs.offsets[0].as_py()
+                values = [c.flatten().to_numpy(zero_copy_only=False) for c in (xs, ys)]
+                box = [f.reduceat(v, at) for f in (np.fmin, np.fmax) for v in values]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v) for v in box or [np.zeros(0)] * 4)], [*batch.schema.names, *names])
+
+    return flat.mapInArrow(run, schema)
+
+
 def touching_regions(left: DataFrame, right: DataFrame, key: str, region: str, other: str, cell: float) -> DataFrame:
     """The rows of ``left`` whose region touches one of ``right``: a semi-join.
 
-    Only keys and regions go through the exact test; ``key`` is unique in ``left``."""
-    a = with_box(left.select(key, F.col(region).alias("a")), "a")
-    b = with_box(right.select(F.col(other).alias("b")), "b", ("u0", "v0", "u1", "v1"))
-    pairs = near_pairs(a, b, cell).select(key, "a", "b")
-    return left.join(overlay(pairs).where("touches").select(key), key, "left_semi")
+    Only keys and regions go through the exact test, which works out nothing but
+    whether they touch; ``key`` is unique in ``left``."""
+    a = _flat_with_box(left.select(key, region), region, "_a", ("x0", "y0", "x1", "y1"))
+    b = _flat_with_box(right.select(other), other, "_b", ("u0", "v0", "u1", "v1"))
+    pairs = near_pairs(a, b, cell).select(key, *(f"_{p}{c}" for p in "ab" for c in "xyn"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _steps(batches):
+            met = touching(*_plain_edges(*_part(part, "a")), *_plain_edges(*_part(part, "b")))
+            yield part.select([key]).filter(pa.array(met))
+
+    return left.join(pairs.mapInArrow(run, pairs.select(key).schema), key, "left_semi")
 
 
 def flawed(edges: np.ndarray, ring: np.ndarray) -> bool:

@@ -171,3 +171,16 @@ def test_boxes_are_made_after_rows_are_dealt(spark):
     dealt = max(k for k, line in enumerate(plan) if "RepartitionByExpression" in line)
     read = plan[dealt : next(k for k in range(dealt, len(plan)) if "Relation" in plan[k]) + 1]
     assert len(read) > 1 and not any("transform(" in line for line in read)
+
+
+def test_pairs_of_places_are_neither_sorted_nor_moved(spark):
+    """Least ranks are taken in hash tables of each task, and pairs meet them there; places without an area come last."""
+    targets = spark.createDataFrame([("Ab",)], "target string")
+    rows = [(4, "ab x", "c", "9", None), (3, "abc", "City", None, 2.0), (2, "cab", "city", "x", 7.0), (1, "Ab y", None, "y", 7.0)]
+    places = spark.createDataFrame(rows, "place long, name string, legal string, code string, area double")
+    union = P.union_places(targets, places, "target")
+    assert sorted(r["place"] for r in union.collect()) == [2, 3]
+    for found in (union,):
+        assert "HashAggregate(keys=[target" in found._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in union._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in line]
+    assert len(joins) == 1 and "rightHint=(strategy=broadcast)" in joins[0]

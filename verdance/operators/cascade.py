@@ -30,13 +30,24 @@ def first_known(targets: DataFrame, key: str, sources: list[DataFrame]) -> DataF
     return targets.join(least.select(key, "m.*"), key, "left")
 
 
+def least_ranks(pairs: DataFrame, by: str, *ranks: str) -> DataFrame:
+    """(by, ranks): the least ``ranks`` of each target, compared in this order, nulls last.
+
+    A task holds a row for each target and different values of all ranks but the
+    last, in a hash table of plain values; a minimum of structs alone would sort all pairs of the task first."""
+    fine = pairs.groupBy(by, *ranks[:-1]).agg(F.min(ranks[-1]).alias(ranks[-1]))
+    order = [c for r in ranks for c in (F.col(r).isNull().alias(f"no_{r}"), F.col(r))]
+    return fine.groupBy(by).agg(F.min(F.struct(*order)).alias("best")).select(by, *[F.col(f"best.{r}").alias(r) for r in ranks])
+
+
 def kept_at_best(pairs: DataFrame, by: str, *ranks: str) -> DataFrame:
-    """All pairs of a target at its least ``ranks``, compared in this order; pairs with a null rank go."""
+    """All pairs of a target at its least ``ranks``, compared in this order; pairs with a null rank go.
+
+    The least ranks are one row a target and go to all tasks; the pairs stay where they are."""
     ranked = pairs
     for r in ranks:
         ranked = ranked.where(F.col(r).isNotNull())
-    best = ranked.groupBy(by).agg(F.min(F.struct(*ranks)).alias("best")).select(by, *[F.col(f"best.{r}").alias(r) for r in ranks])
-    return ranked.join(best, [by, *ranks], "left_semi")
+    return ranked.join(F.broadcast(least_ranks(ranked, by, *ranks)), [by, *ranks], "left_semi")
 
 
 def containing_names(targets: DataFrame, places: DataFrame, target: str, name: str, place: str) -> DataFrame:
@@ -61,15 +72,22 @@ def form_rank(target: str, name: str, forms: tuple[tuple[str, str], ...], loose:
     return F.coalesce(*same, F.lit(len(forms) + 1)) if loose else F.coalesce(*same)
 
 
-def place_unions(targets: DataFrame, places: DataFrame, target: str) -> DataFrame:
-    """(target, rule, n_places, rings): all places of the first form that any has, those that are legally cities if some are.
+def union_places(targets: DataFrame, places: DataFrame, target: str) -> DataFrame:
+    """``places`` with target and rule, a row for each target's place: all of the first form that any has, those that are legally cities if some are.
 
-    ``places`` has place, name, legal and rings.  The union is the rings of all,
-    which do not overlap, as boundaries of one layer do not; one target's fit in a task."""
+    ``places`` has place, name and legal, and what else is wanted of them."""
     pairs = containing_names(targets.select(target), places, target, "name", "place")
     city = F.when(F.lower("legal").contains("city"), 0).otherwise(1)
     pairs = pairs.withColumn("rule", form_rank(target, "name", LEGAL_FORMS, loose=True)).withColumn("other", city)
-    kept = kept_at_best(pairs, target, "rule", "other")
+    return kept_at_best(pairs, target, "rule", "other").drop("other")
+
+
+def place_unions(targets: DataFrame, places: DataFrame, target: str) -> DataFrame:
+    """(target, rule, n_places, rings): the places of ``union_places`` as one region.
+
+    ``places`` has rings too.  The union is the rings of all,
+    which do not overlap, as boundaries of one layer do not; one target's fit in a task."""
+    kept = union_places(targets, places, target)
     return kept.groupBy(target).agg(F.min("rule").alias("rule"), F.count("*").alias("n_places"), F.flatten(F.collect_list("rings")).alias("rings"))
 
 

@@ -178,9 +178,10 @@ def test_pairs_of_places_are_neither_sorted_nor_moved(spark):
     targets = spark.createDataFrame([("Ab",)], "target string")
     rows = [(4, "ab x", "c", "9", None), (3, "abc", "City", None, 2.0), (2, "cab", "city", "x", 7.0), (1, "Ab y", None, "y", 7.0)]
     places = spark.createDataFrame(rows, "place long, name string, legal string, code string, area double")
-    union = P.union_places(targets, places, "target")
+    union, one = P.union_places(targets, places, "target"), P.subdivision(targets, places, "target", "5915")
     assert sorted(r["place"] for r in union.collect()) == [2, 3]
-    for found in (union,):
+    assert [tuple(r) for r in one.collect()] == [("Ab", 2, 1)]
+    for found in (union, one):
         assert "HashAggregate(keys=[target" in found._jdf.queryExecution().sparkPlan().toString()
     joins = [line for line in union._jdf.queryExecution().optimizedPlan().toString().splitlines() if "LeftSemi" in line]
     assert len(joins) == 1 and "rightHint=(strategy=broadcast)" in joins[0]

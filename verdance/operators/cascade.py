@@ -94,16 +94,16 @@ def place_unions(targets: DataFrame, places: DataFrame, target: str) -> DataFram
 def largest_place(targets: DataFrame, places: DataFrame, target: str) -> DataFrame:
     """(target, rule, place): the largest place of the first census form that any has; of equal ones the first."""
     pairs = containing_names(targets.select(target), places, target, "name", "place").withColumn("rule", form_rank(target, "name", CENSUS_FORMS, loose=False))
-    best = F.min(F.struct("rule", (-F.col("area")).alias("a"), "place")).alias("m")
-    return pairs.where("rule IS NOT NULL").groupBy(target).agg(best).select(target, "m.rule", "m.place")
+    ranked = pairs.where("rule IS NOT NULL").withColumn("a", -F.col("area"))
+    return least_ranks(ranked, target, "rule", "a", "place").select(target, "rule", "place")
 
 
 def subdivision(targets: DataFrame, places: DataFrame, target: str, prefix: str) -> DataFrame:
     """(target, rule, place): exact names before names that contain it; of several the first whose code has ``prefix``, else the largest."""
     pairs = containing_names(targets.select(target), places, target, "name", "place").withColumn("rule", form_rank(target, "name", EXACT, loose=True))
     coded = F.coalesce(F.col("code").startswith(prefix), F.lit(False))
-    best = F.min(F.struct("rule", F.when(coded, 0).otherwise(1).alias("c"), F.when(coded, 0.0).otherwise(-F.col("area")).alias("a"), "place")).alias("m")
-    return pairs.groupBy(target).agg(best).select(target, "m.rule", "m.place")
+    ranked = pairs.withColumn("c", F.when(coded, 0).otherwise(1)).withColumn("a", F.when(coded, 0.0).otherwise(-F.col("area")))
+    return least_ranks(ranked, target, "rule", "c", "a", "place").select(target, "rule", "place")
 
 
 def _stem() -> Column:

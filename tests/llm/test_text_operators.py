@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,3 +468,15 @@ def test_cascade_measures_once_and_equals_every_rule():
     verdict = quality_rules.cascade(base, list(quality_rules.RULES))
     every = np.stack([r.rejects(base) for r in quality_rules.RULES])
     assert ((verdict < 0) == ~every.any(0)).all() and calls == [len(texts)]
+
+
+def test_packing_keeps_few_words():
+    """However many different words there are, a worker keeps about as many as it may, or those of one step."""
+    own = token_ids.encoder(token_ids.default_vocabulary(), packing.CACHE)
+    words = ["".join(chr(97 + (k // 26**j * 7 + j) % 26) for j in range(5)) + "abcdefg" for k in range(500_000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["_id", "text"])
+    ids = [bytes(x) for _, x in token_ids.encoded_rows(own, batch, packing.STEP)]
+    step = packing.STEP // len("wordabcdefg ")
+    assert len(own.cache) + len(own.older) <= packing.CACHE // token_ids._ENTRY + 2 * step < len(words)
+    assert ids[::1000] == own.whole(texts[::1000])

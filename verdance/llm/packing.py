@@ -25,6 +25,10 @@ from verdance.llm import tables, token_ids
 
 Piece = tuple[int, int, int]  # document's place in the task, start, length
 
+#: Bytes of words that a worker keeps encoded, about, and of texts that it encodes together.  Workers outlive tasks,
+#: and those of one executor share its memory with what earlier stages of a pipeline have left there.
+CACHE, STEP = 64 << 20, 1 << 20
+
 
 class Levels:
     """Open windows by fill level; least sum of squares picks the level."""
@@ -111,7 +115,8 @@ def pack(
     own.  ``sequence_id`` is the task's number times 2**40 plus a count, unique
     over the table; offsets in a sequence run from 0 without gaps.  An empty
     table gives no rows.  Memory: the open windows of a task hold positions and
-    checksummed bytes of at most ``window`` ids each."""
+    checksummed bytes of at most ``window`` ids each, and the worker ``CACHE``
+    bytes of encoded words or those of one ``STEP``."""
     path = vocabulary or token_ids.default_vocabulary()
     kinds = dict(docs.dtypes)
     schema = (
@@ -122,7 +127,7 @@ def pack(
 
     @K.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, levels = token_ids.encoder(path), Levels(window)
+        encoder, levels = token_ids.encoder(path, CACHE), Levels(window)
         base, count = TaskContext.get().partitionId() << 40, 0
         # Of each document with an open piece: id, number of ids, start and bytes of its remainder.
         held: dict[int, tuple[object, int, int, bytes]] = {}
@@ -151,7 +156,7 @@ def pack(
         kind = pa.int64()
         for batch in batches:
             kind = batch.column("_id").type
-            for key, ids in token_ids.encoded_rows(encoder, batch):
+            for key, ids in token_ids.encoded_rows(encoder, batch, STEP):
                 ids += end
                 total = len(ids) // 4
                 whole = total - total % window

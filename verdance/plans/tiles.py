@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from verdance.operators import clipping as K
 from verdance.operators import raster as R
 from verdance.operators import regions as A
+from verdance.operators import spatial as S
 from verdance.plans.overlays import BOUNDARY, _boundaries, _boxes
 from verdance.plans.reports import query
 from verdance.sources.adapters import load
@@ -98,7 +99,7 @@ def tile_score_quality(spark, sf_dir):
     """Score C of each tile: nine soft weights over shapes, spacing, density and confidence."""
     (pixels,) = load(spark, sf_dir, "fx_crowns")
     regions = _regions(pixels).withColumn("confidence", F.when(F.col("tile_ord") % 2 == 1, 1 - F.col("mean_v")))
-    scores = A.quality_score(_tile_stats(pixels), regions)
+    scores = A.quality_score(_tile_stats(pixels), S._kept(regions))  # used more than once, worked out once
     return scores.select("tile_ord", F.col("n_trees").cast("long").alias("n_trees"), F.round("quality", 7).alias("quality"), "is_good")
 
 

@@ -70,6 +70,16 @@ def test_copies_make_no_pairs(spark):
     assert {r["t"]: r["n_pairs"] for r in S.radius_pair_counts(df, 0.15, "t").collect()} == {0: 2000000, 1: 1000000}
 
 
+def test_places_are_never_broadcast(spark, monkeypatch):
+    """However small their files look: millions of places on a lattice would be built in the driver."""
+    plans, kept = [], S._kept
+    monkeypatch.setattr(S, "_kept", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df))
+    found = S.without_near_duplicates(_crowd(spark)[1], 0.15, "t")
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert len(plans) > 4 and sum(p.count("SortMergeJoin") for p in plans) > 6
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_pairs_are_worked_out_together_as_one_by_one(monkeypatch):
     """Regions of one to three rings and none, in one call, in small steps and swept, give what each pair gives alone."""
     rng = np.random.default_rng(8)

@@ -16,6 +16,14 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled and never broadcast.
+
+    Coordinates of a lattice are so few bytes in files and shuffles that a table
+    of millions of rows would be sent to the driver and built there."""
+    return df.hint("merge")
+
+
 def dealt(df: DataFrame, *by: str) -> DataFrame:
     """``df`` dealt to as many tasks as a shuffle has.
 
@@ -66,7 +74,7 @@ def radius_pairs(points: DataFrame, eps: float, key: str, other_tile_only: str |
     ok = (F.col(key) < F.col("b")) & (d2 <= eps * eps)
     if other_tile_only:
         ok = ok & (F.col(other_tile_only) != F.col("bt"))
-    return left.join(right, ["cx", "cy"]).where(ok).select(F.col(key).alias("a"), "b", d2.alias("d2"))
+    return left.join(shuffled(right), ["cx", "cy"]).where(ok).select(F.col(key).alias("a"), "b", d2.alias("d2"))
 
 
 def has_place(tile: str) -> Column:
@@ -162,9 +170,9 @@ def without_near_duplicates(points: DataFrame, eps: float, tile: str) -> DataFra
     compared, not points, and copies make no pairs."""
     places = _kept(first_at_places(points, tile))
     gone = removed_near_duplicates(near_places(places, eps, tile))
-    stays = places.join(gone.select("key.*"), ["x", "y", tile], "left_anti").select("x", "y", F.col(tile).alias("_least"), F.lit(True).alias("_stays"))
-    places = places.select("x", "y").join(stays, ["x", "y"], "left").withColumn("_place", F.lit(True))
-    judged = points.join(places, ["x", "y"], "left")
+    stays = places.join(shuffled(gone.select("key.*")), ["x", "y", tile], "left_anti").select("x", "y", F.col(tile).alias("_least"), F.lit(True).alias("_stays"))
+    places = places.select("x", "y").join(shuffled(stays), ["x", "y"], "left").withColumn("_place", F.lit(True))
+    judged = points.join(shuffled(places), ["x", "y"], "left")
     free = F.col("_place").isNull() | F.col(tile).isNull()
     return judged.where(free | (F.col("_stays") & (F.col(tile) == F.col("_least")))).select(*points.columns)
 
@@ -195,20 +203,18 @@ def removed_near_duplicates(pairs: DataFrame) -> DataFrame:
 
     A point stays exactly when no smaller point that stays is within reach.  In
     each round the points with no smaller undecided neighbour stay and their
-    neighbours go; edges at decided points leave."""
+    neighbours go; edges at decided points leave, those of points that stay with
+    the neighbours."""
     spark = pairs.sparkSession
     edges = _kept(pairs.select("a", "b").distinct())
     gone = spark.createDataFrame([], f"key {dict(pairs.dtypes)['a']}")
     while not edges.isEmpty():
-        roots = edges.select(F.col("a").alias("key")).distinct().join(edges.select(F.col("b").alias("key")).distinct(), "key", "left_anti")
-        roots = _kept(roots)
-        out = _kept(edges.join(roots.withColumnRenamed("key", "a"), "a", "left_semi").select(F.col("b").alias("key")).distinct())
+        later = edges.select(F.col("b").alias("a")).distinct()
+        out = _kept(edges.join(shuffled(later), "a", "left_anti").select(F.col("b").alias("key")).distinct())
         gone = gone.unionByName(out)
-        edges = _kept(
-            edges.join(roots.withColumnRenamed("key", "a"), "a", "left_anti")
-            .join(out.withColumnRenamed("key", "a"), "a", "left_anti")
-            .join(out.withColumnRenamed("key", "b"), "b", "left_anti")
-        )
+        for end in ("a", "b"):
+            edges = edges.join(shuffled(out.withColumnRenamed("key", end)), end, "left_anti")
+        edges = _kept(edges)
     return gone.distinct()
 
 

@@ -80,6 +80,24 @@ def test_places_are_never_broadcast(spark, monkeypatch):
     assert not any("Broadcast" in p for p in plans)
 
 
+def test_sensitivity_counts_those_of_all_points_without_broadcasts(spark, monkeypatch):
+    rows, df = _crowd(spark)
+    plans, kept = [], S._kept
+    monkeypatch.setattr(S, "_kept", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df))
+    monkeypatch.setattr(reports, "_detections", lambda *_: df.withColumnRenamed("t", "tile_ord"))
+    found = reports.dedup_sensitivity(spark, "")
+    counts = {}
+    for eps in (0.08, 0.1, 0.15):
+        stay: list[tuple] = []
+        for r in rows:
+            if not any(k[1] != r[1] and (k[2] - r[2]) ** 2 + (k[3] - r[3]) ** 2 <= eps * eps for k in stay):
+                stay.append(r)
+        counts[eps] = len(stay) + 2
+    assert {r["eps"]: (r["kept"], r["pct_of_baseline"]) for r in found.collect()} == {e: (n, 100.0 * n / counts[0.1]) for e, n in counts.items()}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())  # as run: sizes are known only then
+    assert "isFinalPlan=true" in plans[-1] and not any("Broadcast" in p for p in plans)
+
+
 def test_pairs_are_worked_out_together_as_one_by_one(monkeypatch):
     """Regions of one to three rings and none, in one call, in small steps and swept, give what each pair gives alone."""
     rng = np.random.default_rng(8)

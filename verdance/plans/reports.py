@@ -361,7 +361,7 @@ def dedup_sensitivity(spark, sf_dir):
     loose = d.where(~S.has_place("tile_ord")).count()  # without a place none goes
     for eps in (0.08, 0.1, 0.15):
         gone = S.removed_near_duplicates(pairs.where(F.col("d2") <= eps * eps))
-        kept = places.join(gone.select("key.*"), ["tile_ord", "x", "y"], "left_anti")
+        kept = places.join(S.shuffled(gone.select("key.*")), ["tile_ord", "x", "y"], "left_anti")
         row = kept.agg((F.coalesce(F.sum("n"), F.lit(0)) + loose).alias("kept")).select(F.lit(eps).alias("eps"), "kept")
         out = row if out is None else out.unionByName(row)
     return out.withColumn("pct_of_baseline", 100.0 * F.col("kept") / F.max(F.when(F.col("eps") == 0.1, F.col("kept"))).over(W.partitionBy(F.lit(1))))
